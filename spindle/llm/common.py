@@ -78,3 +78,94 @@ def chunks(texts: list[str], limit: int = 8 << 20):
         total += len(t)
     if lo < len(texts):
         yield lo, len(texts)
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: A random 64-bit value for each byte, and odd multipliers of the rolling hashes.
+_OF_BYTE = np.random.default_rng(20240521).integers(1, 2**64, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LONG_STEP = np.uint64(0xD1B54A32D192ED03)
+
+
+def powers(step: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, step, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def run_hash(values: np.ndarray, lengths: np.ndarray, step: np.uint64) -> np.ndarray:
+    """A 64-bit hash of each run of values; runs lie end to end and none is empty."""
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(values)) - np.repeat(starts, lengths)
+    sums = np.add.reduceat(values * powers(step, int(lengths.max()))[place], starts)
+    return mix64(sums + lengths.astype(np.uint64) * _STEP)
+
+
+class Words:
+    """The words of texts: their bytes, where each begins and ends, and each text's first word.
+
+    ``at`` and ``first`` have n + 1 entries: where a text begins in ``data``, and its first word's number.
+    """
+
+    def __init__(self, texts: list[str], lower: bool = False):
+        parts = [t.encode("utf-8") for t in texts]
+        raw = b"\n".join(parts) + b"\n"
+        self.raw = raw.lower() if lower else raw  # lower() of bytes changes A-Z only
+        self.data = np.frombuffer(self.raw, dtype=np.uint8)
+        self.at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        blank = _BLANK[self.data]
+        turns = np.flatnonzero(np.diff(blank, prepend=True))
+        self.starts, self.ends = turns[::2], turns[1::2]
+        self.first = np.searchsorted(self.starts, self.at)
+        self.blank = blank
+
+    def hashes(self) -> np.ndarray:
+        return run_hash(_OF_BYTE[self.data[~self.blank]], self.ends - self.starts, _STEP)
+
+    def text_of(self) -> np.ndarray:
+        """The number of each word's text."""
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.first))
+
+
+def hash_runs(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each run of hashes."""
+    return run_hash(hashes, lengths, _LONG_STEP)
+
+
+def hash_ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive hashes."""
+    count = max(0, len(hashes) - n + 1)
+    out = np.zeros(count, np.uint64)
+    for step, k in zip(powers(_LONG_STEP, n), range(n)):
+        out += hashes[k : k + count] * step
+    return mix64(out + np.uint64(n) * _STEP)
+
+
+def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """ord, doc_id and text of every row: ord is a number of each distinct id and text, in the order of ids, null last.
+
+    Where ids are unique they are the numbers. Identical rows share a number and so count as one document.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    n, known = slim.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == known:
+        return slim.select(F.col("doc_id").alias("ord"), "doc_id", "text")
+    slim = slim.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_tie": F.xxhash64("text")})
+    key = ["_null", "_id", "_tie"]
+    numbers = materialize(slim.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key).withColumn("ord", F.monotonically_increasing_id()))
+    return slim.join(numbers, key).select("ord", "doc_id", "text")
+
+
+def buckets_for(spark: SparkSession, total_bytes: int, each: int = 32 << 20) -> int:
+    """A number of buckets that keeps what a bucket holds bounded as the input grows."""
+    return max(4 * partitions(spark), -(-total_bytes // each))
+
+
+def deal(bucket: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """The numbers of the rows of each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]

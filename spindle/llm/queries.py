@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, mixing
+from . import audio, bpe, exact_dedup, mixing, sentence_dedup, suffix_dedup
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), VOCAB)
 
@@ -30,5 +34,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("key_tie")
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup}
+def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.sentence_dedup(_documents(spark, sf_dir))
+
+
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op10_sentence_dedup": op10_sentence_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
