@@ -141,7 +141,7 @@ def hash_ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(count, np.uint64)
     for step, k in zip(powers(_LONG_STEP, n), range(n)):
         out += hashes[k : k + count] * step
-    return mix64(out + np.uint64(n) * _STEP)
+    return mix64(out + np.full(1, n, np.uint64) * _STEP)
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, mixing, sentence_dedup, suffix_dedup
+from . import audio, bpe, exact_dedup, lm, minhash, mixing, sentence_dedup, suffix_dedup
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_documents(spark, sf_dir))
+
+
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_digest(_documents(spark, sf_dir))
 
@@ -34,9 +38,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("key_tie")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_documents(spark, sf_dir)).drop("text_key")
+
+
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.sentence_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op10_sentence_dedup": op10_sentence_dedup}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
