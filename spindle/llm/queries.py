@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, lm, minhash, mixing, sentence_dedup, suffix_dedup
+from . import audio, bpe, exact_dedup, lm, minhash, mixing, sentence_dedup, suffix_dedup, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_documents(spark, sf_dir))
 
@@ -46,5 +52,5 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.sentence_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
