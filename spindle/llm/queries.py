@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, lm, minhash, mixing, sentence_dedup, suffix_dedup, toxicity
+from . import audio, bpe, exact_dedup, lm, minhash, mixing, secrets, sentence_dedup, suffix_dedup, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), VOCAB)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.secret_digest(docs, secrets.fit(secrets.labelled_samples(docs)))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,5 +57,5 @@ def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.sentence_dedup(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
