@@ -147,6 +147,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text; null counts as empty, which has no ids."""
 
@@ -154,9 +159,7 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
         c = codec(vocab)
         for batch in batches:
             found = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["doc_id", "ids"])
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>")
@@ -174,19 +177,21 @@ def decode(encoded: DataFrame, vocab: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded again in one pass.
+def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for, of every whole text, encoded and decoded again in one pass.
 
     Null and empty texts have no tokens and decode to the empty text; repeated rows and null ids stay as they are.
     """
-    schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches):
         c, sha = codec(vocab), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            rows = [(len(ids) // 4, sha(ids), sha(c.decode(ids).encode("utf-8"))) for ids in (c.encode(t or "") for t in batch.column(1).to_pylist())]
-            n, ids, texts = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=schema.names)
+            found = [c.encode(t or "") for t in batch.column(1).to_pylist()]
+            columns = [
+                batch.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([sha(x) for x in found], pa.string()),
+                pa.array([sha(c.decode(x).encode("utf-8")) for x in found], pa.string()), *([_lists(found)] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return slim.mapInArrow(run, schema)

@@ -144,19 +144,25 @@ def hash_ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(out + np.full(1, n, np.uint64) * _STEP)
 
 
+def ids_are_unique(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id is null or occurs twice."""
+    n, known = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col).cast("long"))).first()
+    return n == known
+
+
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ord, doc_id and text of every row: ord is a number of each distinct id and text, in the order of ids, null last.
 
     Where ids are unique they are the numbers. Identical rows share a number and so count as one document.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    n, known = slim.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if n == known:
-        return slim.select(F.col("doc_id").alias("ord"), "doc_id", "text")
+    if ids_are_unique(docs, id_col):
+        # never null, so joins on it add no filter and can share one exchange
+        return slim.select(F.coalesce("doc_id", F.lit(0)).alias("ord"), "doc_id", "text")
     slim = slim.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_tie": F.xxhash64("text")})
     key = ["_null", "_id", "_tie"]
     numbers = materialize(slim.select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key).withColumn("ord", F.monotonically_increasing_id()))
-    return slim.join(numbers, key).select("ord", "doc_id", "text")
+    return slim.join(numbers, key).select(F.coalesce("ord", F.lit(0)).alias("ord"), "doc_id", "text")
 
 
 def buckets_for(spark: SparkSession, total_bytes: int, each: int = 32 << 20) -> int:

@@ -197,12 +197,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = rows.select("ord", "doc_id", F.xxhash64("text").alias("text_key"))
     out = names.join(out.dropDuplicates(["ord"]), "ord")
     ids = names.select(F.col("ord").alias("component"), F.col("doc_id").alias("component_id")).dropDuplicates(["component"])
-    if rows.columns and _ids_are_numbers(docs, id_col):
+    if C.ids_are_unique(docs, id_col):
         return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("component") == F.col("ord")).alias("kept"), "text_key")
     return out.join(ids, "component").select("doc_id", "n_shingles", "component_id", (F.col("component") == F.col("ord")).alias("kept"), "text_key")
 
-
-def _ids_are_numbers(docs: DataFrame, id_col: str) -> bool:
-    """Whether ``common.ordered`` uses the ids themselves as numbers."""
-    n, known = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col).cast("long"))).first()
-    return n == known
