@@ -330,7 +330,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_buckets = C.buckets_for(spark, total, 16 << 20)
     rows = C.ordered(docs, id_col, text_col)
     asked = repeated_anchors(rows, n_buckets, length).groupBy("ord").agg(F.collect_list("item").alias("items"))
-    places = covered_places(rows.select("ord", "text").join(asked, "ord"), n_buckets, length)
+    # both joins with the texts take the same columns, so they read one exchange
+    places = covered_places(rows.join(asked, "ord").select("ord", "text", "items", "doc_id"), n_buckets, length)
     places = places.groupBy("ord").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
