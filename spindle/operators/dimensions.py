@@ -29,12 +29,11 @@ def scd2(versions: DataFrame, natural_key: str, attributes: list[str], version:
         F.col(since).alias("effective_from"), "attr_hash", nxt.alias("effective_to"), F.lead(version).over(order).isNull().alias("is_current"))
 
 
-def grow_scd2(known: DataFrame, built: DataFrame, natural_key: str, surrogate: str = "dimension_key") -> DataFrame:
+def grow_scd2(known: DataFrame, built: DataFrame, natural_key: str, version: str = "source_commit_version", surrogate: str = "dimension_key") -> DataFrame:
     """known with the runs it lacks; intervals and current flags are worked out anew, so no row has to be updated in place."""
     rows = changes.insert_only(known.drop("effective_to", "is_current"), built.drop("effective_to", "is_current"), [surrogate])
-    order = W.partitionBy(natural_key).orderBy("effective_from", surrogate)
-    nxt = F.lead("effective_from").over(order)
-    return rows.withColumns({"effective_to": nxt, "is_current": F.lead(surrogate).over(order).isNull()}).select(*built.columns)
+    order = W.partitionBy(natural_key).orderBy(version, "effective_from")
+    return rows.withColumns({"effective_to": F.lead("effective_from").over(order), "is_current": F.lead(version).over(order).isNull()}).select(*built.columns)
 
 
 def type1(rows: DataFrame, natural_key: str, surrogate: str) -> DataFrame:

@@ -340,7 +340,7 @@ def _(t):
 @query("scd2_grow", _RUNS + f" SELECT id, kind, version, {_T('effective_from')}, {_T('effective_to')}, is_current FROM runs")
 def _(t):
     half = dimensions.scd2(t("changes").filter("_commit_version <= 500").withColumnsRenamed({"_commit_version": "version", "_commit_timestamp": "ts"}), "id", ["kind"], "version", "ts")
-    return dimensions.grow_scd2(half, _scd2(t), "id").select("id", "kind", "version", "effective_from", "effective_to", "is_current")
+    return dimensions.grow_scd2(half, _scd2(t), "id", "version").select("id", "kind", "version", "effective_from", "effective_to", "is_current")
 
 
 @query("scd2_as_of_join", _RUNS + " SELECT e.event_id, r.version FROM events e LEFT JOIN runs r ON e.user_id = r.id AND r.effective_from <= e.ts - INTERVAL 1 DAY AND (r.effective_to IS NULL OR e.ts - INTERVAL 1 DAY < r.effective_to)")
