@@ -146,7 +146,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 4, most: int = 2000,
     if not picked:
         return fit([])
     ids = docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.toxic > 0)) for r in picked], "_id long, _toxic int")
-    rows = docs.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).alias("text"), "_toxic")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id")
     # of ids that repeat in docs, as many rows as were asked for
     return fit([(r.text, r._toxic) for r in rows.orderBy(F.xxhash64("text")).limit(2 * most).collect()])
 
