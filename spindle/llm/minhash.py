@@ -24,7 +24,9 @@ from . import common as C
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
-_FACTORS = np.random.default_rng(75).integers(1, 2**63, (HASHES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hash functions of the sharp signatures, for documents that share a bucket with others they aren't connected to.
+SHARP = 1280
+_FACTORS = np.random.default_rng(75).integers(1, 2**63, (SHARP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -41,23 +43,23 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of non-empty sets: BITS planes of the low bits of the minima as pairs of 64-bit words, and the band keys."""
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty sets: BITS planes of the low bits of the minima as 64-bit words, and the band keys."""
     values = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    least = np.empty((HASHES, len(sets)), np.uint64)
-    for k, (factor, other) in enumerate(_FACTORS):
+    least = np.empty((hashes, len(sets)), np.uint64)
+    for k, (factor, other) in enumerate(_FACTORS[:hashes]):
         least[k] = np.minimum.reduceat(values * factor ^ other, starts)
     least = C.mix64(np.ascontiguousarray(least.T))
     planes = [np.packbits((least >> np.uint64(j) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(BITS)]
-    keys = least.reshape(len(sets), BANDS, ROWS)
+    keys = least[:, :HASHES].reshape(len(sets), BANDS, ROWS)
     band = np.arange(BANDS, dtype=np.uint64) * C._STEP
     for r in range(ROWS):
         band = C.mix64(band * C._LONG_STEP + keys[:, :, r])
     return np.concatenate(planes, axis=1), band.view(np.int64)
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
+def features(docs: DataFrame, size: int, hashes: int = HASHES) -> DataFrame:
     """ord, n_shingles, set_key (digest of the set), sig (array of long), bands (array of long)."""
     schema = T.StructType.fromDDL("ord long, n_shingles long, set_key binary, sig array<long>, bands array<long>")
 
@@ -70,7 +72,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
             for lo, hi in C.chunks(texts, 2 << 20):
                 sets = shingle_sets(texts[lo:hi], size)
                 # an empty set links with nothing; its signature is never looked at
-                sig, bands = signatures([s if len(s) else np.zeros(1, np.uint64) for s in sets])
+                sig, bands = signatures([s if len(s) else np.zeros(1, np.uint64) for s in sets], hashes)
                 yield pa.RecordBatch.from_arrays([
                     ords.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
                     lists(sig), lists(bands)], names=schema.names)
@@ -78,14 +80,20 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("ord", "text").mapInArrow(run, schema)
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, hashes: int = HASHES) -> Column:
     """Similarity from two signatures: the share of minima whose low bits agree, less the share that would by chance."""
-    half = HASHES // 64
-    differ = [reduce(lambda x, y: x.bitwiseOR(y), (F.get(a, half * j + i).bitwiseXOR(F.get(b, half * j + i)) for j in range(BITS))) for i in range(half)]
-    agree = 1 - sum(F.bit_count(x) for x in differ) / HASHES
+    words = hashes // 64
+    differ = [reduce(lambda x, y: x.bitwiseOR(y), (F.get(a, words * j + i).bitwiseXOR(F.get(b, words * j + i)) for j in range(BITS))) for i in range(words)]
+    agree = 1 - reduce(lambda x, y: x + y, map(F.bit_count, differ)) / hashes
     return (agree - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
+def spread(percent: int, hashes: int) -> float:
+    """The standard deviation of an estimate at the limit."""
+    agree = percent / 100 * (1 - 2.0**-BITS) + 2.0**-BITS
+    return (agree * (1 - agree) / hashes) ** 0.5 / (1 - 2.0**-BITS)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ords whose full sets are similar enough: 100 * shared >= percent * all."""
     texts = docs.select("ord", "text")
@@ -139,11 +147,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
     """Links (a, b) between representatives that connect just what all links would. reps: ord, sig, bands."""
-    floor = percent / 100 - margin
+    floor, sharp_floor = (percent / 100 - margin * spread(percent, h) for h in (HASHES, SHARP))
     cells = reps.select("ord", F.explode("bands").alias("bucket"))
     pivots = cells.groupBy("bucket").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
     pivots = pivots.filter("low < high").select("bucket", F.array_distinct(F.array("low", "high")).alias("pivots"))
-    pairs = cells.join(pivots, "bucket").select(F.col("ord").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").distinct()
+    # of a member's pivots the few that it meets in most buckets; every other link is found below
+    meets = cells.join(pivots, "bucket").select(F.col("ord").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = meets.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "b"))), 1, 3).alias("top")).select("a", F.explode("top.b").alias("b"))
     slim = reps.select("ord", "sig")
     rated = pairs.join(slim.select(F.col("ord").alias("a"), F.col("sig").alias("sig_a")), "a").join(slim.select(F.col("ord").alias("b"), F.col("sig").alias("sig_b")), "b")
     rated = rated.select("a", "b", estimate("sig_a", "sig_b").alias("est")).filter(F.col("est") >= floor)
@@ -151,40 +161,44 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin
     links = C.materialize(confirmed(best, docs, size, percent))
     # members of one bucket that are not connected yet
     labels = components(links)
-    known = reps.join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("ord", "sig", "bands", F.coalesce("component", "ord").alias("component"))
+    known = reps.join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("ord", "bands", F.coalesce("component", "ord").alias("component"))
     known = C.materialize(known)
-    cells = known.select("ord", "component", F.explode("bands").alias("bucket"))
+    cells = known.select("ord", "component", F.posexplode("bands").alias("band", "bucket"))
     sizes = cells.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("main")).filter("k > 1")
     inside = C.materialize(cells.join(mixed.select("bucket", F.col("main.component").alias("main")), "bucket"))
-    sig = known.select("ord", "sig")
-    inside = inside.join(sig, "ord")
-    x = inside.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"))
-    y = inside.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    meet = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (estimate("sig_a", "sig_b") >= floor))
-    pairs = meet.select("a", "b", "ca", "cb", estimate("sig_a", "sig_b").alias("est")).distinct()
-    pairs = C.materialize(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(best.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    if inside.isEmpty():
+        return links
+    sharp = C.materialize(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).select("ord", "sig", "bands"))
+    inside = inside.join(sharp, "ord")
+    x = inside.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"), "band")
+    y = inside.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    # a pair that meets in several buckets comes from the first of them only
+    est = estimate("sig_a", "sig_b", SHARP)
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) == F.col("band") + 1
+    meet = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (est >= sharp_floor) & first)
+    pairs = C.materialize(meet.select("a", "b", "ca", "cb", est.alias("est")))
     if pairs.isEmpty():
         return links
     likely = C.materialize(pairs.groupBy("a", "cb").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     links = C.materialize(links.unionByName(confirmed(likely, docs, size, percent)))
     labels = components(links)
-    rest = pairs.join(likely, ["a", "b"], "left_anti")
+    rest = pairs
     for side in ("a", "b"):
         rest = rest.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"now_{side}")), side, "left").withColumn(f"now_{side}", F.coalesce(f"now_{side}", side))
-    rest = C.materialize(rest.filter("now_a <> now_b").select("a", "b"))
+    rest = C.materialize(rest.filter("now_a <> now_b").select("a", "b").join(likely, ["a", "b"], "left_anti"))
     return links if rest.isEmpty() else C.materialize(links.unionByName(confirmed(rest, docs, size, percent)))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, margin: float = 0.23) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, margin: float = 5.0) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, text_key (hash of the text).
 
     Documents are linked when 100 * shared >= percent * all over their sets of distinct ``size``-word shingles
     (A-Z in lower case; fewer words: the whole sequence). component_id is the smallest id reachable by links, itself
     included; kept says whether it is the document's own. A document without words, or with a null text, is linked
     with nothing. Rows with the same id and text are one document; a null id comes last in order, and a null-id
-    document is kept if its component has no other. Pairs whose estimate is more than ``margin`` (six standard
-    deviations) below the limit are not confirmed. An empty table gives an empty result.
+    document is kept if its component has no other. Pairs whose estimate is more than ``margin`` standard
+    deviations below the limit are not confirmed. An empty table gives an empty result.
     """
     rows = C.ordered(docs, id_col, text_col)
     found = C.materialize(features(rows, size))
