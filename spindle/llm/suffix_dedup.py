@@ -97,7 +97,7 @@ def deep_shallow_sort(rows: np.ndarray, lengths: np.ndarray, group: np.ndarray)
         split = np.concatenate([[False], (word[1:] != word[:-1]) & (segment[1:] == segment[:-1])])
         differ = (word[1:] ^ word[:-1])[split[1:]]
         first[at[split]] = True
-        # the place of the highest byte that differs; a float's exponent gives the highest bit
+        # the place of the highest byte that differs
         shared[at[split]] = depth * 8 + (differ.astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
         depth += 1
     heads = np.flatnonzero(first)
@@ -225,7 +225,7 @@ def repeated_anchors(docs: DataFrame, n_buckets: int, length: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(settle, "ord long, item long")
 
 
-def _covered(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _covered(contents: list[bytes], anchor: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """For distinct items, which of each item's windows occur earlier in another one: booleans by place of the anchor in the window.
 
     Items stand in the order of (doc, anchor's place).
@@ -305,7 +305,7 @@ def covered_places(found: DataFrame, n_buckets: int, length: int) -> DataFrame:
         out.append(np.array(gone, np.int64).reshape(-1, 3))
         if len(seen) > 1:
             doc, p, n, a = (np.array(x, np.int64) for x in zip(*seen.values()))
-            covered = _covered([c for c, _ in seen], a, n, doc, p - a, length)
+            covered = _covered([c for c, _ in seen], a, n, length)
             edges = np.diff(covered.astype(np.int8), axis=1, prepend=0, append=0)
             i, lo = np.nonzero(edges == 1)
             hi = np.nonzero(edges == -1)[1] - 1
