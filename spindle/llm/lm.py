@@ -103,44 +103,43 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
 def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int, segment_bits: int) -> DataFrame:
     """Of every bucket: shares of texts' sums, counts of frequent words, text numbers, and the filter's segment. docs: ord, train, text."""
 
+    def part(ords: np.ndarray, trains: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        name = int(C.mix64(ords.astype(np.uint64) + np.arange(len(ords), dtype=np.uint64) * C._STEP).sum(dtype=np.uint64).view(np.int64))
+        found, first = tokens(texts)
+        pair, count = np.unique(pair_hashes(found, first)[1][np.repeat(trains, np.diff(first))], return_counts=True)
+        rows = []
+        for b, i in C.deal((pair % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+            # in order of the fingerprints, as the pairs are, so the steps between them are small
+            rows.append((b, PAIRS, name, np.diff((pair[i] >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)).tobytes(), count[i].astype(np.uint32).tobytes(), b"", b""))
+        del pair, count
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        is_hot = hot[at] == found
+        hot_counts = np.bincount(at[is_hot & trains[text]], minlength=len(hot)).astype(np.int64)
+        word, text = found[~is_hot], text[~is_hot]
+        order = np.argsort(word, kind="stable")
+        word, text = word[order], text[order]
+        new_word = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+        new = new_word | np.concatenate([[True], text[1:] != text[:-1]])[: len(word)]
+        times = np.diff(np.append(np.flatnonzero(new), len(word))).astype(np.uint32)
+        key_of = np.cumsum(new_word)[new] - 1
+        keys, text = word[new_word], text[new]
+        marked = (text.astype(np.uint32) << 1) | trains[text]
+        texts_of_key = np.bincount(key_of, minlength=len(keys)).astype(np.uint32)
+        starts = np.cumsum(texts_of_key, dtype=np.int64) - texts_of_key
+        for b, i in C.deal((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+            n = texts_of_key[i].astype(np.int64)
+            own = np.repeat(starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append((b, POSTINGS, name, keys[i].tobytes(), texts_of_key[i].tobytes(), marked[own].tobytes(), times[own].tobytes()))
+        rows.append((name % n_buckets, HOT, name, hot_counts.tobytes(), b"", b"", b""))
+        rows.append((name % n_buckets, TEXTS, name, ords.tobytes(), b"", b"", b""))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=ROW.replace(",", "").split()[::2])
+
     def spread(batches):
         for batch in batches:
             ords, trains, texts = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).to_pylist()
-            name = int(C.mix64(ords.astype(np.uint64) + np.arange(len(ords), dtype=np.uint64) * C._STEP).sum(dtype=np.uint64).view(np.int64))
-            hot_counts = np.zeros(len(hot), np.int64)
-            words, places, pairs = [], [], []
-            for lo, hi in C.chunks(texts):
-                found, first = tokens(texts[lo:hi])
-                text = np.repeat(np.arange(lo, hi), np.diff(first))
-                at = np.searchsorted(hot, found)
-                is_hot = hot[np.minimum(at, len(hot) - 1)] == found
-                hot_counts += np.bincount(at[is_hot & trains[text]], minlength=len(hot))
-                words.append(found[~is_hot])
-                places.append(text[~is_hot])
-                pairs.append(pair_hashes(found, first)[1][trains[text]])
-            word, text = np.concatenate(words or [np.zeros(0, np.uint64)]), np.concatenate(places or [np.zeros(0, np.int64)])
-            order = np.argsort(word, kind="stable")
-            word, text = word[order], text[order]
-            new_word = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
-            new = new_word | np.concatenate([[True], text[1:] != text[:-1]])[: len(word)]
-            times = np.diff(np.append(np.flatnonzero(new), len(word))).astype(np.uint32)
-            key_of = np.cumsum(new_word)[new] - 1
-            keys, text = word[new_word], text[new]
-            marked = (text.astype(np.uint32) << 1) | trains[text]
-            texts_of_key = np.bincount(key_of, minlength=len(keys)).astype(np.uint32)
-            starts = np.cumsum(texts_of_key, dtype=np.int64) - texts_of_key
-            rows = []
-            for b, i in C.deal((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                n = texts_of_key[i].astype(np.int64)
-                own = np.repeat(starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((b, POSTINGS, name, keys[i].tobytes(), texts_of_key[i].tobytes(), marked[own].tobytes(), times[own].tobytes()))
-            pair, count = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]), return_counts=True)
-            for b, i in C.deal((pair % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                # in order of the fingerprints, as the pairs are, so the steps between them are small
-                rows.append((b, PAIRS, name, np.diff((pair[i] >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)).tobytes(), count[i].astype(np.uint32).tobytes(), b"", b""))
-            rows.append((name % n_buckets, HOT, name, hot_counts.tobytes(), b"", b"", b""))
-            rows.append((name % n_buckets, TEXTS, name, ords.tobytes(), b"", b"", b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=ROW.replace(",", "").split()[::2])
+            for lo, hi in C.chunks(texts, 12 << 20):
+                yield part(ords[lo:hi], trains[lo:hi], texts[lo:hi])
 
     def settle(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -228,7 +227,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         logs = np.log10(hot_counts + 1.0)
         for batch in batches:
             texts, out = batch.column(2).to_pylist(), []
-            for lo, hi in C.chunks(texts):
+            for lo, hi in C.chunks(texts, 4 << 20):
                 token, first = tokens(texts[lo:hi])
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                 is_hot = hot[at] == token
