@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,3 +177,30 @@ def deal(bucket: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+
+
+def by_bucket(rows: DataFrame, n_buckets: int, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work on all rows of each bucket (column ``bucket``, 0 to n_buckets - 1), one bucket at a time.
+
+    Buckets are dealt to partitions in turn, as hashing a few small numbers would leave some partitions with many.
+    """
+    n = min(n_buckets, max(1, partitions(rows.sparkSession)))
+    dealt = rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+    at = rows.columns.index("bucket")
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            number = batch.column(at).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and number[a] != now:
+                        yield from work(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    now = number[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, schema)

@@ -36,7 +36,9 @@ def _named(cells: DataFrame, place: list[str]) -> DataFrame:
     repeated contents and by ranges, and a row's number in it is the name.
     """
     repeated = cells.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return C.materialize(repeated.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("name", F.monotonically_increasing_id()))
+    # ranges by a prefix keep the order and spare the driver whole contents when it samples the bounds
+    ranges = [F.substring(c, 1, 16) if c == "content" else F.col(c) for c in place]
+    return C.materialize(repeated.repartitionByRange(*ranges).sortWithinPartitions(*place).withColumn("name", F.monotonically_increasing_id()))
 
 
 def _regroup(cells: DataFrame, names: DataFrame, place: list[str], total: Column) -> DataFrame:
@@ -91,8 +93,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     same = ["n_norm", "name"]
     found = identities(docs, id_col, text_col, block)
-    best = found.groupBy(*same).agg(
-        F.min(F.struct((-F.col("n_points")).alias("p"), "key_null", "key_id", "key_tie")).alias("best"), F.sum("rows").alias("group_size"))
+    # a table of its own, so that the join with a hot group is dealt anew and can be split
+    best = C.materialize(found.groupBy(*same).agg(
+        F.min(F.struct((-F.col("n_points")).alias("p"), "key_null", "key_id", "key_tie")).alias("best"), F.sum("rows").alias("group_size")))
     info = found.join(best, same).select(
         *KEY, F.when(~F.col("best.key_null"), F.col("best.key_id")).alias("keep_id"), "group_size",
         ((F.col("best.key_null") == F.col("key_null")) & (F.col("best.key_id") == F.col("key_id")) & (F.col("best.key_tie") == F.col("key_tie"))).alias("is_best"))

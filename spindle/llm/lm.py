@@ -138,7 +138,7 @@ def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int, segment_bits: int
     def spread(batches):
         for batch in batches:
             ords, trains, texts = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).to_pylist()
-            for lo, hi in C.chunks(texts, 12 << 20):
+            for lo, hi in C.chunks(texts, 6 << 20):
                 yield part(ords[lo:hi], trains[lo:hi], texts[lo:hi])
 
     def settle(table: pa.Table) -> pa.Table:
@@ -170,7 +170,7 @@ def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int, segment_bits: int
         out.append({"bucket": bucket, "kind": PAIRS, "batch": 0, "a": bits.tobytes(), "b": np.array([kept.sum(), count.sum()], np.int64).tobytes(), "c": b"", "d": b""})
         return pa.Table.from_pylist(out, schema=table.schema)
 
-    return docs.mapInArrow(spread, ROW).groupBy("bucket").applyInArrow(settle, ROW)
+    return C.by_bucket(docs.mapInArrow(spread, ROW), n_buckets, settle, ROW)
 
 
 def shares(found: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def shares(found: DataFrame) -> DataFrame:
     return found.filter(F.col("kind").isin(POSTINGS, TEXTS)).groupBy("batch").applyInArrow(merge, "ord long, part double, known long")
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, max_bits: int = 1 << 29, frequent: int = 4096, sample: int = 2000, weight: float = 4.0) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, max_bits: int = 1 << 29, frequent: int = 1 << 16, sample: int = 4000, weight: float = 4.0) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are learnt from unless crc32 of the id as text leaves 2 on division by ``folds`` (a null id is learnt
@@ -212,13 +212,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     hot_counts = _hot_counts(found, len(hot))
     train_vocab = int(sum(s[0] for _, s in segments.values()) + (hot_counts > 0).sum())
     train_tokens = int(sum(s[1] for _, s in segments.values()) + hot_counts.sum())
-    for key, count in zip(hot, hot_counts):
-        if count:
-            b, top = int(key % np.uint64(n_buckets)), int(count).bit_length()
-            for level in range(1, top + 1):
-                for p in Filter.places(np.array([key >> np.uint64(32)]), level, segment_bits)[0].tolist():
-                    at = b * segment_bits + p
-                    bits[at >> 3] |= 128 >> (at & 7)
+    top = np.frexp(hot_counts.astype(np.float64))[1]
+    for level in range(1, int(top.max(initial=0)) + 1):
+        own = hot[top >= level]
+        places = (own % np.uint64(n_buckets) * np.uint64(segment_bits))[:, None] + Filter.places(own >> np.uint64(32), level, segment_bits)
+        np.bitwise_or.at(bits, places >> np.uint64(3), (128 >> (places & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
     model = spark.sparkContext.broadcast(bits)
     schema = T.StructType.fromDDL("ord long, doc_id long, n_tokens long, hot_part double, hot_known long, score double")
 
