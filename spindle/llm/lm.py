@@ -2,28 +2,33 @@
 
 Training counts of words and word pairs are quantised to powers of two; an n-gram of level q is in the filter
 once for each of 1..q, and probing levels until one is missing gives its count back, a little too high now
-and then but never lost. The filter has a fixed greatest size, whatever the corpus, and is broadcast. Pair
-probabilities are smoothed with word probabilities.
-
-Exact word counts for the unigram base travel in one shuffle: a bucket holds every posting of its words, so it
-counts them and returns each text's share of the sum. Very frequent words, picked from a bounded sample, are
-counted in a table of fixed size instead, so none of them fills a bucket.
+and then but never lost. The filter is in segments, one for each bucket of keys, and each has ``BITS`` bits for
+every entry it holds, so its error doesn't grow with the corpus. No task holds more than one segment: the words
+and pairs of every batch of texts go to their segments, and the levels come back to the batch's texts, which are
+scored there. Pair probabilities are smoothed with word probabilities.
+
+Exact word counts for the unigram base travel the same way: a bucket adds up the counts of its words and answers
+each batch. Very frequent words, picked from a bounded sample, are counted in a table of fixed size instead, so
+none of them fills a bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
 #: The token after the last word of a text, also the history of the first.
 END = np.uint64(0x5BD1E995C0FFEE11)
 PROBES = 3
-POSTINGS, PAIRS, HOT, TEXTS = range(4)
+#: Bits of a segment for each entry, a key at a level.
+BITS = 8
+WORDS, PAIRS, HOT, TEXTS, SUMS = range(5)
 ROW = "bucket int, kind int, batch long, a binary, b binary, c binary, d binary"
 KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
@@ -42,11 +47,21 @@ def pair_hashes(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return before, C.mix64(before * C._LONG_STEP + found)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 class Filter:
-    """Segments of bits, one for each bucket of keys."""
+    """Segments of bits, one for each bucket of keys; ``top`` is the largest level stored."""
 
-    def __init__(self, bits: np.ndarray, n_segments: int):
-        self.bits, self.n, self.size = bits, n_segments, len(bits) * 8 // n_segments
+    def __init__(self, bits: np.ndarray, n_segments: int, top: int = 63):
+        self.bits, self.n, self.size, self.top = bits, n_segments, len(bits) * 8 // n_segments, top
 
     @staticmethod
     def places(fingerprint: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -67,7 +82,7 @@ class Filter:
         """The highest level q for which all of 1..q are there; 0 for none."""
         out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         base, own = (keys % np.uint64(self.n)) * np.uint64(self.size), keys >> np.uint64(32)
-        while len(left):
+        while len(left) and level <= self.top:
             places = self.places(own[left], level, self.size)
             for k in range(PROBES):
                 at = base[left] + places[:, k]
@@ -88,7 +103,10 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
 
     The choice only says which counts travel in the fixed table; every result is the same for any choice.
     """
-    rows = docs.select("text", F.xxhash64("ord").alias("h")).orderBy("h").limit(sample)
+    h = F.xxhash64("ord")
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # by hash first, so that few texts travel; identical rows share a hash, so a limit as well
+    rows = docs.filter(h <= F.lit(last).cast("long")).select("text").limit(sample)
     schema = "key long, n long"
 
     def run(batches):
@@ -96,159 +114,145 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
             keys, counts = np.unique(tokens(batch.column(0).to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    top = rows.select("text").repartition(4).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).collect()
+    top = rows.repartition(4).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).collect()
     return np.unique(np.append(np.array([r.key for r in top], np.int64).view(np.uint64), END))
 
 
-def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int, segment_bits: int) -> DataFrame:
-    """Of every bucket: shares of texts' sums, counts of frequent words, text numbers, and the filter's segment. docs: ord, train, text."""
+def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
+    """Of every bucket: counts and levels of batches' words, levels of their pairs, counts of frequent words, texts and sums. docs: ord, doc_id, train, text.
+
+    Sums are the numbers of known words, of their tokens, of pairs that no learnt text has, and of those that the
+    filter takes for known.
+    """
 
-    def part(ords: np.ndarray, trains: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        name = int(C.mix64(ords.astype(np.uint64) + np.arange(len(ords), dtype=np.uint64) * C._STEP).sum(dtype=np.uint64).view(np.int64))
+    def part(place: int, ords: np.ndarray, ids: pa.Array, trains: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+        # the place tells batches of identical rows apart
+        own = C.mix64(ords.astype(np.uint64) + np.arange(len(ords), dtype=np.uint64) * C._STEP).sum(dtype=np.uint64) ^ C.mix64(np.array([place], np.uint64))
+        name = int(own.view(np.int64)[0])
         found, first = tokens(texts)
-        pair, count = np.unique(pair_hashes(found, first)[1][np.repeat(trains, np.diff(first))], return_counts=True)
+        pair, which = np.unique(pair_hashes(found, first)[1], return_inverse=True)
+        count = np.bincount(which.reshape(-1), np.repeat(trains, np.diff(first)), len(pair))
+        del which
         rows = []
         for b, i in C.deal((pair % np.uint64(n_buckets)).astype(np.int64), n_buckets):
             # in order of the fingerprints, as the pairs are, so the steps between them are small
-            rows.append((b, PAIRS, name, np.diff((pair[i] >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)).tobytes(), count[i].astype(np.uint32).tobytes(), b"", b""))
+            rows.append((b, PAIRS, name, pack(np.diff((pair[i] >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))), pack(count[i].astype(np.uint32)), b"", b""))
         del pair, count
         text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
         at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
         is_hot = hot[at] == found
         hot_counts = np.bincount(at[is_hot & trains[text]], minlength=len(hot)).astype(np.int64)
-        word, text = found[~is_hot], text[~is_hot]
-        order = np.argsort(word, kind="stable")
-        word, text = word[order], text[order]
-        new_word = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
-        new = new_word | np.concatenate([[True], text[1:] != text[:-1]])[: len(word)]
-        times = np.diff(np.append(np.flatnonzero(new), len(word))).astype(np.uint32)
-        key_of = np.cumsum(new_word)[new] - 1
-        keys, text = word[new_word], text[new]
-        marked = (text.astype(np.uint32) << 1) | trains[text]
-        texts_of_key = np.bincount(key_of, minlength=len(keys)).astype(np.uint32)
-        starts = np.cumsum(texts_of_key, dtype=np.int64) - texts_of_key
-        for b, i in C.deal((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-            n = texts_of_key[i].astype(np.int64)
-            own = np.repeat(starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((b, POSTINGS, name, keys[i].tobytes(), texts_of_key[i].tobytes(), marked[own].tobytes(), times[own].tobytes()))
+        word, which = np.unique(found[~is_hot], return_inverse=True)
+        count = np.bincount(which.reshape(-1), trains[text[~is_hot]], len(word)).astype(np.uint32)
+        for b, i in C.deal((word % np.uint64(n_buckets)).astype(np.int64), n_buckets):
+            rows.append((b, WORDS, name, pack(np.diff(word[i], prepend=np.uint64(0))), pack(count[i]), b"", b""))
         rows.append((name % n_buckets, HOT, name, hot_counts.tobytes(), b"", b"", b""))
-        rows.append((name % n_buckets, TEXTS, name, ords.tobytes(), b"", b"", b""))
+        raw = [t.encode("utf-8") for t in texts]
+        ids_null = np.array(ids.is_null()).astype(np.uint8)
+        rows.append((name % n_buckets, TEXTS, name, ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), ids_null.tobytes(), zstandard.compress(b"".join(raw), 3), np.array([len(x) for x in raw], np.int64).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=ROW.replace(",", "").split()[::2])
 
     def spread(batches):
+        place = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ords, trains, texts = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool), batch.column(2).to_pylist()
+            ords, ids, trains, texts = batch.column(0).to_numpy(), batch.column(1), np.array(batch.column(2).to_pylist(), bool), batch.column(3).to_pylist()
             for lo, hi in C.chunks(texts, 6 << 20):
-                yield part(ords[lo:hi], trains[lo:hi], texts[lo:hi])
+                yield part(place, ords[lo:hi], ids[lo:hi], trains[lo:hi], texts[lo:hi])
+                place += 1
 
     def settle(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         of = lambda kind: [r for r in rows if r["kind"] == kind]
         bucket = rows[0]["bucket"]
         out = [r for r in rows if r["kind"] in (HOT, TEXTS)]
-        own = of(POSTINGS)
-        read = lambda name, kind: [np.frombuffer(r[name], kind) for r in own]
-        keys = read("a", np.uint64)
-        distinct, at = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_inverse=True)
-        at = np.split(at.reshape(-1), np.cumsum([len(k) for k in keys])[:-1]) if keys else []
-        count, posts = np.zeros(len(distinct), np.int64), []
-        for k, n, marked, times in zip(at, read("b", np.uint32), read("c", np.uint32), read("d", np.uint32)):
-            key = np.repeat(k, n)
-            posts.append((key, marked >> 1, times))
-            count += np.bincount(key, times * (marked & 1), len(distinct)).astype(np.int64)
-        logs = np.log10(count + 1.0)
-        for r, (key, text, times) in zip(own, posts):
-            who, k = np.unique(text, return_inverse=True)
-            sums, known = np.bincount(k, logs[key] * times), np.bincount(k, times * (count[key] > 0)).astype(np.int64)
-            out.append({"bucket": bucket, "kind": POSTINGS, "batch": r["batch"], "a": who.astype(np.uint32).tobytes(), "b": sums.tobytes(), "c": known.astype(np.uint32).tobytes(), "d": b""})
-        pairs = of(PAIRS)
-        print_, at = np.unique(np.concatenate([np.cumsum(np.frombuffer(r["a"], np.uint32), dtype=np.uint32) for r in pairs] or [np.zeros(0, np.uint32)]), return_inverse=True)
-        times = np.bincount(at.reshape(-1), np.concatenate([np.frombuffer(r["b"], np.uint32) for r in pairs] or [np.zeros(0)]), len(print_)).astype(np.int64)
-        kept = count > 0
-        marks = np.concatenate([distinct[kept] >> np.uint64(32), print_.astype(np.uint64)])
-        bits = Filter.segment(marks, np.concatenate([count[kept], times]), segment_bits)
-        out.append({"bucket": bucket, "kind": PAIRS, "batch": 0, "a": bits.tobytes(), "b": np.array([kept.sum(), count.sum()], np.int64).tobytes(), "c": b"", "d": b""})
+
+        def added(rows: list[dict], kind: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            """Distinct keys, their counts, and where each row's keys are among them."""
+            keys = [np.cumsum(unpack(r["a"], kind), dtype=kind) for r in rows]
+            distinct, at = np.unique(np.concatenate([*keys, np.zeros(0, kind)]), return_inverse=True)
+            at = at.reshape(-1)
+            count = np.bincount(at, np.concatenate([*(unpack(r["b"], np.uint32) for r in rows), np.zeros(0)]), len(distinct)).astype(np.int64)
+            return distinct, count, np.split(at, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
+
+        words, pairs = of(WORDS), of(PAIRS)
+        distinct, count, of_words = added(words, np.uint64)
+        print_, seen, of_pairs = added(pairs, np.uint32)
+        kept, learnt = count > 0, seen > 0
+        mark, print_ = distinct >> np.uint64(32), print_.astype(np.uint64)
+        stored = np.concatenate([count[kept], seen[learnt]])
+        tops = np.frexp(stored.astype(np.float64))[1]
+        size = max(64, -(-BITS * int(tops.sum()) // 8) * 8)
+        segment = Filter(Filter.segment(np.concatenate([mark[kept], print_[learnt]]), stored, size), 1, int(tops.max(initial=0)))
+        of_word, of_pair = (segment.levels(x << np.uint64(32)).astype(np.uint8) for x in (mark, print_))
+        for r, k in zip(words, of_words):
+            out.append({"bucket": bucket, "kind": WORDS, "batch": r["batch"], "a": pack(of_word[k]), "b": pack(count[k]), "c": b"", "d": b""})
+        for r, k in zip(pairs, of_pairs):
+            out.append({"bucket": bucket, "kind": PAIRS, "batch": r["batch"], "a": pack(of_pair[k]), "b": b"", "c": b"", "d": b""})
+        sums = np.array([kept.sum(), count.sum(), (~learnt).sum(), (of_pair[~learnt] > 0).sum()], np.int64)
+        out.append({"bucket": bucket, "kind": SUMS, "batch": 0, "a": sums.tobytes(), "b": b"", "c": b"", "d": b""})
         return pa.Table.from_pylist(out, schema=table.schema)
 
     return C.by_bucket(docs.mapInArrow(spread, ROW), n_buckets, settle, ROW)
 
 
-def shares(found: DataFrame) -> DataFrame:
-    """ord, part and known of every text: the sum over its words that are not frequent, and how many are known."""
+def _in_order(keys: np.ndarray, answers: list[np.ndarray], n_buckets: int) -> np.ndarray:
+    """The answers for sorted keys, from what the buckets sent in order of their numbers."""
+    out = np.zeros(len(keys), np.int64)
+    out[np.argsort((keys % np.uint64(n_buckets)).astype(np.int64), kind="stable")] = np.concatenate([*answers, np.zeros(0, np.int64)])
+    return out
 
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ords = np.frombuffer(next(r["a"] for r in rows if r["kind"] == TEXTS), np.int64)
-        part, known = np.zeros(len(ords)), np.zeros(len(ords), np.int64)
-        for r in sorted((r for r in rows if r["kind"] == POSTINGS), key=lambda r: r["bucket"]):
-            who = np.frombuffer(r["a"], np.uint32)
-            part[who] += np.frombuffer(r["b"], np.float64)
-            known[who] += np.frombuffer(r["c"], np.uint32)
-        return pa.table({"ord": ords, "part": part, "known": known})
 
-    return found.filter(F.col("kind").isin(POSTINGS, TEXTS)).groupBy("batch").applyInArrow(merge, "ord long, part double, known long")
+def totals(found: DataFrame) -> np.ndarray:
+    """The sums of all buckets; a row of four numbers a bucket comes to the driver."""
+    return np.sum([np.frombuffer(r.a, np.int64) for r in found.filter(F.col("kind") == SUMS).select("a").toLocalIterator()] or [np.zeros(4, np.int64)], axis=0)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, max_bits: int = 1 << 29, frequent: int = 1 << 16, sample: int = 4000, weight: float = 4.0) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, frequent: int = 1 << 16, sample: int = 4000, weight: float = 4.0) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are learnt from unless crc32 of the id as text leaves 2 on division by ``folds`` (a null id is learnt
-    from). The filter has a bit for each byte of the corpus, ``max_bits`` at most. A pair's probability is
-    (count(h, w) + weight * p(w)) / (count(h) + weight), with p(w) = (count(w) + 1) / (N + V + 1), from the filter.
-    Null and empty texts have the end token only. Identical rows are learnt from each for itself; an empty table
-    gives an empty result.
+    from). A pair's probability is (count(h, w) + weight * p(w)) / (count(h) + weight), with
+    p(w) = (count(w) + 1) / (N + V + 1), from the filter; the levels of the frequent words come from their own
+    table. Null and empty texts have the end token only. Identical rows are learnt from each for itself; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     total = C.text_bytes(docs, text_col)
     n_buckets = max(C.partitions(spark), -(-total // (64 << 20)))
-    segment_bits = max(1024, min(max_bits, total) // n_buckets // 8 * 8)
     rows = C.ordered(docs, id_col, text_col)
     hot = frequent_words(rows, frequent, sample)
-    found = C.materialize(gathered(rows.select("ord", ~C.held_out("doc_id", folds), "text"), hot, n_buckets, segment_bits))
-    segments = {r.bucket: (r.a, np.frombuffer(r.b, np.int64)) for r in found.filter(F.col("kind") == PAIRS).select("bucket", "a", "b").toLocalIterator()}
-    bits = np.zeros(n_buckets * segment_bits // 8, np.uint8)
-    for b, (a, _) in segments.items():
-        bits[b * segment_bits // 8 : (b + 1) * segment_bits // 8] = np.frombuffer(a, np.uint8)
-    hot_counts = _hot_counts(found, len(hot))
-    train_vocab = int(sum(s[0] for _, s in segments.values()) + (hot_counts > 0).sum())
-    train_tokens = int(sum(s[1] for _, s in segments.values()) + hot_counts.sum())
-    top = np.frexp(hot_counts.astype(np.float64))[1]
-    for level in range(1, int(top.max(initial=0)) + 1):
-        own = hot[top >= level]
-        places = (own % np.uint64(n_buckets) * np.uint64(segment_bits))[:, None] + Filter.places(own >> np.uint64(32), level, segment_bits)
-        np.bitwise_or.at(bits, places >> np.uint64(3), (128 >> (places & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    model = spark.sparkContext.broadcast(bits)
-    schema = T.StructType.fromDDL("ord long, doc_id long, n_tokens long, hot_part double, hot_known long, score double")
-
-    def run(batches):
-        words = Filter(model.value, n_buckets)
-        logs = np.log10(hot_counts + 1.0)
-        for batch in batches:
-            texts, out = batch.column(2).to_pylist(), []
-            for lo, hi in C.chunks(texts, 4 << 20):
-                token, first = tokens(texts[lo:hi])
-                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                is_hot = hot[at] == token
-                distinct, which = np.unique(token, return_inverse=True)
-                count = counts_of(words.levels(distinct))[which.reshape(-1)]
-                before, pair = pair_hashes(token, first)
-                of_before = np.concatenate([[0.0], count[:-1]])
-                of_before[first[:-1]] = counts_of(words.levels(np.array([END])))[0]
-                both = counts_of(words.levels(pair))
-                single = (count + 1) / (train_tokens + train_vocab + 1)
-                p = np.minimum(1.0, (both + weight * single) / (np.maximum(of_before, both) + weight))
-                total_of = lambda x: np.add.reduceat(x, first[:-1])
-                out.append((np.diff(first), total_of(np.where(is_hot, logs[at], 0.0)), total_of((is_hot & (hot_counts[at] > 0)).astype(np.int64)), total_of(np.log10(p))))
-            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.float64())))], names=schema.names)
-
-    scored = rows.select("ord", "doc_id", "text").mapInArrow(run, schema)
-    part = shares(found).dropDuplicates(["ord"])
-    out = scored.join(part, "ord")
-    divisor = float(np.log10(train_tokens + train_vocab + 1.0))
-    return out.select(
-        "doc_id", C.held_out("doc_id", folds).alias("held_out"), "n_tokens", (F.col("hot_known") + F.col("known")).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("hot_part") + F.col("part") - F.col("n_tokens") * divisor).alias("base_score"), "score")
+    found = C.materialize(gathered(rows.select("ord", "doc_id", ~C.held_out("doc_id", folds), "text"), hot, n_buckets))
+    hot_counts, sums = _hot_counts(found, len(hot)), totals(found)
+    train_vocab, train_tokens = int(sums[0] + (hot_counts > 0).sum()), int(sums[1] + hot_counts.sum())
+
+    def score(table: pa.Table) -> pa.Table:
+        answers = sorted((r for r in table.to_pylist() if r["kind"] in (WORDS, PAIRS, TEXTS)), key=lambda r: r["bucket"])
+        of = lambda kind: [r for r in answers if r["kind"] == kind]
+        (own,) = of(TEXTS)
+        ends, raw = np.cumsum(np.frombuffer(own["d"], np.int64)), zstandard.decompress(own["c"])
+        token, first = tokens([raw[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)])
+        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+        is_hot = hot[at] == token
+        level, exact = np.frexp(hot_counts.astype(np.float64))[1].astype(np.int64)[at], hot_counts[at]
+        word, which = np.unique(token[~is_hot], return_inverse=True)
+        which = which.reshape(-1)
+        level[~is_hot] = _in_order(word, [unpack(r["a"], np.uint8) for r in of(WORDS)], n_buckets)[which]
+        exact[~is_hot] = _in_order(word, [unpack(r["b"], np.int64) for r in of(WORDS)], n_buckets)[which]
+        count = counts_of(level)
+        before, pair = pair_hashes(token, first)
+        of_before = np.concatenate([[0.0], count[:-1]])
+        of_before[first[:-1]] = counts_of(np.frexp(hot_counts[hot == END].astype(np.float64))[1])[0]
+        pair, which = np.unique(pair, return_inverse=True)
+        both = counts_of(_in_order(pair, [unpack(r["a"], np.uint8) for r in of(PAIRS)], n_buckets))[which.reshape(-1)]
+        single = (count + 1) / (train_tokens + train_vocab + 1)
+        p = np.minimum(1.0, (both + weight * single) / (np.maximum(of_before, both) + weight))
+        total_of = lambda x: np.add.reduceat(x, first[:-1])
+        base = total_of(np.log10(exact + 1.0)) - np.diff(first) * np.log10(train_tokens + train_vocab + 1.0)
+        ids = pa.array(np.frombuffer(own["a"], np.int64), mask=np.frombuffer(own["b"], np.uint8).astype(bool))
+        return pa.table({"doc_id": ids, "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((exact > 0).astype(np.int64)), "base_score": base, "score": total_of(np.log10(p))})
+
+    out = found.filter(F.col("kind").isin(WORDS, PAIRS, TEXTS)).groupBy("batch").applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", C.held_out("doc_id", folds).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _hot_counts(found: DataFrame, n: int) -> np.ndarray:

@@ -69,3 +69,33 @@ def test_filter_never_loses_a_count():
 
 def test_empty(spark):
     assert L.lm_scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_levels_end_in_a_full_segment():
+    keys = np.arange(1, 50, dtype=np.uint64) << np.uint64(32)
+    assert (L.Filter(np.full(8, 255, np.uint8), 1, top=5).levels(keys) == 5).all()
+    assert (L.Filter(np.full(8, 255, np.uint8), 1).levels(keys) <= 63).all()
+
+
+def test_filter_follows_the_corpus(spark):
+    # words of one letter, so a corpus has many more n-grams than a bit a byte could hold
+    rng, rates = random.Random(8), []
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    for n in (60, 600):
+        rows = [(i, " ".join(rng.choices(letters, k=300))) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        slim = L.C.ordered(df)
+        found = L.gathered(slim.select("ord", "doc_id", ~L.C.held_out("doc_id", 7), "text"), L.frequent_words(slim, 100, 50), 4)
+        vocab, count, unseen, false = L.totals(found.cache())
+        assert unseen > 1000
+        rates.append(false / unseen)
+    assert all(r < 0.05 for r in rates)
+
+
+def test_batches_of_identical_rows(spark):
+    rows = [(1, "the same row again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = sorted(L.lm_scores(df).collect(), key=lambda r: str(tuple(r)))
+    assert len(found) == 40
+    for r, w in zip(found, base(rows), strict=True):
+        assert tuple(r)[:5] == w[:5] and math.isclose(r.base_score, w[5], rel_tol=1e-9)
