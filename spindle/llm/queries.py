@@ -54,7 +54,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.sentence_dedup(_documents(spark, sf_dir))
+    return sentence_dedup.sentence_dedup(_documents(spark, sf_dir), steady=True)
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup}

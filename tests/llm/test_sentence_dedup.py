@@ -77,3 +77,27 @@ def test_one_hot_passage(spark):
 
 def test_empty(spark):
     assert S.sentence_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_finds_a_passage_at_any_offset(spark, tmp_path):
+    from spindle.llm import queries
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    for trial in range(5):
+        passage = " ".join(word() for _ in range(60))
+        texts = [" ".join([*(word() for _ in range(k)), passage, *(word() for _ in range(9))]) for k in range(14)]
+        path = str(tmp_path / str(trial))
+        spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{path}/documents.parquet")
+        found = sorted(queries.op10_sentence_dedup(spark, path).collect())
+        assert found[0].n_removed == 0
+        # what is lost at either edge is less than two pieces
+        assert all(r.n_words_removed >= 60 - 2 * 2 * LONGEST and r.n_removed >= RUN for r in found[1:])
+        assert sum(r.n_words_removed for r in found[1:]) >= 13 * 42
+        assert all(set(t.split()) - set(r.text.split()) <= set(passage.split()) for r, t in zip(found, texts))
+
+
+def test_closing_quotes_end_sentences():
+    text = 'One two." Three four.) Five ”six!” Seven。 eight. ) nine " ten'
+    begins, _ = S.sentences(S.C.Words([text]), 12)
+    assert [text.split()[b] for b in begins] == ["One", "Three", "Five", "Seven。", "eight.", ")"]
