@@ -82,19 +82,42 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A column of docs with that name is replaced; names that begin with _mix_ are kept for the work.
     """
+    return _placed(docs, mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.lit(0)), id_col, text_col).drop("_mix_row")
+
+
+def _placed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The taken copies with ``position`` and ``_mix_row`` of their plan row, range-sorted by position."""
     docs = docs.drop("position")
-    plan = mixture(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    # of equal rows each has a plan row of its own: number both sides alike
-    order = W.partitionBy("_mix_id", "_mix_tie").orderBy(F.lit(0))
+    # of equal rows each has a plan row of its own: number both sides alike, which moves the texts once more
+    single = C.ids_are_unique(docs, id_col)
+    nth = lambda order: F.lit(1) if single else F.row_number().over(W.partitionBy("_mix_id", "_mix_tie").orderBy(order))
     rows = docs.withColumns({"_mix_id": F.col(id_col).cast("long"), "_mix_tie": F.xxhash64(C.text_or_empty(text_col))})
-    rows = rows.withColumn("_mix_nth", F.row_number().over(order))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), "positions")
-    plan = plan.withColumn("_mix_nth", F.row_number().over(W.partitionBy("_mix_id", "_mix_tie").orderBy("positions")))
+    rows = rows.withColumn("_mix_nth", nth(F.lit(0)))
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), "positions", "_mix_row")
+    plan = plan.withColumn("_mix_nth", nth(F.col("positions")))
     both = rows.alias("r").join(plan.alias("p"), F.col("r._mix_id").eqNullSafe(F.col("p._mix_id")) & (F.col("r._mix_tie") == F.col("p._mix_tie")) & (F.col("r._mix_nth") == F.col("p._mix_nth")))
-    out = both.select(*(F.col(f"r.{c}") for c in docs.columns), F.explode("p.positions").alias("position"))
+    out = both.select(*(F.col(f"r.{c}") for c in docs.columns), "p._mix_row", F.explode("p.positions").alias("position"))
     return out.repartitionByRange("position").sortWithinPartitions("position")
 
 
+def placed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken, positions; the last two from the copies that the curriculum placed.
+
+    ``taken`` counts the words of the placed texts, ``positions`` are where they stand, null for none.
+    """
+    plan = C.materialize(mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.monotonically_increasing_id()))
+    placed = _placed(docs, plan, id_col, text_col)
+
+    def whole(batches):
+        yield from batches
+
+    # whole rows pass through Python, so that no column and not the sort is left out
+    copies = placed.mapInArrow(whole, placed.schema)
+    size = F.coalesce(F.regexp_count(text_col, F.lit(C.WORD)), F.lit(0)).cast("long")
+    found = copies.select("_mix_row", size.alias("words"), "position").groupBy("_mix_row").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("position")).alias("places"))
+    return plan.join(found, "_mix_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), F.col("places").alias("positions"))
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,

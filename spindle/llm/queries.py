@@ -34,7 +34,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.placed_digest(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

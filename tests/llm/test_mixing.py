@@ -50,3 +50,18 @@ def test_reruns_agree_and_empty(spark):
     assert rows(df.repartition(3)) == rows(df.repartition(7))
     assert M.mixture(df.limit(0)).count() == 0 and M.curriculum(df.limit(0)).count() == 0
     assert all(r.taken == 0 and r.target == 0 for r in M.mixture(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect())
+
+
+def test_query_places_every_copy(spark, tmp_path):
+    from spindle.llm import queries
+
+    rows = make(3, 200) + [(8, "again", "b", 1, "x"), (8, "again", "b", 1, "x"), (None, "one two", "a", 1, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_mixing(spark, str(tmp_path))
+    assert "rangepartitioning(position" in found._jdf.queryExecution().toString()
+    want = M.mixture(df).collect()
+    plain = lambda rs: sorted((str(r.doc_id), r.size, r.source_size, r.target, r.taken) for r in rs)
+    assert plain(found.collect()) == plain(want)
+    places = lambda rs: sorted((str(r.doc_id), r.taken, sorted(r.positions or [])) for r in rs)
+    assert places(M.placed_digest(df).collect()) == places(want)
