@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +19,68 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset, as in local tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary one; on a cluster that would be a folder of each machine, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spindle-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return base.rstrip("/")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/spindle-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here and the planner knows the size."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends here and the planner knows the size.
+
+    All tables of an application are in one folder, ``spindle-`` and its id. ``discard`` deletes one that no result
+    needs any more, ``clear`` all that are left.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spindle-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spindle_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote. Nothing that is still to run may read it."""
+    for df in tables:
+        if path := getattr(df, "_spindle_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote by ``materialize``; results that read them are gone too."""
+    _delete(spark, _scratch(spark))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out anew if they come from fewer files than there are cores: a file of one row group is one task, however long the work on it takes."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 0 < len(docs.inputFiles()) < cores else docs
+
+
+def by_share(docs: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows of docs, those whose hash of key is in so small a part of all hashes; all rows if there are fewer.
+
+    A filter with a threshold from the number of rows, so that no task sees more than its own share of the sample.
+    Rows of one key go together.
+    """
+    n = docs.count()
+    return docs if n <= most else docs.filter(F.xxhash64(key) < int(-(2**63) + 2**64 * (most / n)))
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -42,9 +92,18 @@ def held_out(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 2, F.lit(False))
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts, for sizing buckets."""
-    return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+@dataclass(frozen=True)
+class Profile:
+    """Bytes of all texts, for sizing buckets, and whether no id is null or occurs twice."""
+
+    n_bytes: int
+    unique: bool
+
+
+def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Profile:
+    """One pass over docs."""
+    n, known, size = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col).cast("long")), F.sum(F.octet_length(text_col))).first()
+    return Profile(int(size or 0), n == known)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -152,13 +211,14 @@ def ids_are_unique(docs: DataFrame, id_col: str = "doc_id") -> bool:
     return n == known
 
 
-def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique: bool | None = None) -> DataFrame:
     """ord, doc_id and text of every row: ord is a number of each distinct id and text, in the order of ids, null last.
 
     Where ids are unique they are the numbers. Identical rows share a number and so count as one document.
+    ``unique`` says so if it is known.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    if ids_are_unique(docs, id_col):
+    if ids_are_unique(docs, id_col) if unique is None else unique:
         # never null, so joins on it add no filter and can share one exchange
         return slim.select(F.coalesce("doc_id", F.lit(0)).alias("ord"), "doc_id", "text")
     slim = slim.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_tie": F.xxhash64("text")})

@@ -139,9 +139,9 @@ def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document and get the same result; rows with the same id and other text are documents in the order of their
     hashes. Null and empty texts have no sentences. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n_buckets = C.buckets_for(spark, C.text_bytes(docs, text_col))
-    rows = C.ordered(docs, id_col, text_col)
+    spark, size = docs.sparkSession, C.profile(docs, id_col, text_col)
+    n_buckets = C.buckets_for(spark, size.n_bytes)
+    rows = C.ordered(docs, id_col, text_col, size.unique)
     found = repeated_runs(rows, n_buckets, run, longest, least, steady).groupBy("ord").agg(F.collect_set("at").alias("ats"))
     schema = T.StructType.fromDDL("doc_id long, n_sentences int, n_removed int, n_words_removed int, text string")
 

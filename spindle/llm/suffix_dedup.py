@@ -325,10 +325,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows with the same id and other text are documents in the order of their hashes. Null counts as empty. Texts
     shorter than a window stay whole; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    total = C.text_bytes(docs, text_col)
-    n_buckets = C.buckets_for(spark, total, 16 << 20)
-    rows = C.ordered(docs, id_col, text_col)
+    spark, size = docs.sparkSession, C.profile(docs, id_col, text_col)
+    n_buckets = C.buckets_for(spark, size.n_bytes, 16 << 20)
+    rows = C.ordered(docs, id_col, text_col, size.unique)
     asked = repeated_anchors(rows, n_buckets, length).groupBy("ord").agg(F.collect_list("item").alias("items"))
     # both joins with the texts take the same columns, so they read one exchange
     places = covered_places(rows.join(asked, "ord").select("ord", "text", "items", "doc_id"), n_buckets, length)
