@@ -99,22 +99,22 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
-    """Sorted hashes of END and the n most frequent words of the ``sample`` rows of least hash.
+    """Sorted hashes of END and the n most frequent words of about ``sample`` rows, picked by hash (``common.by_share``).
 
-    The choice only says which counts travel in the fixed table; every result is the same for any choice.
+    The choice only says which counts travel in the fixed table; every result is the same for any choice. Each task
+    counts its own part of the sample, so no text is moved.
     """
-    h = F.xxhash64("ord")
-    last = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    # by hash first, so that few texts travel; identical rows share a hash, so a limit as well
-    rows = docs.filter(h <= F.lit(last).cast("long")).select("text").limit(sample)
     schema = "key long, n long"
 
     def run(batches):
         for batch in batches:
-            keys, counts = np.unique(tokens(batch.column(0).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+            texts = batch.column(0).to_pylist()
+            for lo, hi in C.chunks(texts):
+                keys, counts = np.unique(tokens(texts[lo:hi])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    top = rows.repartition(4).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).collect()
+    rows = C.by_share(docs, F.col("ord"), sample).select("text")
+    top = rows.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).collect()
     return np.unique(np.append(np.array([r.key for r in top], np.int64).view(np.uint64), END))
 
 
@@ -217,9 +217,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     table gives an empty result.
     """
     spark = docs.sparkSession
-    total = C.text_bytes(docs, text_col)
-    n_buckets = max(C.partitions(spark), -(-total // (64 << 20)))
-    rows = C.ordered(docs, id_col, text_col)
+    size = C.profile(docs, id_col, text_col)
+    n_buckets = max(C.partitions(spark), -(-size.n_bytes // (64 << 20)))
+    rows = C.ordered(docs, id_col, text_col, size.unique)
     hot = frequent_words(rows, frequent, sample)
     found = C.materialize(gathered(rows.select("ord", "doc_id", ~C.held_out("doc_id", folds), "text"), hot, n_buckets))
     hot_counts, sums = _hot_counts(found, len(hot)), totals(found)
