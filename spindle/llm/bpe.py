@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import common as C
+
 #: Unicode white space, as the pre-tokenizer's pattern means it. A fixed value.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries kept in each memo of a worker; beyond that it starts anew.
-MEMO = 300_000
+#: Entries kept in each memo of a worker, and bytes of an entry's key; beyond the first it starts anew, longer keys aren't kept.
+MEMO, MEMO_KEY = 300_000, 256
 
 
 @lru_cache(1)
@@ -59,9 +61,11 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= MEMO_KEY:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -153,7 +157,7 @@ def _lists(found: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) of every whole text; null counts as empty, which has no ids."""
+    """doc_id and ids (array of int) of every whole text; null counts as empty, which has no ids. Repeated rows and null ids stay; an empty table gives an empty result."""
 
     def run(batches):
         c = codec(vocab)
@@ -162,11 +166,11 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], names=["doc_id", "ids"])
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>")
+    return C.spread(slim).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab: str) -> DataFrame:
-    """doc_id and text of the ids that ``encode`` gives."""
+    """doc_id and text of the ids that ``encode`` gives; null or no ids give the empty text. Repeated rows stay; an empty table gives an empty result."""
 
     def run(batches):
         c = codec(vocab)
@@ -180,7 +184,8 @@ def decode(encoded: DataFrame, vocab: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for, of every whole text, encoded and decoded again in one pass.
 
-    Null and empty texts have no tokens and decode to the empty text; repeated rows and null ids stay as they are.
+    Null and empty texts have no tokens and decode to the empty text; repeated rows and null ids stay as they are; an
+    empty table gives an empty result. A text is encoded whole whatever its length, pre-token by pre-token.
     """
     schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
@@ -194,4 +199,4 @@ def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return slim.mapInArrow(run, schema)
+    return C.spread(slim).mapInArrow(run, schema)
