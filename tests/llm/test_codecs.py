@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -105,3 +107,31 @@ def test_spans_and_hysteresis(spark):
     assert [r.start_s for r in rows if r.doc_id == 1][1] == rows[0].end_s
     array = audio.tensor_array([np.array(r.tensor, np.float32).reshape(audio.SPAN, audio.MELS) for r in rows])
     assert array.type.shape == [audio.SPAN, audio.MELS] and isinstance(array.type, pa.FixedShapeTensorType)
+
+
+@pytest.mark.parametrize("n", [1, 300, 12_345, 40_000])
+def test_blocks_change_nothing(monkeypatch, n):
+    raw = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
+    whole = audio.features(audio.to_wave(raw))
+    for block in (64, 4096, 20_000):
+        monkeypatch.setattr(audio, "BLOCK", block)
+        part = audio.features(audio.to_wave(raw))
+        assert part["tensor"].tobytes() == whole["tensor"].tobytes() and part["segments"] == whole["segments"] and part["spans"] == whole["spans"]
+
+
+def test_log_mel_by_direct_computation():
+    raw = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    y = audio.resample((raw.astype(np.float32) - 128) / 128).astype(float)
+    y = np.concatenate([y, np.zeros(-(len(y) - audio.FRAME) % audio.HOP)])
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    got = audio.features(audio.to_wave(raw.tobytes()))
+    assert got["n_frames"] == (len(y) - audio.FRAME) // audio.HOP + 1
+    for frame in (0, 7, got["n_frames"] - 1):
+        x = y[frame * audio.HOP : frame * audio.HOP + audio.FRAME] * [0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.FRAME - 1)) for i in range(audio.FRAME)]
+        power = [abs(sum(v * np.exp(-2j * math.pi * k * i / audio.FRAME) for i, v in enumerate(x))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        for band in range(audio.MELS):
+            lo, mid, hi = edges[band : band + 3]
+            total = sum(p * max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for p, f in zip(power, (k * rate / audio.FRAME for k in range(len(power)))))
+            assert abs(got["tensor"].reshape(-1, audio.MELS)[frame, band] - math.log(total + 1e-6)) < 0.01
