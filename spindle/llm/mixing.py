@@ -18,16 +18,16 @@ PART_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
-    """One row a source: source, source_size, weight, target.
+    """One row a source: source, source_size, turn, weight, target. sizes: source, size.
 
-    Sources by code point, null last, take the weights in turn. They share ``budget`` times all sizes by weight;
+    Sources by code point, null last, take the weights in turn (``turn``: 0, 1, ...). They share ``budget`` times all sizes by weight;
     a target stops at ``most`` times its source's size and the excess is shared again by weight. That process ends
     at one level L for which the targets min(most * size, L * weight) use up the budget, so L comes from running
-    sums over sources in the order of most * size / weight.
+    sums over sources in the order of most * size / weight. These sums are over one row a source, in one task.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    weighed = by_source.withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), (turn + 1).cast("int")))
+    turn = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    weighed = by_source.withColumn("turn", turn).withColumn("weight", F.element_at(F.array(*(F.lit(w) for w in weights)), F.col("turn") % len(weights) + 1))
     order = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
     so_far = order.rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy()
@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     level_holds = F.col("left") * F.col("weight") <= F.col("source_size") * most * F.col("weights_left")
     first = F.min(F.when(level_holds, F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source", F.col("left").alias("left"), F.col("weights_left").alias("weights_left")))).over(everything)
     return ranked.withColumn("first", first).select(
-        "source", "source_size", "weight",
+        "source", "source_size", "turn", "weight",
         F.least(F.col("source_size") * float(most), F.coalesce(F.col("first.left") * F.col("weight") / F.col("first.weights_left"), F.col("source_size") * float(most))).alias("target"))
 
 
@@ -48,18 +48,20 @@ def position(u: Column, slope: Column) -> Column:
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, slopes: tuple[float, ...] = (-0.5, 0.5, 0.0)) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, copies, taken, positions, tie (hash of the text).
+    """One row a document: doc_id, size, source_size, target, copies, taken, positions, source, tie (hash of the text).
 
     Size is the number of words, 0 for a null or empty text. A source's documents stand in the order of the md5
     of their ids and are taken whole from the front, at most twice round, while a document's middle lies
     before the target; so a source's taken words miss the target by at most half a document. ``positions`` has
-    the training position of each copy; ``slopes`` is the ramp of each weight's schedule. Equal rows are
-    taken one by one; ids may repeat or be null. An empty table gives an empty result.
+    the training position of each copy; ``slopes`` are the ramps of the schedules, which sources take in turn like the weights, however
+    many there are of either. Equal rows are taken one by one; ids may repeat or be null. A text of any length is
+    one document. An empty table gives an empty result.
     """
-    doc = F.col(id_col).cast("long")
+    doc, tie = F.col(id_col).cast("long"), F.xxhash64(C.text_or_empty(text_col))
     slim = C.materialize(docs.select(
         doc.alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(C.text_or_empty(text_col)).alias("tie"), F.md5(F.coalesce(doc.cast("string"), F.lit(""))).alias("h")))
+        # rows without an id are spread over the parts as well
+        tie.alias("tie"), F.md5(F.coalesce(doc.cast("string"), F.concat(F.lit("null "), tie.cast("string")))).alias("h")))
     slim = slim.withColumn("part", F.substring("h", 1, PART_DIGITS))
     targets = C.materialize(source_targets(slim, weights, budget))
     part = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -68,34 +70,40 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     placed = slim.alias("a").join(before.alias("b"), same & (F.col("a.part") == F.col("b.part"))).select("a.*", "before")
     run = W.partitionBy("source", "part").orderBy("h", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    slope = F.element_at(F.map_from_arrays(F.array(*(F.lit(w) for w in weights)), F.array(*(F.lit(float(s)) for s in slopes))), F.col("weight"))
+    slope = F.element_at(F.array(*(F.lit(float(s)) for s in slopes)), F.col("turn") % len(slopes) + 1)
     middle = F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.col("start") + k * F.col("source_size") + F.col("size") / 2)
     taken = F.filter(middle, lambda m: (m <= F.col("target")) & (F.col("target") > 0))
-    out = placed.alias("a").join(targets.alias("b"), same).select("a.doc_id", "a.tie", "a.size", "b.source_size", "b.target", taken.alias("middles"), slope.alias("slope"))
+    out = placed.alias("a").join(targets.alias("b"), same).select("a.doc_id", "a.source", "a.tie", "a.size", "b.source_size", "b.target", taken.alias("middles"), slope.alias("slope"))
     return out.select(
         "doc_id", "size", "source_size", "target", F.size("middles").alias("copies"), (F.col("size") * F.size("middles")).alias("taken"),
-        F.transform("middles", lambda m: position(m / F.col("target"), F.col("slope"))).alias("positions"), "tie")
+        F.transform("middles", lambda m: position(m / F.col("target"), F.col("slope"))).alias("positions"), "source", "tie")
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The taken copies of docs, with all its columns and ``position``, range-sorted by position.
 
-    A column of docs with that name is replaced; names that begin with _mix_ are kept for the work.
+    A column of docs with that name is replaced; names that begin with _mix_ are kept for the work. Rows with the same
+    id, text and source have places of their own, in the order of a hash of all columns, so reruns agree. Rows
+    of which nothing is taken, such as null and empty texts of a source without target, are left out.
     """
-    return _placed(docs, mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.lit(0)), id_col, text_col).drop("_mix_row")
+    return _placed(docs, mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.lit(0)), id_col, text_col, source_col).drop("_mix_row")
 
 
-def _placed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _placed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The taken copies with ``position`` and ``_mix_row`` of their plan row, range-sorted by position."""
     docs = docs.drop("position")
     # of equal rows each has a plan row of its own: number both sides alike, which moves the texts once more
     single = C.ids_are_unique(docs, id_col)
-    nth = lambda order: F.lit(1) if single else F.row_number().over(W.partitionBy("_mix_id", "_mix_tie").orderBy(order))
-    rows = docs.withColumns({"_mix_id": F.col(id_col).cast("long"), "_mix_tie": F.xxhash64(C.text_or_empty(text_col))})
-    rows = rows.withColumn("_mix_nth", nth(F.lit(0)))
-    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), "positions", "_mix_row")
+    key = ["_mix_id", "_mix_source", "_mix_tie"]
+    nth = lambda order: F.lit(1) if single else F.row_number().over(W.partitionBy(*key).orderBy(order))
+    rows = docs.withColumns({"_mix_id": F.col(id_col).cast("long"), "_mix_source": F.col(source_col), "_mix_tie": F.xxhash64(C.text_or_empty(text_col))})
+    rows = rows.withColumn("_mix_nth", nth(F.xxhash64(F.to_json(F.struct(*docs.columns)))))
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("tie").alias("_mix_tie"), "positions", "_mix_row")
     plan = plan.withColumn("_mix_nth", nth(F.col("positions")))
-    both = rows.alias("r").join(plan.alias("p"), F.col("r._mix_id").eqNullSafe(F.col("p._mix_id")) & (F.col("r._mix_tie") == F.col("p._mix_tie")) & (F.col("r._mix_nth") == F.col("p._mix_nth")))
+    same = F.lit(True)
+    for c in (*key, "_mix_nth"):
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
+    both = rows.alias("r").join(plan.alias("p"), same)
     out = both.select(*(F.col(f"r.{c}") for c in docs.columns), "p._mix_row", F.explode("p.positions").alias("position"))
     return out.repartitionByRange("position").sortWithinPartitions("position")
 
@@ -103,10 +111,11 @@ def _placed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> Dat
 def placed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, positions; the last two from the copies that the curriculum placed.
 
-    ``taken`` counts the words of the placed texts, ``positions`` are where they stand, null for none.
+    ``taken`` counts the words of the placed texts, ``positions`` are where they stand, null for none. Nulls, repeats and
+    empty tables: as ``mixture`` and ``curriculum`` have them.
     """
     plan = C.materialize(mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.monotonically_increasing_id()))
-    placed = _placed(docs, plan, id_col, text_col)
+    placed = _placed(docs, plan, id_col, text_col, source_col)
 
     def whole(batches):
         yield from batches

@@ -65,3 +65,13 @@ def test_query_places_every_copy(spark, tmp_path):
     assert plain(found.collect()) == plain(want)
     places = lambda rs: sorted((str(r.doc_id), r.taken, sorted(r.positions or [])) for r in rs)
     assert places(M.placed_digest(df).collect()) == places(want)
+
+
+def test_equal_rows_of_two_sources_and_any_weights(spark):
+    rows = [(1, "same words here", s, k) for s in ("a", "b") for k in range(1000)] + [(2 + k, "w " * 9, "c", k) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    first, again = (sorted((r.source, r.n, r.position) for r in M.curriculum(d, weights=(1, 1, 2), slopes=(0.5,)).collect()) for d in (df.repartition(3), df.repartition(5)))
+    assert first == again
+    taken = Counter(s for s, *_ in first)
+    want = {s: t for s, t in ((r.source, r.target) for r in M.mixture(df, weights=(1, 1, 2), slopes=(0.5, 0.1, 0.2, -0.3)).collect())}
+    assert abs(taken["a"] * 3 - want["a"]) <= 3 and abs(taken["b"] * 3 - want["b"]) <= 3
