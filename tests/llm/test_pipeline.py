@@ -59,7 +59,8 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     before, after = found["toxicity"]
     model = toxicity.fit_on(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert sorted(after, key=key) == sorted((r for r in before if toxicity.score_text(r[1] or "", model) < 0.3), key=key)
+    score = dict(zip(before, toxicity.score_texts([r[1] or "" for r in before], model)))
+    assert sorted(after, key=key) == sorted((r for r in before if score[r] < 0.3), key=key)
     assert len(after) < len(before) - 40
 
     before, after = found["exact_dedup"]
@@ -96,3 +97,17 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_clashing_names(spark, tmp_path):
+    rows, labels = rows_of(9, 60)
+    taken = ["score", "held_out", "position", "tie", "_tie", "kept", "ord"]
+    schema = SCHEMA + "".join(f", {c} string" for c in taken)
+    made = [(*r, *(f"{c} {r[0]}" for c in taken)) for r in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(made, schema)
+    for name, stage in P.STAGES[:-1]:
+        docs = P.C.materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == schema.replace(",", "").split()[::2]
+        assert {tuple(r) for r in docs.collect()} <= set(made), name
+    assert docs.count() > 20
