@@ -56,14 +56,26 @@ def with_key(facts: DataFrame, dimension: DataFrame, natural_key: str, surrogate
     return facts.join(current.select(natural_key, F.col(surrogate).alias(as_name or surrogate)), natural_key, "left")
 
 
-def as_of(facts: DataFrame, dimension: DataFrame, natural_key: str, at: str, surrogate: str = "dimension_key") -> DataFrame:
+def as_of(facts: DataFrame, dimension: DataFrame, natural_key: str, at: str, surrogate: str = "dimension_key", slice_unit: str = "day") -> DataFrame:
     """facts with the surrogate key of the row that was valid at their time; null before the first.
 
-    An equality on the key carries the join, and the interval is checked within it.
+    Facts and versions stand in one sequence by time, and a fact takes the last version before it, so a key of many facts and
+    many versions makes no pairs. A key's time is cut into slices, so that a hot key is many groups: each slice that
+    has facts first gets the version it begins with, from a sequence of slices and versions.
     """
-    d = dimension.select(F.col(natural_key).alias("_k"), F.col(surrogate), F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"))
-    valid = (F.col("_from") <= F.col(at)) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
-    return facts.join(d, (F.col(natural_key) == F.col("_k")) & valid, "left").drop("_k", "_from", "_to")
+    row = F.struct(F.col(surrogate).alias("key"), F.col("effective_to").alias("to"))
+    cut = lambda c: F.date_trunc(slice_unit, c.cast("timestamp"))
+    versions = dimension.select(F.col(natural_key).alias("_k"), F.col("effective_from").cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), row.alias("_row")).filter("_at IS NOT NULL")
+    rows = facts.select(F.col(natural_key).alias("_k"), F.col(at).cast("timestamp").alias("_at"), F.lit(2).alias("_kind"), F.struct(*facts.columns).alias("_fact"))
+    # of versions of one time the one that lasts comes last
+    order = ["_at", "_kind", F.col("_row.to").asc_nulls_last()]
+    last = lambda *by: F.last("_row", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    slices = rows.select("_k", cut(F.col("_at")).alias("_at")).distinct().withColumn("_kind", F.lit(-1))
+    begins = versions.unionByName(slices, allowMissingColumns=True).withColumn("_row", last("_k")).filter("_kind = -1")
+    both = rows.unionByName(versions, allowMissingColumns=True).unionByName(begins, allowMissingColumns=True)
+    found = both.withColumn("_slice", cut(F.col("_at"))).withColumn("_row", last("_k", "_slice")).filter("_kind = 2")
+    valid = F.col("_row.to").isNull() | (F.col("_at") < F.col("_row.to").cast("timestamp"))
+    return found.select("_fact.*", F.when(valid, F.col("_row.key")).alias(surrogate))
 
 
 def frozen_fact(known: DataFrame | None, rows: DataFrame, key: list[str], dimension_keys: list[str]) -> DataFrame:

@@ -131,6 +131,26 @@ def coverage(spark: SparkSession, facts: list[str], registry: dict[str, str]) ->
     return spark.createDataFrame([r for r in rows if r[1] != 1 or r[0] not in facts], "fact_table string, cube_count int")
 
 
+def failing_rules(results: DataFrame) -> DataFrame:
+    """Rules of action fail whose last result has failed rows. results: as ``latest_results`` takes them."""
+    return latest_results(results).filter("action = 'fail' AND failed_rows > 0")
+
+
+def observe_run(tables: dict[str, Callable[[], DataFrame]], time_columns: dict[str, str], now: Column, layer: str, run_id: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """``observe`` of each table by itself with run_id and observed_at, and the error of each table that can't be read, which is left out."""
+    rows, errors = [], {}
+    for name, load in tables.items():
+        try:
+            # a few numbers a table, so that one that is broken fails here and not with all others
+            rows += observe({name: load()}, time_columns, now, layer).collect()
+        except Exception as e:
+            errors[name] = str(e)[:500]
+    if not rows:
+        return None, errors
+    seen = SparkSession.active().createDataFrame(rows, "layer string, asset_name string, row_count long, latest_at timestamp, freshness_minutes double")
+    return seen.select(F.lit(run_id).alias("run_id"), now.cast("timestamp").alias("observed_at"), "layer", "asset_name", F.lit("table").alias("asset_type"), "row_count", "latest_at", "freshness_minutes"), errors
+
+
 def run_logged(task: Callable[[], None], log: Callable[[dict], None], run_id: str, clock: Callable[[], object], most: int = 2000) -> None:
     """Runs a task and logs its start and its end; a failure is logged with the end of its message and raised."""
     row = {"run_id": run_id, "started_at": clock(), "status": "RUNNING"}

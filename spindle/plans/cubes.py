@@ -23,6 +23,17 @@ class Join:
     key: str
 
 
+@dataclass(frozen=True)
+class Distinct:
+    """How many different values a column has in rows that meet a condition."""
+
+    column: str
+    condition: Callable[[], Column] | None = None
+
+    def __call__(self) -> Column:
+        return F.count_distinct(F.when(self.condition(), S(self.column)) if self.condition else S(self.column))
+
+
 @dataclass(frozen=True)
 class MetricView:
     """fields: (alias, column) or a function that gives a column; measures: functions that give an aggregate."""
@@ -62,7 +73,23 @@ class MetricView:
         keys = [columns[f].alias(f) for f in fields]
         if not measures:
             return rows.select(*keys).distinct()
-        return rows.groupBy(*keys).agg(*(self.measures[m]().alias(m) for m in measures))
+        # several distinct counts in one aggregate would multiply the rows by as many
+        distinct = [m for m in measures if isinstance(self.measures[m], Distinct)]
+        if len(distinct) < 2:
+            return rows.groupBy(*keys).agg(*(self.measures[m]().alias(m) for m in measures))
+        parts = [rows.groupBy(*keys).agg(F.lit(1).alias("_one"), *(self.measures[m]().alias(m) for m in measures if m not in distinct))]
+        for column in dict.fromkeys(self.measures[m].column for m in distinct):
+            own = {m: self.measures[m].condition for m in distinct if self.measures[m].column == column}
+            # of each value, whether any of its rows meets each condition; then values are counted
+            values = rows.groupBy(*keys, S(column).alias("_value")).agg(*(F.max(F.coalesce(c(), F.lit(False)) if c else F.lit(True)).alias(m) for m, c in own.items()))
+            parts.append(values.groupBy(*fields).agg(F.lit(1).alias("_one"), *(F.count(F.when(F.col(m), F.col("_value"))).alias(m) for m in own)))
+        out = parts[0]
+        for part in parts[1:]:
+            same = F.col("x._one") == F.col("y._one")
+            for f in fields:
+                same &= F.col(f"x.{f}").eqNullSafe(F.col(f"y.{f}"))
+            out = out.alias("x").join(part.alias("y"), same).select("x.*", *(F.col(f"y.{m}") for m in part.columns if m not in (*fields, "_one")))
+        return out.select(*fields, *measures)
 
 
 def _rename(condition: str, name: str) -> str:
@@ -85,15 +112,15 @@ _WAREHOUSE = {"warehouse": ("warehouse", "warehouse_name")}
 _rows = lambda: F.count(F.lit(1))
 _sum = lambda c: lambda: F.sum(S(c))
 _avg = lambda c: lambda: F.avg(S(c))
-_distinct = lambda c: lambda: F.count_distinct(S(c))
+_distinct = Distinct
 _is = lambda c, *values: lambda: count_if(S(c).isin(*values))
 _sum_when = lambda c, value, amount: lambda: sum_if(S(c) == value, S(amount))
 _taxes = lambda: S("icms_amount") + S("ipi_amount") + S("pis_amount") + S("cofins_amount")
-_orders_when = lambda condition: lambda: F.count_distinct(F.when(condition(), S("purchase_order_id")))
+_orders_when = lambda condition: Distinct("purchase_order_id", condition)
 
 VIEWS: dict[str, MetricView] = {v.name: v for v in (
     MetricView(
-        "maintenance_metrics", "maintenance", "work order", "fact_work_order",
+        "maintenance_metrics", "maintenance", "one row per work order", "fact_work_order",
         {"asset": _current("asset"), "cost_center": _current("cost_center"), "warehouse": _current("warehouse"), "planned_date": _date("planned_date_key")},
         {"planned_date": ("planned_date", "full_date"), "planned_year": ("planned_date", "year"), "planned_month": ("planned_date", "month"),
          "maintenance_type": ("source", "maintenance_type"), "priority": ("source", "priority"), "status": ("source", "status"),
@@ -104,7 +131,7 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "avg_planning_hours": _avg("planning_hours"), "avg_material_wait_hours": _avg("material_wait_hours"), "avg_execution_hours": _avg("execution_hours"),
          "avg_cycle_hours": _avg("elapsed_cycle_hours"), "material_wait_ratio": lambda: ratio(F.sum(S("material_wait_hours")), F.sum(S("elapsed_cycle_hours")))}),
     MetricView(
-        "maintenance_material_metrics", "maintenance", "work order material line", "fact_work_order_material",
+        "maintenance_material_metrics", "maintenance", "one row per work-order material requirement", "fact_work_order_material",
         {"material": _current("material"), "asset": _current("asset"), "cost_center": _current("cost_center"), "warehouse": _current("warehouse"), "planned_date": _date("planned_date_key")},
         {"planned_date": ("planned_date", "full_date"), **_MATERIAL, "material_criticality": ("material", "criticality"), "asset_type": ("asset", "asset_type"),
          "cost_center": ("cost_center", "cost_center_name"), **_WAREHOUSE, "maintenance_type": ("source", "maintenance_type"), "priority": ("source", "priority"),
@@ -114,7 +141,7 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "fully_fulfilled_line_count": _is("status", "FULFILLED"), "partially_issued_line_count": _is("status", "PARTIALLY_ISSUED"),
          "cancelled_material_line_count": _is("status", "CANCELLED"), "estimated_issued_material_cost": _sum("estimated_issued_cost")}),
     MetricView(
-        "inventory_metrics", "inventory", "inventory movement", "fact_inventory_movement",
+        "inventory_metrics", "inventory", "one row per inventory movement", "fact_inventory_movement",
         {"material": _current("material"), "warehouse": _current("warehouse"), "movement_date": _date("movement_date_key")},
         {"movement_date": ("movement_date", "full_date"), "movement_type": ("source", "movement_type"), "movement_direction": ("source", "movement_direction"),
          "reference_type": ("source", "reference_type"), **_MATERIAL, "material_criticality": ("material", "criticality"), **_WAREHOUSE},
@@ -122,14 +149,14 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "net_quantity": _sum("quantity"), "absolute_movement_quantity": lambda: F.sum(F.abs(S("quantity"))), "net_movement_value": _sum("movement_value"),
          "absolute_movement_value": lambda: F.sum(F.abs(S("movement_value"))), "adjustment_quantity": _sum_when("movement_type", "CYCLE_COUNT_ADJUSTMENT", "quantity")}),
     MetricView(
-        "inventory_position_metrics", "inventory", "material and warehouse", "fact_stock_position",
+        "inventory_position_metrics", "inventory", "one row per material x warehouse snapshot", "fact_stock_position",
         {"material": _current("material"), "warehouse": _current("warehouse"), "snapshot_date": _date("snapshot_date_key")},
         {"snapshot_date": ("snapshot_date", "full_date"), **_MATERIAL, "material_criticality": ("material", "criticality"), **_WAREHOUSE},
         {"stock_position_count": _rows, "on_hand_quantity": _sum("on_hand"), "reserved_quantity": _sum("reserved"), "available_quantity": _sum("available"),
          "inventory_value": _sum("inventory_value"), "below_reorder_position_count": lambda: count_if(S("available") <= S("reorder_point")),
          "out_of_stock_position_count": lambda: count_if(S("available") <= 0), "average_available_quantity": _avg("available")}),
     MetricView(
-        "procurement_metrics", "procurement", "purchase order item", "fact_purchase_order_item",
+        "procurement_metrics", "procurement", "one row per purchase-order item", "fact_purchase_order_item",
         {"supplier": _current("supplier"), "material": _current("material"), "warehouse": _current("warehouse"), "order_date": _date("order_date_key")},
         {"order_date": ("order_date", "full_date"), **_SUPPLIER, **_MATERIAL, **_WAREHOUSE, "po_status": ("source", "status"), "promised_date": lambda: S("promised_at").cast("date")},
         {"purchase_order_count": _distinct("purchase_order_id"), "purchase_order_item_count": _rows, "ordered_value": _sum("ordered_value"), "received_value": _sum("received_value"),
@@ -138,27 +165,27 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "late_purchase_order_count": _orders_when(lambda: ~S("received_on_time")), "cancelled_purchase_order_count": _orders_when(lambda: S("status") == "CANCELLED"),
          "otif_purchase_order_count": _orders_when(lambda: S("is_on_time_in_full")), "partial_line_count": lambda: count_if(S("is_partial"))}),
     MetricView(
-        "receiving_metrics", "procurement", "goods receipt item", "fact_goods_receipt_item",
+        "receiving_metrics", "procurement", "one row per goods-receipt item", "fact_goods_receipt_item",
         {"supplier": _current("supplier"), "material": _current("material"), "warehouse": _current("warehouse"), "receipt_date": _date("receipt_date_key")},
         {"receipt_date": ("receipt_date", "full_date"), **_SUPPLIER, **_MATERIAL, **_WAREHOUSE},
         {"goods_receipt_count": _distinct("goods_receipt_id"), "receipt_line_count": _rows, "purchase_order_count": _distinct("purchase_order_id"), "received_quantity": _sum("qty_received"),
          "receipt_value": _sum("receipt_value"), "avg_unit_price": _avg("unit_price"), "avg_receipt_value": _avg("receipt_value")}),
     MetricView(
-        "invoice_metrics", "finance", "fiscal invoice", "fact_fiscal_invoice",
+        "invoice_metrics", "fiscal", "one row per fiscal invoice", "fact_fiscal_invoice",
         {"supplier": _current("supplier"), "received_date": _date("received_date_key")},
         {"received_date": ("received_date", "full_date"), **_SUPPLIER, "invoice_status": ("source", "status"), "tax_issue": ("source", "tax_issue"), "was_blocked": ("source", "was_blocked")},
         {"invoice_count": _rows, "invoice_value": _sum("total_amount"), "subtotal_value": _sum("subtotal"), "tax_value": _sum("tax_total"), "posted_invoice_count": _is("status", "POSTED"),
          "released_invoice_count": _is("status", "RELEASED"), "blocked_invoice_count": lambda: count_if(S("was_blocked")), "blocked_invoice_rate": lambda: ratio(count_if(S("was_blocked")), F.count(F.lit(1))),
          "avg_abs_price_variance_pct": lambda: F.avg(F.abs(S("price_variance_pct"))), "tax_issue_count": lambda: count_if(S("tax_issue"))}),
     MetricView(
-        "fiscal_item_metrics", "finance", "fiscal invoice item", "fact_fiscal_invoice_item",
+        "fiscal_item_metrics", "fiscal", "one row per fiscal invoice item", "fact_fiscal_invoice_item",
         {"supplier": _current("supplier"), "material": _current("material"), "received_date": _date("received_date_key")},
         {"received_date": ("received_date", "full_date"), **_SUPPLIER, **_MATERIAL, "material_ncm": ("material", "ncm")},
         {"fiscal_item_count": _rows, "invoice_count": _distinct("fiscal_invoice_id"), "invoiced_quantity": _sum("quantity"), "merchandise_value": _sum("merchandise_value"),
          "icms_amount": _sum("icms_amount"), "ipi_amount": _sum("ipi_amount"), "pis_amount": _sum("pis_amount"), "cofins_amount": _sum("cofins_amount"),
          "total_tax_amount": lambda: F.sum(_taxes()), "effective_tax_rate": lambda: ratio(F.sum(_taxes()), F.sum(S("merchandise_value")))}),
     MetricView(
-        "payables_metrics", "finance", "payable title", "fact_accounts_payable",
+        "payables_metrics", "finance", "one row per accounts-payable title", "fact_accounts_payable",
         {"supplier": _current("supplier"), "posted_date": _date("posted_date_key"), "due_date": _date("due_date_key")},
         {"posted_date": ("posted_date", "full_date"), "due_date": ("due_date", "full_date"), **_SUPPLIER, "ap_status": ("source", "status"), "is_overdue": ("source", "is_overdue")},
         {"payable_count": _rows, "payable_amount": _sum("amount"), "open_amount": lambda: sum_if(~S("status").isin("PAID", "VOIDED"), S("amount")),
@@ -166,7 +193,7 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "voided_count": _is("status", "VOIDED"), "overdue_amount": lambda: sum_if(S("is_overdue"), S("amount")), "overdue_count": lambda: count_if(S("is_overdue")),
          "avg_days_to_pay": _avg("days_to_pay"), "avg_days_past_due": _avg("days_past_due")}),
     MetricView(
-        "payment_metrics", "finance", "payment", "fact_payment",
+        "payment_metrics", "finance", "one row per executed payment", "fact_payment",
         {"supplier": _current("supplier"), "payment_date": _date("payment_date_key")},
         {"payment_date": ("payment_date", "full_date"), "payment_year": ("payment_date", "year"), "payment_month": ("payment_date", "month"), **_SUPPLIER},
         {"payment_count": _rows, "paid_payable_count": _distinct("accounts_payable_id"), "payment_amount": _sum("amount"), "avg_payment_amount": _avg("amount"), "max_payment_amount": lambda: F.max(S("amount"))}),

@@ -15,6 +15,8 @@ from spindle.operators import changes, dimensions, measures, process, quality
 from spindle.operators.measures import amount, date_key, percent
 from spindle.sources.schemas import SOURCES
 
+from . import cubes
+
 Tables = Callable[[str], DataFrame]
 
 
@@ -23,24 +25,27 @@ def _latest(bronze: Tables, name: str) -> DataFrame:
 
 
 def _public(df: DataFrame) -> DataFrame:
-    """Without the columns of ingestion, but for when the source committed the row."""
-    return df.withColumn("source_commit_at", F.col("_source_commit_timestamp")).drop(*(c for c in df.columns if c.startswith("_")))
+    """Without the columns of ingestion, but for when the source committed the row and when it was ingested."""
+    return df.withColumns({"source_commit_at": F.col("_source_commit_timestamp"), "bronze_ingested_at": F.col("_bronze_ingested_at")}).drop(*(c for c in df.columns if c.startswith("_")))
 
 
 def masters(bronze: Tables) -> dict[str, DataFrame]:
     """supplier, warehouse, cost_center, material, asset, asset_material_profile with readable names and units."""
     supplier, warehouse, center, material, asset, profile = (_latest(bronze, n) for n in ("supplier", "warehouse", "cost_center", "material", "asset", "asset_material_profile"))
-    named = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.col("name").alias(f"{name}_name"), "active")
+    origin = (F.col("_source_commit_version").alias("source_commit_version"), F.col("_bronze_ingested_at").alias("source_ingested_at"))
+    named = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.col("name").alias(f"{name}_name"), "active", *origin)
     warehouse, center = named(warehouse, "warehouse"), named(center, "cost_center")
     material = material.select(
         F.col("id").alias("material_id"), "description", "category", "uom", "ncm", "criticality", amount("unit_cost_cents").alias("unit_cost"), "reorder_point", "reorder_qty",
-        "preferred_supplier_id", *(percent(f"{t}_bps").alias(f"{t}_pct") for t in ("icms", "ipi", "pis", "cofins")), "active")
-    asset = asset.withColumnRenamed("id", "asset_id").drop(*(c for c in asset.columns if c.startswith("_"))).join(warehouse.drop("active"), "warehouse_id", "left").join(center.drop("active"), "cost_center_id", "left")
-    profile = profile.select("asset_id", "material_id", F.col("probability").cast("decimal(9,6)").alias("probability"), "min_qty", "max_qty").join(asset.select("asset_id", "asset_type"), "asset_id")
+        "preferred_supplier_id", *(percent(f"{t}_bps").alias(f"{t}_pct") for t in ("icms", "ipi", "pis", "cofins")), "active", *origin)
+    names = lambda df: df.drop("active", "source_commit_version", "source_ingested_at")
+    public = [c for c in asset.columns if not c.startswith("_") and c != "id"]
+    asset = asset.select(F.col("id").alias("asset_id"), *public, *origin).join(names(warehouse), "warehouse_id", "left").join(names(center), "cost_center_id", "left")
+    profile = profile.select("asset_id", "material_id", F.col("probability").cast("decimal(9,6)").alias("probability"), "min_qty", "max_qty", *origin).join(asset.select("asset_id", "asset_type"), "asset_id")
     return {
         "supplier": supplier.select(
             F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"), "tax_id", "lead_time_days", "payment_term_days",
-            *(F.col(c).cast("decimal(9,6)").alias(c) for c in ("delivery_reliability", "price_variability")), "active"),
+            *(F.col(c).cast("decimal(9,6)").alias(c) for c in ("delivery_reliability", "price_variability")), "active", *origin),
         "warehouse": warehouse, "cost_center": center, "material": material, "asset": asset,
         "asset_material_profile": profile.join(material.select("material_id", F.col("category").alias("material_category")), "material_id"),
     }
@@ -56,7 +61,9 @@ def maintenance(bronze: Tables, known: dict[str, DataFrame], horizon: Column) ->
     history = _transitions(bronze, "work_order")
     ends = measures.terminal_times(history, "work_order_id", {"CANCELLED": "cancelled_at"})
     orders = _public(_latest(bronze, "work_order_state")).withColumnRenamed("id", "work_order_id").join(ends, "work_order_id", "left").withColumns(measures.work_order_hours(horizon))
-    orders = orders.join(known["asset"].select("asset_id", "asset_type", F.col("criticality").alias("asset_criticality")), "asset_id", "left")
+    # an order of an unknown asset isn't published, as its place and cost center aren't known either
+    asset = known["asset"].select("asset_id", F.col("description").alias("asset_description"), "asset_type", F.col("criticality").alias("asset_criticality"), "cost_center_name", "warehouse_name")
+    orders = orders.join(asset, "asset_id")
     lines = _public(_latest(bronze, "work_order_material_state")).withColumnRenamed("id", "work_order_material_id")
     lines = lines.join(known["material"].select("material_id", "description", "category", "unit_cost"), "material_id").withColumns(measures.fulfilment("qty_required", "qty_issued", "unit_cost"))
     lifecycle = measures.lifecycle_rollup(orders, lines.withColumn("line_status", F.col("status")), history, "work_order_id")
@@ -67,8 +74,10 @@ def inventory(bronze: Tables, known: dict[str, DataFrame]) -> dict[str, DataFram
     """Movements with their direction and value, and what is in stock."""
     material = known["material"].select("material_id", "description", "category")
     moves = _public(bronze("inventory_movement_store")).withColumnRenamed("id", "movement_id").withColumn("unit_cost", amount("unit_cost_cents"))
-    moves = moves.withColumns(measures.movement("quantity", "unit_cost")).join(material, "material_id").join(known["warehouse"].drop("active"), "warehouse_id")
-    stock = _public(_latest(bronze, "stock_balance_state")).join(known["material"].select("material_id", "unit_cost", "reorder_point", "reorder_qty"), "material_id")
+    moves = moves.withColumns(measures.movement("quantity", "unit_cost")).join(material, "material_id").join(known["warehouse"].select("warehouse_id", "warehouse_name"), "warehouse_id")
+    # balances of an unknown material or warehouse aren't published
+    named = known["material"].select("material_id", F.col("description").alias("material_description"), F.col("category").alias("material_category"), "unit_cost", "reorder_point", "reorder_qty")
+    stock = _public(_latest(bronze, "stock_balance_state")).join(named, "material_id").join(known["warehouse"].select("warehouse_id", "warehouse_name"), "warehouse_id")
     return {"inventory_movement": moves, "stock_position": stock.withColumns(measures.stock("on_hand", "reserved", "unit_cost"))}
 
 
@@ -173,8 +182,12 @@ def build(bronze: Tables, horizon: Column, bounds: DataFrame) -> dict[str, DataF
     return tables | d | facts(tables, d, horizon) | mining(bronze)
 
 
-def violations(m: dict[str, DataFrame], checkpoints: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The rows that break each hard check, by its name. checkpoints: source_table, last_commit_version, source_version."""
+def violations(m: dict[str, DataFrame], checkpoints: DataFrame | None = None, registry: DataFrame | None = None, views: set[str] | None = None, results: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows that break each hard check, by its name; checks without their table are left out.
+
+    checkpoints: source_table, last_commit_version, source_version (null: no such source). registry: as ``cubes.registry``
+    gives it, and views: the names of the metric views there are. results: of expectations, with observed_at.
+    """
     slack = measures.TOLERANCE
     d = {
         "negative_stock": m["stock_position"].filter("on_hand < 0 OR reserved < 0"),
@@ -184,10 +197,18 @@ def violations(m: dict[str, DataFrame], checkpoints: DataFrame | None = None) ->
         "orphan_gold_work_order_asset": quality.orphans(m["fact_work_order"], m["dim_asset"], "asset_key"),
         "orphan_gold_inventory_material": quality.orphans(m["fact_inventory_movement"], m["dim_material"], "material_key"),
         "duplicate_gold_material_key": quality.duplicates(m["dim_material"], ["material_key"]),
-        **{f"single_current_{n}": quality.not_single_current(m[f"dim_{n}"], f"{n}_id") for n in ("supplier", "material", "asset")},
+        **{f"dim_{n}_single_current_version": quality.not_single_current(m[f"dim_{n}"], f"{n}_id") for n in ("supplier", "material", "asset")},
     }
     if checkpoints is not None:
-        d["watermark_ahead_of_source"] = checkpoints.filter("last_commit_version > source_version")
+        d["checkpoint_ahead_of_source"] = checkpoints.filter("source_version IS NULL OR last_commit_version > source_version")
+    if registry is not None:
+        spark = registry.sparkSession
+        wanted = spark.createDataFrame([(v.fact, v.name) for v in cubes.VIEWS.values()], "fact_table string, wanted string")
+        both = registry.select("fact_table", "cube_name").join(wanted, "fact_table", "full_outer")
+        d["semantic_fact_coverage"] = both.filter("cube_name IS NULL OR wanted IS NULL OR cube_name <> wanted")
+        d["semantic_cube_coverage"] = wanted.filter(~F.col("wanted").isin(*(views or {""})))
+    if results is not None:
+        d["declarative_expectations"] = quality.failing_rules(results)
     return d
 
 

@@ -8,6 +8,7 @@ warehouses, region for cost centers, and events for transition logs and change l
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,21 +253,29 @@ def _(t):
     return rows.select("n_nationkey", "n_name", "_source_change_type", "_source_commit_version", "_source_table", "_source_record_hash")
 
 
-@query("cdc_incremental_window", PRELUDE + "SELECT id, kind, points, version AS _commit_version FROM log WHERE version BETWEEN 101 AND 400")
+#: Some version in the middle of the log, and the newest; in the tables all commits of the second half of the month come after it.
+_MIDDLE, _NEWEST = "(SELECT max(event_id) // 2 FROM events)", "(SELECT max(event_id) FROM events)"
+
+
+def _newest(t) -> int:
+    return changes.stable_end(changes.history(t("changes")), datetime(9999, 1, 1))
+
+
+@query("cdc_incremental_window", PRELUDE + f"SELECT id, kind, points, version AS _commit_version FROM log WHERE version > {_MIDDLE} AND version <= {_NEWEST}")
 def _(t):
-    return changes.increment(t("changes"), 100, 400).select("id", "kind", "points", "_commit_version")
+    end = _newest(t)
+    return changes.increment(t("changes"), end // 2, end).select("id", "kind", "points", "_commit_version")
 
 
 @query("cdc_stability_cutoff", "SELECT max(event_id) AS version FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 5 MINUTE")
 def _(t):
-    from datetime import datetime
-
-    return changes.history(t("changes")).filter(F.col("timestamp") <= F.lit(changes.cutoff(datetime(2024, 1, 15, 12)))).agg(F.max("version").alias("version"))
+    end = changes.stable_end(changes.history(t("changes")), changes.cutoff(datetime(2024, 1, 15, 12)))
+    return t("region").limit(1).select(F.lit(end).cast("long").alias("version"))
 
 
 @query("cdc_horizon", "SELECT strftime(max(m), '%Y-%m-%d %H:%M:%S') AS horizon FROM (SELECT max(o_orderdate) AS m FROM orders UNION ALL SELECT max(l_shipdate) FROM lineitem)")
 def _(t):
-    return t("orders").agg(F.max("o_orderdate").alias("m")).union(t("lineitem").agg(F.max("l_shipdate"))).agg(F.max("m").alias("horizon"))
+    return t("region").limit(1).select(F.lit(changes.horizon((t("orders"), "o_orderdate"), (t("lineitem"), "l_shipdate"))).cast("timestamp_ntz").alias("horizon"))
 
 
 @query("commit_history", PRELUDE + "SELECT version, " + "strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS timestamp, count(*) AS row_count FROM log GROUP BY version")
@@ -274,14 +283,14 @@ def _(t):
     return changes.history(t("changes"))
 
 
-@query("snapshot_as_of", PRELUDE + "SELECT id, arg_max(kind, version) AS kind, arg_max(points, version) AS points FROM log WHERE version <= 500 GROUP BY id")
+@query("snapshot_as_of", PRELUDE + "SELECT id, arg_max(kind, version) AS kind, arg_max(points, version) AS points FROM log WHERE version <= " + _MIDDLE + " GROUP BY id")
 def _(t):
-    return changes.snapshot(t("changes"), ["id"], 500)
+    return changes.snapshot(t("changes"), ["id"], _newest(t) // 2)
 
 
-@query("baseline_states", PRELUDE + "SELECT id, arg_max(kind, version) AS kind, arg_max(points, version) AS points, max(version) AS tick FROM log WHERE version <= 700 GROUP BY id")
+@query("baseline_states", PRELUDE + "SELECT id, arg_max(kind, version) AS kind, arg_max(points, version) AS points, max(version) AS tick FROM log WHERE version <= " + _NEWEST + " GROUP BY id")
 def _(t):
-    return changes.baseline(t("changes").withColumn("tick", F.col("_commit_version")), ["id"], "state", 700, "tick")
+    return changes.baseline(t("changes").withColumn("tick", F.col("_commit_version")), ["id"], "state", _newest(t), "tick")
 
 
 _OLD, _NEW = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 < 2", "SELECT c_custkey, 'new ' || c_name AS c_name, c_nationkey + 100 AS c_nationkey FROM customer WHERE c_custkey % 3 > 0"
@@ -339,14 +348,15 @@ def _(t):
 
 @query("scd2_grow", _RUNS + f" SELECT id, kind, version, {_T('effective_from')}, {_T('effective_to')}, is_current FROM runs")
 def _(t):
-    half = dimensions.scd2(t("changes").filter("_commit_version <= 500").withColumnsRenamed({"_commit_version": "version", "_commit_timestamp": "ts"}), "id", ["kind"], "version", "ts")
+    half = dimensions.scd2(t("changes").filter(F.col("_commit_version") <= _newest(t) // 2).withColumnsRenamed({"_commit_version": "version", "_commit_timestamp": "ts"}), "id", ["kind"], "version", "ts")
     return dimensions.grow_scd2(half, _scd2(t), "id", "version").select("id", "kind", "version", "effective_from", "effective_to", "is_current")
 
 
-@query("scd2_as_of_join", _RUNS + " SELECT e.event_id, r.version FROM events e LEFT JOIN runs r ON e.user_id = r.id AND r.effective_from <= e.ts - INTERVAL 1 DAY AND (r.effective_to IS NULL OR e.ts - INTERVAL 1 DAY < r.effective_to)")
+@query("scd2_as_of_join", PRELUDE + ", v AS (SELECT *, lag(kind) OVER (PARTITION BY id ORDER BY ts) AS before FROM log), runs AS (SELECT id, kind, ts AS effective_from, lead(ts) OVER (PARTITION BY id ORDER BY ts) AS effective_to FROM v WHERE before IS DISTINCT FROM kind) SELECT e.event_id, r.kind FROM events e LEFT JOIN runs r ON e.user_id = r.id AND r.effective_from <= e.ts - INTERVAL 1 DAY AND (r.effective_to IS NULL OR e.ts - INTERVAL 1 DAY < r.effective_to)")
 def _(t):
     facts = t("events").select("event_id", F.col("user_id").alias("id"), (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("at"))
-    return dimensions.as_of(facts, _scd2(t), "id", "at", "version").select("event_id", "version")
+    by_time = dimensions.scd2(t("changes").select("id", "kind", F.col("_commit_timestamp").alias("ts"), F.col("_commit_timestamp").alias("since")), "id", ["kind"], "ts", "since")
+    return dimensions.as_of(facts, by_time, "id", "at", "kind").select("event_id", "kind")
 
 
 @query("dim_date_spine", "SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_key, CAST(CAST(d AS DATE) AS VARCHAR) AS full_date, year(d) AS year, quarter(d) AS quarter, month(d) AS month, monthname(d) AS month_name, weekofyear(d) AS week_of_year, day(d) AS day_of_month, dayofweek(d) + 1 AS day_of_week, dayofweek(d) IN (0, 6) AS is_weekend FROM (SELECT unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), DATE '2003-12-31', INTERVAL 1 DAY)) AS d)")
@@ -571,5 +581,40 @@ def _(t):
     return quality.observe({n: t(n) for n in ("orders", "nation")}, {"orders": "o_orderdate"}, F.lit("2001-08-05 12:00:00").cast("timestamp"), "source")
 
 
-QUERIES["semantic_coverage"] = lambda spark, sf_dir: cubes.registry(spark)
-ORACLE_SQL["semantic_coverage"] = "SELECT * FROM (VALUES " + ", ".join(f"('{v.name}', '{v.fact}', '{v.domain}', '{v.grain}')" for v in cubes.VIEWS.values()) + ") AS t(cube_name, fact_table, domain, grain)"
+@query("reconciliation_gate", f"WITH d AS ({_DAYS}), g AS (SELECT *, sum(CASE WHEN actual > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY check_name ORDER BY run) AS k FROM d), c AS (SELECT *, sum(CASE WHEN actual > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY check_name, k ORDER BY run) AS n, row_number() OVER (PARTITION BY check_name ORDER BY run DESC) AS back FROM g) SELECT check_name, CAST(CASE WHEN n >= 3 THEN actual ELSE 0 END AS BIGINT) AS actual FROM c WHERE back = 1")
+def _(t):
+    daily = t("events").groupBy(F.col("event_type").alias("check_name"), F.col("ts").cast("date").alias("run")).agg(F.count(F.when(F.col("event_id") % 7 == 0, 1)).alias("actual"))
+    # the state before each check's last run, and that run
+    seen = quality.streaks(daily).withColumn("back", F.row_number().over(W.partitionBy("check_name").orderBy(F.desc("run"))))
+    none = F.lit(None).cast("timestamp")
+    before = seen.filter("back = 2").select("check_name", none.alias("first_failed_at"), none.alias("last_failed_at"), F.col("consecutive_failures").cast("int").alias("consecutive_failures"), F.col("actual").alias("last_actual"), none.alias("updated_at"))
+    return quality.gate_values(quality.reconcile(before, seen.filter("back = 1").select("check_name", "actual"), F.lit("2024-02-01").cast("timestamp")))
+
+
+@query("expectation_gate", "SELECT 'lineitem' AS dataset, 'discount_below_five_percent' AS expectation, count(*) FILTER (l_discount >= 0.05) AS failed_rows FROM lineitem HAVING count(*) FILTER (l_discount >= 0.05) > 0")
+def _(t):
+    rules = [quality.Rule("discount_below_five_percent", F.col("l_discount") < 0.05), quality.Rule("quantity_is_positive", F.col("l_quantity") > 0)]
+    first = quality.expectations(t("lineitem").limit(0), "lineitem", rules).withColumn("observed_at", F.lit(1))
+    return quality.failing_rules(first.unionByName(quality.expectations(t("lineitem"), "lineitem", rules).withColumn("observed_at", F.lit(2)))).select("dataset", "expectation", "failed_rows")
+
+
+#: The registry as published. Fixed values.
+_REGISTRY = """
+SELECT * FROM (VALUES
+  ('maintenance_metrics', 'fact_work_order', 'maintenance', 'one row per work order'),
+  ('maintenance_material_metrics', 'fact_work_order_material', 'maintenance', 'one row per work-order material requirement'),
+  ('inventory_metrics', 'fact_inventory_movement', 'inventory', 'one row per inventory movement'),
+  ('inventory_position_metrics', 'fact_stock_position', 'inventory', 'one row per material x warehouse snapshot'),
+  ('procurement_metrics', 'fact_purchase_order_item', 'procurement', 'one row per purchase-order item'),
+  ('receiving_metrics', 'fact_goods_receipt_item', 'procurement', 'one row per goods-receipt item'),
+  ('invoice_metrics', 'fact_fiscal_invoice', 'fiscal', 'one row per fiscal invoice'),
+  ('fiscal_item_metrics', 'fact_fiscal_invoice_item', 'fiscal', 'one row per fiscal invoice item'),
+  ('payables_metrics', 'fact_accounts_payable', 'finance', 'one row per accounts-payable title'),
+  ('payment_metrics', 'fact_payment', 'finance', 'one row per executed payment')
+) AS t(cube_name, fact_table, domain, grain)"""
+QUERIES["semantic_registry"] = QUERIES["semantic_coverage"] = lambda spark, sf_dir: cubes.registry(spark)
+ORACLE_SQL["semantic_registry"] = ORACLE_SQL["semantic_coverage"] = _REGISTRY
+
+_FACTS = ("fact_payment", "fact_work_order", "fact_unknown")
+QUERIES["semantic_fact_gaps"] = lambda spark, sf_dir: _plain(quality.coverage(spark, list(_FACTS), {v.name: v.fact for v in cubes.VIEWS.values()}))
+ORACLE_SQL["semantic_fact_gaps"] = f"WITH r AS ({_REGISTRY}), f AS (SELECT unnest(['{"', '".join(_FACTS)}']) AS fact_table) SELECT COALESCE(f.fact_table, r.fact_table) AS fact_table, count(r.cube_name) AS cube_count FROM f FULL JOIN r ON f.fact_table = r.fact_table GROUP BY 1 HAVING count(r.cube_name) <> 1 OR count(f.fact_table) = 0"

@@ -1,7 +1,15 @@
-"""Reading and writing tables as Parquet folders under one root."""
+"""Reading and writing tables as Parquet folders under one root.
+
+A table that is rebuilt or merged into is a folder of generations with a pointer, ``current``, to the one that
+counts: a new generation is written whole beside the old one and the pointer moves last, so a job that is cut off
+leaves the table as it was, and a merge may read what it replaces.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +35,45 @@ def append_rows(spark: SparkSession, root: str, name: str, ddl: str, rows: list[
     spark.createDataFrame([tuple(r.get(c) for c in fields) for r in rows], ddl).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def _pointer(spark: SparkSession, root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}.generations/current"
+
+
+def exists(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether ``replace`` or ``merge_into`` has made the table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_pointer(spark, root, name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The newest generation of the table."""
+    pointer = _pointer(spark, root, name)
+    (row,) = spark.read.parquet(pointer).collect()
+    return spark.read.parquet(f"{pointer.rpartition('/')[0]}/{row.generation}")
+
+
+def replace(df: DataFrame, root: str, name: str) -> DataFrame:
+    """Writes df as the table's new generation; the one before it is kept for readers that have begun, older ones are deleted."""
+    spark = df.sparkSession
+    pointer, generation = _pointer(spark, root, name), uuid.uuid4().hex
+    folder = pointer.rpartition("/")[0]
+    before = spark.read.parquet(pointer).first().generation if exists(spark, root, name) else None
+    df.write.parquet(f"{folder}/{generation}")
+    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(pointer)
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(top):
+        if status.getPath().getName() not in ("current", generation, before):
+            files.delete(status.getPath(), True)
+    return spark.read.parquet(f"{folder}/{generation}")
+
+
+def merge_into(source: DataFrame, root: str, name: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The table after merge(table, source), written as its new generation; a table that isn't there yet counts as empty."""
+    spark = source.sparkSession
+    return replace(merge(current(spark, root, name) if exists(spark, root, name) else source.limit(0), source), root, name)
+
+
 def columns_of(spark: SparkSession, database: str = "default") -> DataFrame:
     """table_name, column_name and data_type of every table and view in a database of the session's catalog."""
     rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name if t.isTemporary else f"{database}.{t.name}")]

@@ -5,8 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindle.operators import changes, dimensions, quality
+from spindle.operators import changes, dimensions, ingestion, quality
 from spindle.sources import tables
+from spindle.sources.schemas import Source
 from spindle.streaming import ingest
 
 LOG = "id string, v int, _change_type string, _commit_version bigint, _commit_timestamp timestamp"
@@ -126,3 +127,57 @@ def test_windowed_transitions(spark, tmp_path):
     q = ingest.windowed_transitions(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.transition_count for r in spark.table("windows").collect()) == [1, 1, 2]
+
+
+def test_merges_into_the_table_they_read(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda: sorted((r.k, r.v) for r in tables.current(spark, root, "t").collect())
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    assert not tables.exists(spark, root, "t")
+    for k in range(4):
+        tables.merge_into(frame((1, k), (k + 2, 0)), root, "t", lambda old, new: changes.upsert(old, new, ["k"]))
+    assert rows() == [(1, 3), (2, 0), (3, 0), (4, 0), (5, 0)]
+    tables.replace(frame((9, 9)), root, "t")
+    assert rows() == [(9, 9)] and len([p for p in (tmp_path / "t.generations").iterdir() if p.name[0] != "."]) == 3
+
+
+def test_ingestion_step(spark, tmp_path):
+    root = str(tmp_path)
+    sources = {"thing": Source("id string, v int", "master"), "thing_state": Source("id string, v int, valid_from_tick bigint", "state"), "event_log_store": Source("id string, occurred_at timestamp", "event")}
+    stamp = lambda n: ("insert", n, AT + dt.timedelta(minutes=n))
+    meta = ", _change_type string, _commit_version bigint, _commit_timestamp timestamp"
+    logs = lambda last: {
+        "thing": spark.createDataFrame([("a", n, *stamp(n)) for n in range(1, last)], sources["thing"].ddl + meta),
+        "thing_state": spark.createDataFrame([("a", n, n, *stamp(n)) for n in range(1, last)], sources["thing_state"].ddl + meta),
+        "event_log_store": spark.createDataFrame([(str(n), AT + dt.timedelta(days=n), *stamp(n)) for n in range(1, last)], sources["event_log_store"].ddl + meta)}
+    run = lambda last, minutes: ingestion.step(spark, logs(last).__getitem__, sources, root, AT + dt.timedelta(minutes=minutes))
+    assert run(4, 0) == {"thing": 0, "thing_state": 0, "event_log_store": 0} and not tables.exists(spark, root, "thing_raw")
+    assert run(4, 8) == {"thing": 1, "thing_state": 1, "event_log_store": 3}
+    assert run(4, 8) == {"thing": 0, "thing_state": 0, "event_log_store": 0}
+    assert run(6, 60) == {"thing": 2, "thing_state": 2, "event_log_store": 2}
+    assert [tables.current(spark, root, t).count() for t in ("thing_raw", "thing_state_raw", "event_log_raw")] == [3, 3, 5]
+    assert ingestion.read_checkpoint(spark, root, "thing") == 5 and "valid_from_tick" not in tables.current(spark, root, "thing_state_raw").columns
+    done = tables.read(spark, root, "ingestion_run").orderBy("started_at").collect()
+    assert [r.rows_ingested for r in sorted(done, key=lambda r: r.rows_ingested)] == [0, 0, 5, 6] and done[-1].data_horizon_at == AT + dt.timedelta(days=5)
+    with pytest.raises(changes.SourceReset):
+        run(3, 60)
+
+
+def test_observation_skips_broken_tables(spark):
+    def broken():
+        raise OSError("gone")
+
+    seen, errors = quality.observe_run({"good": lambda: spark.range(3), "bad": broken}, {}, F.lit(AT), "raw", "run-1")
+    assert [(r.run_id, r.asset_name, r.row_count) for r in seen.collect()] == [("run-1", "good", 3)] and errors == {"bad": "gone"}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 200), max_size=10), st.lists(st.integers(-20, 260), min_size=1, max_size=20))
+def test_as_of_takes_the_version_of_the_time(spark, starts, times):
+    starts = sorted(starts)
+    hour = lambda n: AT + dt.timedelta(hours=n)
+    versions = [(k, n, hour(s), hour(e) if e is not None else None) for k in "ab" for n, (s, e) in enumerate(zip(starts, [*starts[1:], None]))]
+    dim = spark.createDataFrame(versions, "id string, key int, effective_from timestamp, effective_to timestamp")
+    facts = spark.createDataFrame([(i, "abc"[i % 3], hour(t)) for i, t in enumerate(times)], "n int, id string, at timestamp")
+    found = {r.n: r.key for r in dimensions.as_of(facts, dim, "id", "at", "key").collect()}
+    assert found == {i: max((n for n, s in enumerate(starts) if s <= t), default=None) if i % 3 < 2 else None for i, t in enumerate(times)}

@@ -79,7 +79,10 @@ def test_conformed_tables(built):
     assert float(o1.estimated_material_cost) == 3 * 58
     lines = {r.work_order_material_id: r for r in built["work_order_material"].collect()}
     assert [(lines[k].open_qty, lines[k].fulfillment_ratio) for k in ("l1", "l2")] == [(1.0, 0.75), (0.0, 1.0)]
+    assert (o1.asset_description, o1.cost_center_name, o1.warehouse_name) == ("Pump", "Plant", "Main") and o1.bronze_ingested_at is not None
     stock = one(built["stock_position"], "material_id", "m1")
+    assert (stock.material_description, stock.material_category, stock.warehouse_name) == ("Seal", "SPARE", "Main")
+    assert built["supplier"].filter("source_commit_version IS NOT NULL AND source_ingested_at IS NOT NULL").count() == 2
     assert (stock.on_hand, stock.available, float(stock.inventory_value)) == (7.0, 5.0, 406.0)
     p1, p2 = (one(built["purchase_order"], "purchase_order_id", p) for p in ("p1", "p2"))
     assert (p1.received_on_time, float(p1.delivery_variance_hours), p2.received_on_time) == (True, -24.0, None)
@@ -131,7 +134,12 @@ def test_process_tables(built):
 
 def test_checks(spark, built):
     found = {r.check_name: r.actual for r in quality.checks(model.violations(built, spark.createDataFrame([("a", 3, 2)], "source_table string, last_commit_version bigint, source_version bigint"))).collect()}
-    assert found.pop("watermark_ahead_of_source") == 1 and not any(found.values()) and len(found) == 10
+    assert found.pop("checkpoint_ahead_of_source") == 1 and not any(found.values()) and len(found) == 10
+    more = model.violations(built, registry=cubes.registry(spark), views=set(cubes.VIEWS) - {"payment_metrics"}, results=model.expectations(built).withColumn("observed_at", F.lit(1)))
+    found = {r.check_name: r.actual for r in quality.checks(more).collect()}
+    assert len(found) == 13 and found.pop("semantic_cube_coverage") == 1 and not any(found.values())
+    wrong = cubes.registry(spark).filter("cube_name <> 'payment_metrics'").replace("fact_work_order", "fact_other")
+    assert quality.checks({"c": model.violations(built, registry=wrong, views=set(cubes.VIEWS))["semantic_fact_coverage"]}).first().actual == 3
     soft = {r.check_name: r.actual for r in quality.checks(model.reconciliations(built)).collect()}
     assert soft == {"cancelled_work_order_with_active_material_demand": 1, "cancelled_po_with_non_cancelled_requisition": 0, "voided_ap_with_payment": 0, "released_invoice_without_prior_block": 0}
     results = model.expectations(built).collect()
