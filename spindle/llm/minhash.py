@@ -12,6 +12,7 @@ then compared directly, the likeliest first, until every such candidate is in on
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -126,27 +127,40 @@ def components(links: DataFrame) -> DataFrame:
     contracts the links; a round leaves only links between different roots.
     """
     # min() combines before the shuffle, so a node of many links costs one row a task
-    edges = C.materialize(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct())
+    made: list[DataFrame] = []
+    table = lambda df: made.append(C.materialize(df)) or made[-1]
+    edges = table(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct())
     hooks = []
     while not edges.isEmpty():
-        up = C.materialize(edges.groupBy("hi").agg(F.min("lo").alias("lo")))
+        up = table(edges.groupBy("hi").agg(F.min("lo").alias("lo")))
         for _ in range(2):
             nxt = up.select(F.col("hi").alias("lo"), F.col("lo").alias("to"))
             up = up.join(nxt, "lo", "left").select("hi", F.coalesce("to", "lo").alias("lo"))
-        up = C.materialize(up)
+        up = table(up)
         hooks.append(up)
         for side in ("hi", "lo"):
             to = up.select(F.col("hi").alias(side), F.col("lo").alias("to"))
             edges = edges.join(to, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-        edges = C.materialize(edges.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).filter("hi > lo").distinct())
+        edges = table(edges.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).filter("hi > lo").distinct())
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     for up in hooks:
         nodes = nodes.join(up.select(F.col("hi").alias("component"), F.col("lo").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return C.materialize(nodes)
+    out = C.materialize(nodes)
+    C.discard(*made)
+    return out
 
 
 def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
     """Links (a, b) between representatives that connect just what all links would. reps: ord, sig, bands."""
+    made: list[DataFrame] = []
+    out = _near_links(docs, reps, size, percent, margin, lambda df: made.append(df) or df)
+    C.discard(*(df for df in made if df is not out))
+    return out
+
+
+def _near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin: float, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``near_links``; kept notes each table on the way, so that it can be deleted in the end."""
+    table = lambda df: kept(C.materialize(df))
     floor, sharp_floor = (percent / 100 - margin * spread(percent, h) for h in (HASHES, SHARP))
     cells = reps.select("ord", F.explode("bands").alias("bucket"))
     pivots = cells.groupBy("bucket").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
@@ -157,19 +171,19 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin
     slim = reps.select("ord", "sig")
     rated = pairs.join(slim.select(F.col("ord").alias("a"), F.col("sig").alias("sig_a")), "a").join(slim.select(F.col("ord").alias("b"), F.col("sig").alias("sig_b")), "b")
     rated = rated.select("a", "b", estimate("sig_a", "sig_b").alias("est")).filter(F.col("est") >= floor)
-    best = C.materialize(rated.groupBy("a").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    links = C.materialize(confirmed(best, docs, size, percent))
+    best = table(rated.groupBy("a").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    links = table(confirmed(best, docs, size, percent))
     # members of one bucket that are not connected yet
-    labels = components(links)
+    labels = kept(components(links))
     known = reps.join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("ord", "bands", F.coalesce("component", "ord").alias("component"))
-    known = C.materialize(known)
+    known = table(known)
     cells = known.select("ord", "component", F.posexplode("bands").alias("band", "bucket"))
     sizes = cells.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("main")).filter("k > 1")
-    inside = C.materialize(cells.join(mixed.select("bucket", F.col("main.component").alias("main")), "bucket"))
+    inside = table(cells.join(mixed.select("bucket", F.col("main.component").alias("main")), "bucket"))
     if inside.isEmpty():
         return links
-    sharp = C.materialize(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).select("ord", "sig", "bands"))
+    sharp = table(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).select("ord", "sig", "bands"))
     inside = inside.join(sharp, "ord")
     x = inside.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"), "band")
     y = inside.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("main")).alias("in_main"))
@@ -177,17 +191,17 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin
     est = estimate("sig_a", "sig_b", SHARP)
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) == F.col("band") + 1
     meet = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (est >= sharp_floor) & first)
-    pairs = C.materialize(meet.select("a", "b", "ca", "cb", est.alias("est")))
+    pairs = table(meet.select("a", "b", "ca", "cb", est.alias("est")))
     if pairs.isEmpty():
         return links
-    likely = C.materialize(pairs.groupBy("a", "cb").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    links = C.materialize(links.unionByName(confirmed(likely, docs, size, percent)))
-    labels = components(links)
+    likely = table(pairs.groupBy("a", "cb").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    links = table(links.unionByName(confirmed(likely, docs, size, percent)))
+    labels = kept(components(links))
     rest = pairs
     for side in ("a", "b"):
         rest = rest.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"now_{side}")), side, "left").withColumn(f"now_{side}", F.coalesce(f"now_{side}", side))
-    rest = C.materialize(rest.filter("now_a <> now_b").select("a", "b").join(likely, ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else C.materialize(links.unionByName(confirmed(rest, docs, size, percent)))
+    rest = table(rest.filter("now_a <> now_b").select("a", "b").join(likely, ["a", "b"], "left_anti"))
+    return links if rest.isEmpty() else table(links.unionByName(confirmed(rest, docs, size, percent)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, margin: float = 5.0) -> DataFrame:
@@ -204,7 +218,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = C.materialize(features(rows, size))
     sets = C.materialize(found.filter("n_shingles > 0").groupBy("set_key").agg(F.min("ord").alias("rep")))
     reps = C.materialize(found.join(sets.select(F.col("rep").alias("ord")), "ord", "left_semi").dropDuplicates(["ord"]).select("ord", "sig", "bands"))
-    labels = components(near_links(rows, reps, size, percent, margin))
+    links = near_links(rows, reps, size, percent, margin)
+    labels = components(links)
+    C.discard(links, reps)
     parts = sets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     slim = found.select("ord", "n_shingles", "set_key")
     out = slim.join(parts, "set_key", "left").select("ord", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("ord")).alias("component"))
