@@ -7,6 +7,9 @@ collisions, estimate similarity; whoever passes with a wide margin is confirmed
 Equal sets are one class from the start. In a bucket, members are compared with two pivots, not with each
 other, which joins most families into components. Only members of different components in one bucket are
 then compared directly, the likeliest first, until every such candidate is in one component or refuted.
+
+Documents around one template meet in the same buckets however few of them are near. So members of a crowded
+bucket are compared only if they share one of their rarest shingles, which every pair similar enough does.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Hash functions of the sharp signatures, for documents that share a bucket with others they aren't connected to.
 SHARP = 1280
+#: A bucket with more components than this is crowded: its members meet by their rarest shingles instead.
+CROWD = 64
 _FACTORS = np.random.default_rng(75).integers(1, 2**63, (SHARP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -150,6 +155,61 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def mixed(cells: DataFrame, key: str, also: str = "true") -> DataFrame:
+    """The rows of cells (key, component, ...) whose key several components have, with their number k and the largest of them, main.
+
+    Of those only the keys for some row of which ``also`` holds.
+    """
+    sizes = cells.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(also)).alias("also"))
+    several = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("main"), F.max("also").alias("also")).filter("k > 1 AND also")
+    return cells.join(several.select(key, "k", F.col("main.component").alias("main")), key)
+
+
+def rarest(docs: DataFrame, crowd: DataFrame, size: int, percent: int, table: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rarest shingles of the documents of crowd (ord, component): ord, component, n (size of the set), shingle, place, short.
+
+    Shingles stand in the order of their frequency among crowd. Sets of n and m >= n shingles that are similar enough
+    share at least 2 * percent * n / (100 + percent) of them and percent * m / 100, so the first that they share is
+    among the first of either that are left when all but one of so many are taken off: ``short`` marks these
+    for the smaller set, and all rows are those for the larger. A shingle of a template stands behind what documents have of their own.
+    """
+    def run(batches):
+        for batch in batches:
+            ords, parts, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi in C.chunks(texts, 2 << 20):
+                sets = shingle_sets(texts[lo:hi], size)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ords.slice(lo, hi - lo), pa.array(parts[lo:hi], pa.int64()), lists], names=["ord", "component", "shingles"])
+
+    sets = docs.select("ord", "text").join(crowd, "ord").select("ord", "component", "text").mapInArrow(run, "ord long, component long, shingles array<long>")
+    rows = table(sets.dropDuplicates(["ord"])).select("ord", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    listed = rows.join(often, "shingle").groupBy("ord", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    left = lambda part, whole: (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
+    first = listed.select("ord", "component", "n", left(2 * percent, 100 + percent).alias("few"), F.posexplode(F.slice("all", F.lit(1), left(percent, 100))).alias("place", "at"))
+    return first.select("ord", "component", "n", F.col("at.shingle").alias("shingle"), "place", (F.col("place") < F.col("few")).alias("short"))
+
+
+def shared_rarest(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of ords and their components ca, cb, which differ, that share a rare shingle in places that allow enough similarity. rows: as of ``rarest``."""
+    cells = mixed(rows, "shingle", "short")
+    side = lambda df, s: df.select("shingle", *(F.col(c).alias(c + s) for c in ("ord", "component", "n", "place", "main")))
+    small, large = cells.filter("short"), cells
+    # if this is the first shingle that both have, they share at most it and what follows
+    most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    enough = (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))
+    order = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("ord_x") < F.col("ord_y")))
+    fits = (F.col("component_x") != F.col("component_y")) & order & enough
+
+    def met(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+        both = side(left, "_x").join(side(right, "_y"), "shingle").filter(fits)
+        return both.select(F.col(f"ord_{a}").alias("a"), F.col(f"ord_{b}").alias("b"), F.col(f"component_{a}").alias("ca"), F.col(f"component_{b}").alias("cb"))
+
+    # a is outside the largest component, as that has no pairs of its own
+    out = met(small.filter("component <> main"), large, "x", "y").unionByName(met(small.filter("component = main"), large.filter("component <> main"), "y", "x"))
+    return out.distinct()
+
+
 def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
     """Links (a, b) between representatives that connect just what all links would. reps: ord, sig, bands."""
     made: list[DataFrame] = []
@@ -177,21 +237,25 @@ def _near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margi
     labels = kept(components(links))
     known = reps.join(labels.select(F.col("node").alias("ord"), "component"), "ord", "left").select("ord", "bands", F.coalesce("component", "ord").alias("component"))
     known = table(known)
-    cells = known.select("ord", "component", F.posexplode("bands").alias("band", "bucket"))
-    sizes = cells.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("main")).filter("k > 1")
-    inside = table(cells.join(mixed.select("bucket", F.col("main.component").alias("main")), "bucket"))
+    inside = table(mixed(known.select("ord", "component", F.posexplode("bands").alias("band", "bucket")), "bucket"))
     if inside.isEmpty():
         return links
-    sharp = table(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).select("ord", "sig", "bands"))
-    inside = inside.join(sharp, "ord")
-    x = inside.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"), "band")
-    y = inside.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("main")).alias("in_main"))
-    # a pair that meets in several buckets comes from the first of them only
+    sharp = table(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).dropDuplicates(["ord"]).select("ord", "sig", "bands"))
+    small = inside.filter(F.col("k") <= CROWD).join(sharp, "ord")
+    x = small.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"), "band")
+    y = small.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("main")).alias("in_main"))
+    # a pair that meets in several buckets comes from the first of them only; if that is crowded, from its rarest shingles
     est = estimate("sig_a", "sig_b", SHARP)
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) == F.col("band") + 1
     meet = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (est >= sharp_floor) & first)
-    pairs = table(meet.select("a", "b", "ca", "cb", est.alias("est")))
+    pairs = meet.select("a", "b", "ca", "cb", est.alias("est"))
+    crowd = table(inside.filter(F.col("k") > CROWD).select("ord", "component").distinct())
+    if not crowd.isEmpty():
+        slim = sharp.select("ord", "sig")
+        rated = shared_rarest(rarest(docs, crowd, size, percent, table), percent)
+        rated = rated.join(slim.select(F.col("ord").alias("a"), F.col("sig").alias("sig_a")), "a").join(slim.select(F.col("ord").alias("b"), F.col("sig").alias("sig_b")), "b")
+        pairs = pairs.unionByName(rated.select("a", "b", "ca", "cb", est.alias("est")).filter(F.col("est") >= sharp_floor))
+    pairs = table(pairs.dropDuplicates(["a", "b"]))
     if pairs.isEmpty():
         return links
     likely = table(pairs.groupBy("a", "cb").agg(F.max(F.struct("est", "b")).alias("best")).select("a", F.col("best.b").alias("b")))

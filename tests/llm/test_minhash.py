@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spindle.llm import minhash as M
 
@@ -93,3 +94,41 @@ def test_estimate_follows_similarity(spark):
         want.append(m / (800 - m))
     got = [r[0] for r in spark.createDataFrame(rows, "x array<long>, y array<long>").select(M.estimate("x", "y")).collect()]
     assert np.abs(np.array(got) - want).max() < 0.16 and abs(np.mean(np.array(got) - want)) < 0.02
+
+
+def around_a_template(n, seed=5):
+    """n texts of 200 words, of which 160 are one template's; every tenth repeats its predecessor but for two words."""
+    rng = random.Random(seed)
+    shared = [f"t{k}" for k in range(160)]
+    rows = []
+    for i in range(n):
+        if i % 10 == 9:
+            w = rows[-1][1].split()
+            w[170], w[190] = f"x{i}", f"y{i}"
+        else:
+            w = shared + [f"own{i}-{k}-{rng.random()}" for k in range(40 + i % 3)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_crowded_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "CROWD", 1)
+    for seed in (1, 3):
+        check(spark, make(seed, 200))
+
+
+def test_documents_around_one_template(spark):
+    rows = around_a_template(400)
+    want = brute(rows)
+    assert sum(not r[3] for r in want) == 40  # the template alone links nothing
+    check(spark, rows)
+
+
+def test_rare_shingles_of_a_template_grow_with_its_documents(spark):
+    met = []
+    for n in (500, 2000):
+        docs = spark.createDataFrame([(i, t) for i, t in around_a_template(n)], "ord long, text string")
+        crowd = docs.select("ord", F.col("ord").alias("component"))
+        pairs = M.shared_rarest(M.rarest(docs, crowd, 5, 75, lambda df: df), 75)
+        met.append(pairs.count())
+    assert met == [50, 200]
