@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, lm, minhash, mixing, runs, secrets, sentence_dedup, suffix_dedup, toxicity, whitening
+from . import audio, bpe, exact_dedup, lm, minhash, mixing, runs, secrets, sentence_dedup, suffix_dedup, toxicity, webpages, whitening
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,6 +65,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_suffix_dedup": op2_suffix_dedup, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing, "op6_lm": op6_lm, "op7_audio": op7_audio, "op8_exact_dedup": op8_exact_dedup, "op9_minhash": op9_minhash, "op10_sentence_dedup": op10_sentence_dedup,
-           "op11_runs": op11_runs, "op12_whitening": op12_whitening}
+           "op11_runs": op11_runs, "op12_whitening": op12_whitening, "op13_html": op13_html}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
