@@ -150,10 +150,15 @@ def increment(log: DataFrame, checkpoint: int, end: int | None) -> DataFrame | N
     return new.filter(F.col("_change_type").isin(*ADDED))
 
 
+def identity(kind: str, keys: list[str]) -> list[str]:
+    """The columns by which an ingested row is known: an event's keys, else the record and its version."""
+    return keys if kind == "event" else ["_source_record_hash", "_source_commit_version"]
+
+
 def ingest(bronze: DataFrame, rows: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     """bronze with new rows, as ``publicize`` gives them: known events and known versions of a record are replaced, not repeated."""
-    identity = keys if kind == "event" else ["_source_record_hash", "_source_commit_version"]
-    return upsert(bronze, one_row_a_key(rows, identity, ["_source_commit_version", "_source_commit_timestamp", "_source_record_hash"]), identity)
+    known = identity(kind, keys)
+    return upsert(bronze, one_row_a_key(rows, known, ["_source_commit_version", "_source_commit_timestamp", "_source_record_hash"]), known)
 
 
 def horizon(*times: tuple[DataFrame, str]) -> datetime | None:

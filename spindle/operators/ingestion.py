@@ -28,16 +28,19 @@ def read_checkpoint(spark: SparkSession, root: str, table: str) -> int | None:
 
 def write_checkpoint(spark: SparkSession, root: str, table: str, version: int, at: datetime | None, now: datetime) -> None:
     row = spark.createDataFrame([(table, version, at, now)], CHECKPOINT)
-    tables.merge_into(row, root, "ingestion_checkpoint", lambda old, new: changes.upsert(old, new, ["source_table"]))
+    tables.merge_into(row, root, "ingestion_checkpoint", lambda old, new: changes.upsert(old, new, ["source_table"]), ["source_table"])
 
 
 def raw_name(table: str, source: Source) -> str:
     return f"{table.removesuffix('_store')}_raw" if source.kind == "event" else f"{table}_raw"
 
 
-def step(spark: SparkSession, read_log: Callable[[str], DataFrame], sources: dict[str, Source], root: str, started: datetime, lag_minutes: int = 5, run_id: str | None = None) -> dict[str, int]:
+def step(spark: SparkSession, read_log: Callable[[str], DataFrame], sources: dict[str, Source], root: str, started: datetime, lag_minutes: int = 5, run_id: str | None = None, span: int = 1000) -> dict[str, int]:
     """Ingests each source table and returns the rows read of each; a table without a stable version is left for the next run.
 
+    A raw table has a part for every ``span`` commit versions, so an increment writes the newest part, and others only if
+    they hold the same events already.
+
     The first time a table's baseline is taken, later the changes after its checkpoint. The raw table is written
     before its checkpoint: a run that is cut off between the two reads the same changes again and merges them
     into the same rows. A source that is behind its checkpoint raises ``changes.SourceReset``, a delete ``ValueError``. Tables
@@ -60,7 +63,9 @@ def step(spark: SparkSession, read_log: Callable[[str], DataFrame], sources: dic
         # written once, as the rows are counted and merged
         rows = tables.replace(rows, root, f"{raw_name(name, source)}_new")
         counts[name] = rows.count()
-        tables.merge_into(rows, root, raw_name(name, source), lambda old, new: changes.ingest(old, new, source.kind, keys))
+        # the version is part of the identity of all but events
+        part, identity = F.floor(F.col("_source_commit_version") / span), changes.identity(source.kind, keys)
+        tables.merge_into(rows, root, raw_name(name, source), lambda old, new: changes.ingest(old, new, source.kind, keys), identity, part, source.kind != "event")
         write_checkpoint(spark, root, name, end, at, started)
     events = "event_log_raw"
     business = changes.horizon((tables.current(spark, root, events), "occurred_at")) if tables.exists(spark, root, events) else None

@@ -138,7 +138,7 @@ def test_merges_into_the_table_they_read(spark, tmp_path):
         tables.merge_into(frame((1, k), (k + 2, 0)), root, "t", lambda old, new: changes.upsert(old, new, ["k"]))
     assert rows() == [(1, 3), (2, 0), (3, 0), (4, 0), (5, 0)]
     tables.replace(frame((9, 9)), root, "t")
-    assert rows() == [(9, 9)] and len([p for p in (tmp_path / "t.generations").iterdir() if p.name[0] != "."]) == 3
+    assert rows() == [(9, 9)]
 
 
 def test_ingestion_step(spark, tmp_path):
