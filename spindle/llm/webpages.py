@@ -491,10 +491,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["host", "node", "text_key", "beside", "chars"])
 
     seen = C.materialize(pages.join(made, "host").select("host", "html", "template").mapInArrow(run, _COUNTED))
-    by_text = seen.groupBy("host", "node", "text_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("beside").alias("contents"), F.sum("chars").alias("chars"))
-    by_node = seen.groupBy("host", "node").agg(F.count_distinct("beside").alias("all_contents"))
-    common = (F.col("contents") >= BESIDE) & (2 * F.col("contents") >= F.col("all_contents"))
-    nodes = by_text.join(by_node, ["host", "node"]).groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum(F.when(common, F.col("n")).otherwise(0)).alias("common"), F.sum("chars").alias("chars"))
+    by_node = seen.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("beside").alias("all_contents"), F.sum("chars").alias("chars"))
+    # few texts stand beside many contents, so a hot slot brings few rows to the join
+    often = seen.groupBy("host", "node", "text_key").agg(F.count(F.lit(1)).alias("texts"), F.count_distinct("beside").alias("contents")).filter(F.col("contents") >= BESIDE)
+    common = often.join(by_node.select("host", "node", "all_contents"), ["host", "node"]).filter(2 * F.col("contents") >= F.col("all_contents")).groupBy("host", "node").agg(F.sum("texts").alias("common"))
+    nodes = by_node.join(common, ["host", "node"], "left")
     constant = 10 * F.col("common") >= 9 * F.col("n")
     per_host = nodes.groupBy("host").agg(F.collect_list(F.when(constant, F.col("node"))).alias("constant"), F.collect_list(F.struct("node", "chars")).alias("chars"))
     return C.materialize(made.join(per_host, "host", "left"))
