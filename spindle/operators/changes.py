@@ -61,7 +61,8 @@ def one_row_a_key(source: DataFrame, keys: list[str], newest: list[str]) -> Data
     return best.select(*keys, *(F.col(f"best.{c}").alias(c) for c in rest)).select(*source.columns)
 
 
-def _match(keys: list[str]) -> Column:
+def match(keys: list[str]) -> Column:
+    """Equal keys of frames t and s; nulls are equal."""
     out = F.lit(True)
     for k in keys:
         out &= F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}"))
@@ -70,18 +71,18 @@ def _match(keys: list[str]) -> Column:
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """target with source's row for every key that source has. source has one row a key."""
-    kept = target.alias("t").join(source.select(*keys).alias("s"), _match(keys), "left_anti")
+    kept = target.alias("t").join(source.select(*keys).alias("s"), match(keys), "left_anti")
     return kept.unionByName(source, allowMissingColumns=True)
 
 
 def insert_only(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """target and the rows of source whose keys it lacks."""
-    return target.unionByName(source.alias("s").join(target.select(*keys).alias("t"), _match(keys), "left_anti"), allowMissingColumns=True)
+    return target.unionByName(source.alias("s").join(target.select(*keys).alias("t"), match(keys), "left_anti"), allowMissingColumns=True)
 
 
 def upsert_preserving(target: DataFrame, source: DataFrame, keys: list[str], frozen: list[str]) -> DataFrame:
     """``upsert``, but a row that target has already keeps its values of the frozen columns."""
-    both = source.alias("s").join(target.select(*keys, *frozen, F.lit(True).alias("_known")).alias("t"), _match(keys), "left")
+    both = source.alias("s").join(target.select(*keys, *frozen, F.lit(True).alias("_known")).alias("t"), match(keys), "left")
     known = F.col("t._known").isNotNull()
     rows = both.select(*(F.when(known, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in frozen else F.col(f"s.{c}") for c in source.columns))
     return upsert(target, rows, keys)
@@ -93,7 +94,7 @@ def changed_rows(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
     differ = F.lit(False)
     for c in compared:
         differ |= ~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
-    joined = source.alias("s").join(target.select(*keys, *compared, F.lit(True).alias("_known")).alias("t"), _match(keys), "left")
+    joined = source.alias("s").join(target.select(*keys, *compared, F.lit(True).alias("_known")).alias("t"), match(keys), "left")
     return joined.filter(F.col("t._known").isNull() | differ).select("s.*")
 
 

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from . import slices
 from .measures import seconds
 
 
-def event_log(transitions: DataFrame) -> DataFrame:
+def event_log(transitions: DataFrame, most: int | None = slices.MOST) -> DataFrame:
     """Transitions as the events of cases, with their number in the case and the time since the one before.
 
-    Needs transition_id, entity_type, entity_id, from_state, to_state, reason, occurred_at, source_commit_at.
+    Needs transition_id, entity_type, entity_id, from_state, to_state, reason, occurred_at, source_commit_at. Without
+    entity there is no case, and events of none are numbered together. A case of more than ``most`` events is worked on
+    in slices, for which events are counted by case first.
     """
-    case = W.partitionBy("case_id").orderBy("occurred_at", "source_commit_at", "transition_id")
-    events = transitions.withColumn("case_id", F.concat_ws(":", "entity_type", "entity_id"))
-    return events.select(
-        "transition_id", "case_id", "entity_type", "entity_id", "from_state", F.col("to_state").alias("activity"), "reason", "occurred_at", "source_commit_at",
-        F.lag("occurred_at").over(case).alias("previous_event_at"), F.row_number().over(case).alias("event_index"),
+    events = transitions.withColumns({"case_id": F.concat("entity_type", F.lit(":"), "entity_id"), "activity": F.col("to_state")})
+    walked = slices.walk(events, "case_id", ["occurred_at", "source_commit_at", "transition_id"], lag={"occurred_at": "previous_event_at"}, index="event_index", most=most)
+    return walked.select(
+        "transition_id", "case_id", "entity_type", "entity_id", "from_state", "activity", "reason", "occurred_at", "source_commit_at", "previous_event_at", "event_index",
     ).withColumn("seconds_since_previous", seconds("previous_event_at", "occurred_at"))
 
 
