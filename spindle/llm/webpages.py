@@ -45,6 +45,7 @@ _CLOSES = {
 }
 #: ... but not beyond one of these.
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+_PARAGRAPH, _HOLDS_PARAGRAPHS = {"p"}, {"td", "th", "li", "div", "button", "table", "article", "body"}
 #: Boxes whose place among their siblings tells what they are, if nothing else does.
 _BOXES = frozenset("div section table tbody td center".split())
 #: Elements that the region of content is looked for in.
@@ -134,7 +135,13 @@ def _pairs(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[int, int]]:
 def merge(into: Node, other: Node) -> None:
     """Adds to a tree what it lacks of another one with the same root; what matches is one node, with the texts of both."""
     into.blocks += other.blocks
+    if not other.kids:
+        return
     met = _pairs(into.kids, other.kids, {})
+    if len(met) == len(other.kids):
+        for i, j in met:
+            merge(into.kids[i], other.kids[j])
+        return
     partner = {j: into.kids[i] for i, j in met}
     out, at = list(into.kids), 0
     for j, kid in enumerate(other.kids):
@@ -153,6 +160,8 @@ def fold(kids: list[Node]) -> list[Node]:
     Boxes without class or id stay apart in rows of up to ROW. Of more than WIDEST children those of one label are one
     wherever they stand, and of more than WIDEST labels those of one tag are one label.
     """
+    if len(kids) < 2:
+        return kids
     out: list[Node] = []
     i = 0
     while i < len(kids):
@@ -195,6 +204,16 @@ def align(template: Node, page: Node) -> dict[int, int]:
 # ------------------------------------------------------------------ pages
 
 
+class _Open:
+    """An element that isn't closed yet: its node, what else than main text it may hold, its first text, and what is in it."""
+
+    __slots__ = ("article", "begin", "depth", "h1", "kind", "main", "node", "tag")
+
+    def __init__(self, tag: str, node: Node, kind: str | None, begin: int):
+        self.tag, self.node, self.kind, self.begin, self.depth = tag, node, kind, begin, 1
+        self.main = self.article = self.h1 = False
+
+
 class Page:
     """A page's tree and texts. Of each text: the characters in links, whether it is chrome, and its article, main or heading."""
 
@@ -207,23 +226,25 @@ class Page:
         self.heading: list[bool] = []
         self._parts: list[str] = []
         self._links = self._in_link = 0
-        self._stack: list[dict] = []
+        self._stack: list[_Open] = []
         self._open("html", "html", None)
         self._read(html)
         while len(self._stack) > 1:
             self._close()
         self._flush()
-        top = self._stack[0]["node"]
+        top = self._stack[0].node
         top.kids = fold(top.kids)
         self.tree = top
 
     def _flush(self) -> None:
+        if not self._parts:
+            return
         text = " ".join("".join(self._parts).split())
         if text:
-            self._stack[-1]["node"].kids.append(Node("#", None, [len(self.texts)]))
+            self._stack[-1].node.kids.append(Node("#", None, [len(self.texts)]))
             self.texts.append(text)
             self.linked.append(self._links)
-            self.heading.append(any(s["tag"] in _HEADINGS for s in self._stack[-2:]))
+            self.heading.append(any(s.tag in _HEADINGS for s in self._stack[-2:]))
             self.chrome.append(False)
             self.article.append(False)
             self.main.append(False)
@@ -231,28 +252,26 @@ class Page:
         self._links = 0
 
     def _open(self, tag: str, label: str, kind: str | None) -> None:
-        self._stack.append({"tag": tag, "node": Node(label), "kind": kind, "from": len(self.texts), "main": False, "article": False, "h1": False, "depth": 1})
+        self._stack.append(_Open(tag, Node(label), kind, len(self.texts)))
 
     def _close(self) -> None:
         self._flush()
         e = self._stack.pop()
-        node, above, kind, tag = e["node"], self._stack[-1], e["kind"], e["tag"]
+        node, above, kind, tag = e.node, self._stack[-1], e.kind, e.tag
         node.kids = fold(node.kids)
-        above["node"].kids.append(node)
-        own = range(e["from"], len(self.texts))
+        above.node.kids.append(node)
+        own = range(e.begin, len(self.texts))
         # what is around the main text is no chrome, whatever it is called
-        if kind and not (e["main"] or e["h1"] and kind in ("form", "comments") or e["article"] and kind != "comments"):
-            inside = kind == "header" and any(s["tag"] == "article" and not s["kind"] for s in self._stack)
+        if kind and not (e.main or e.h1 and kind in ("form", "comments") or e.article and kind != "comments"):
+            inside = kind == "header" and any(s.tag == "article" and not s.kind for s in self._stack)
             for i in own:
                 self.chrome[i] = self.chrome[i] or not (inside and self.heading[i])
         elif tag in ("article", "main") and not kind:
             marks = self.article if tag == "article" else self.main
             for i in own:
                 marks[i] = True
-            above[tag] = True
-        for flag in ("main", "article", "h1"):
-            above[flag] = above[flag] or e[flag]
-        above["h1"] = above["h1"] or tag == "h1"
+            setattr(above, tag, True)
+        above.main, above.article, above.h1 = above.main or e.main, above.article or e.article, above.h1 or e.h1 or tag == "h1"
 
     def _start(self, tag: str, rest: str) -> None:
         attributes, words, hidden = {}, frozenset(), False
@@ -268,8 +287,8 @@ class Page:
                 kind = "comments"
             elif tag == "article":
                 # an article inside another's text is a reader's comment
-                outer = next((s for s in reversed(self._stack) if s["tag"] == "article"), None)
-                kind = "comments" if outer and len(self.texts) > outer["from"] else None
+                outer = next((s for s in reversed(self._stack) if s.tag == "article"), None)
+                kind = "comments" if outer and len(self.texts) > outer.begin else None
             elif words & _HEADERS:
                 kind = "header"
             elif hidden or words & _NAMES or attributes.get("role", "").lower() in _ROLES:
@@ -277,27 +296,27 @@ class Page:
         if tag in _INLINE and not kind:
             self._in_link += tag == "a"
             return
-        for s in self._stack[:0:-1]:
-            if s["tag"] == tag and tag in _INLINE:
-                s["depth"] += 1
-                return
-            break
+        top = self._stack[-1]
+        if tag in _INLINE and top.tag == tag:
+            top.depth += 1
+            return
         self._flush()
         if tag in _CLOSES:
-            self._close_upto(_CLOSES[tag], _FENCE.get(tag, set()))
+            self._close_upto(_CLOSES[tag], _FENCE.get(tag, ()))
         elif tag not in _INLINE:
-            self._close_upto({"p"}, {"td", "th", "li", "div", "button", "table", "article", "body"})
+            self._close_upto(_PARAGRAPH, _HOLDS_PARAGRAPHS)
         if len(self._stack) < DEEPEST:
-            label = tag + "".join("." + _DIGITS.sub("", c) for c in sorted(attributes.get("class", "").split())[:3]) + ("#" + _DIGITS.sub("", attributes["id"]) if attributes.get("id") else "")
+            label = tag if not attributes else tag + "".join("." + _DIGITS.sub("", c) for c in sorted(attributes.get("class", "").split())[:3]) + ("#" + _DIGITS.sub("", attributes["id"]) if attributes.get("id") else "")
             self._open(tag, label, kind)
 
     def _close_upto(self, tags: set[str], fence: set[str]) -> None:
         """Closes the outermost open element of these tags before an element of the fence."""
         found = 0
-        for n, s in enumerate(reversed(self._stack[1:]), 1):
-            if s["tag"] in fence and s["tag"] not in tags:
+        for n in range(1, len(self._stack)):
+            s = self._stack[-n]
+            if s.tag in fence and s.tag not in tags:
                 break
-            if s["tag"] in tags:
+            if s.tag in tags:
                 found = n
         for _ in range(found):
             self._close()
@@ -305,10 +324,11 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._in_link = max(0, self._in_link - 1)
-        for n, s in enumerate(reversed(self._stack[1:]), 1):
-            if s["tag"] == tag:
-                s["depth"] -= 1
-                if not s["depth"]:
+        for n in range(1, len(self._stack)):
+            s = self._stack[-n]
+            if s.tag == tag:
+                s.depth -= 1
+                if not s.depth:
                     for _ in range(n):
                         self._close()
                 return
