@@ -6,10 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spindle.sources import tables as T
+
 from .measures import seconds
 
 
@@ -32,6 +34,43 @@ def expectations(df: DataFrame, dataset: str, rules: list[Rule]) -> DataFrame:
         F.when(F.col("total") == 0, 1.0).otherwise((F.col("total") - F.col("r.failed_rows")) / F.nullif(F.col("total"), F.lit(0))).alias("pass_rate"))
 
 
+class Watch:
+    """Rules that are counted while a dataset is written, with its rows and the latest of its times; no further scan.
+
+    watch(df) is df, to be written once; what was counted is there when that write has ended. Spark repeats lost tasks without
+    counting rows twice.
+    """
+
+    def __init__(self, dataset: str, rules: list[Rule], time_column: str | None = None):
+        self.dataset, self.rules, self.time_column, self._seen = dataset, rules, time_column, Observation()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        failed = [F.sum(F.when(~r.holds, 1).otherwise(0)).alias(f"f{k}") for k, r in enumerate(self.rules)]
+        latest = F.max(self.time_column).cast("timestamp") if self.time_column else F.lit(None).cast("timestamp")
+        return df.observe(self._seen, F.count(F.lit(1)).alias("total"), (F.max(latest) if not self.time_column else latest).alias("latest"), *failed)
+
+    def failures(self) -> dict[str, int]:
+        """Failed rows of each rule."""
+        return {r.name: self._seen.get[f"f{k}"] or 0 for k, r in enumerate(self.rules)}
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        """As ``expectations`` gives them."""
+        total = self._seen.get["total"]
+        rows = [(self.dataset, r.name, r.action, total, n, 1.0 if not total else (total - n) / total) for r, n in zip(self.rules, self.failures().values())]
+        return spark.createDataFrame(rows, "dataset string, expectation string, action string, total_rows long, failed_rows long, pass_rate double")
+
+    def observed(self, spark: SparkSession, now: Column, layer: str) -> DataFrame:
+        """As ``observe`` gives it."""
+        row = [(layer, self.dataset, self._seen.get["total"], self._seen.get["latest"])]
+        return _with_freshness(spark.createDataFrame(row, "layer string, asset_name string, row_count long, latest_at timestamp"), now)
+
+    def require(self) -> None:
+        """Raises if a rule of action fail has failed rows."""
+        bad = {r.name: n for r, n in zip(self.rules, self.failures().values()) if n and r.action == "fail"}
+        if bad:
+            raise QualityError(", ".join(f"{self.dataset}.{name}: {n}" for name, n in bad.items()))
+
+
 def latest_results(results: DataFrame) -> DataFrame:
     """Of each rule of each dataset the last result. results: as ``expectations`` gives them, with observed_at."""
     order = W.partitionBy("dataset", "expectation").orderBy(F.desc("observed_at"))
@@ -112,7 +151,11 @@ def observe(tables: dict[str, DataFrame], time_columns: dict[str, str], now: Col
     for name, df in tables.items():
         latest = F.max(time_columns[name]).cast("timestamp") if name in time_columns else F.lit(None).cast("timestamp")
         rows.append(df.agg(F.count(F.lit(1)).alias("row_count"), latest.alias("latest_at")).select(F.lit(layer).alias("layer"), F.lit(name).alias("asset_name"), "row_count", "latest_at"))
-    return reduce(DataFrame.unionByName, rows).withColumn("freshness_minutes", (seconds(F.col("latest_at"), now.cast("timestamp")) / F.lit(60.0)).cast("double"))
+    return _with_freshness(reduce(DataFrame.unionByName, rows), now)
+
+
+def _with_freshness(rows: DataFrame, now: Column) -> DataFrame:
+    return rows.withColumn("freshness_minutes", (seconds(F.col("latest_at"), now.cast("timestamp")) / F.lit(60.0)).cast("double"))
 
 
 def stale(observed: DataFrame, most_minutes: float) -> DataFrame:
@@ -151,6 +194,33 @@ def observe_run(tables: dict[str, Callable[[], DataFrame]], time_columns: dict[s
     return seen.select(F.lit(run_id).alias("run_id"), now.cast("timestamp").alias("observed_at"), "layer", "asset_name", F.lit("table").alias("asset_type"), "row_count", "latest_at", "freshness_minutes"), errors
 
 
+def observe_catalog(spark: SparkSession, time_columns: tuple[str, ...], now: Column, layer: str, run_id: str, root: str, database: str = "default") -> dict[str, str]:
+    """``observe_run`` of every table in a database of the catalog, added to the table ``asset_observation`` under root; gives the errors.
+
+    A table's time is the first of the time columns that it has.
+    """
+    columns: dict[str, list[str]] = {}
+    for r in T.columns_of(spark, database).collect():  # the catalog, not the tables
+        columns.setdefault(r.table_name, []).append(r.column_name)
+    times = {name: next(c for c in time_columns if c in own) for name, own in columns.items() if any(c in own for c in time_columns)}
+    seen, errors = observe_run({name: lambda name=name: spark.table(name) for name in columns}, times, now, layer, run_id)
+    if seen is not None:
+        T.append(seen, root, "asset_observation")
+    return errors
+
+
+def catalog_coverage(spark: SparkSession, registry: DataFrame, prefix: str = "fact_", database: str = "default") -> DataFrame:
+    """fact_table, cube_count and row_count (null: no such table) of every fact that is in the catalog or in the registry.
+
+    Facts are the catalog's tables whose names start with prefix. registry: fact_table and cube_name, as published.
+    """
+    found = sorted({t.name for t in spark.catalog.listTables(database) if t.name.startswith(prefix)})
+    counts = [spark.table(name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("fact_table"), "row_count") for name in found]
+    rows = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "fact_table string, row_count long")
+    cubes = registry.groupBy("fact_table").agg(F.count_distinct("cube_name").cast("int").alias("cube_count"))
+    return rows.join(cubes, "fact_table", "full_outer").select("fact_table", F.coalesce("cube_count", F.lit(0)).alias("cube_count"), "row_count")
+
+
 def run_logged(task: Callable[[], None], log: Callable[[dict], None], run_id: str, clock: Callable[[], object], most: int = 2000) -> None:
     """Runs a task and logs its start and its end; a failure is logged with the end of its message and raised."""
     row = {"run_id": run_id, "started_at": clock(), "status": "RUNNING"}

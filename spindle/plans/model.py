@@ -1,7 +1,7 @@
 """From the ingested source tables to conformed tables, dimensions and facts.
 
 Every function takes ``bronze``, which gives an ingested table by its source name (as ``changes.publicize`` makes
-them), and returns DataFrames; nothing is run here.
+them), and returns DataFrames; what is run here is the count of rows by key before windows, and ``publish``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spindle.operators import changes, dimensions, measures, process, quality
 from spindle.operators.measures import amount, date_key, percent
+from spindle.sources import tables
 from spindle.sources.schemas import SOURCES
 
 from . import cubes
@@ -177,9 +178,9 @@ def mining(bronze: Tables) -> dict[str, DataFrame]:
 def build(bronze: Tables, horizon: Column, bounds: DataFrame) -> dict[str, DataFrame]:
     """All conformed tables, dimensions, facts and process tables by name."""
     known = masters(bronze)
-    tables = known | maintenance(bronze, known, horizon) | inventory(bronze, known) | procurement(bronze, known) | finance(bronze, known, horizon)
+    conformed = known | maintenance(bronze, known, horizon) | inventory(bronze, known) | procurement(bronze, known) | finance(bronze, known, horizon)
     d = dims(bronze, known, bounds)
-    return tables | d | facts(tables, d, horizon) | mining(bronze)
+    return conformed | d | facts(conformed, d, horizon) | mining(bronze)
 
 
 def violations(m: dict[str, DataFrame], checkpoints: DataFrame | None = None, registry: DataFrame | None = None, views: set[str] | None = None, results: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -226,19 +227,43 @@ def reconciliations(m: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def expectations(m: dict[str, DataFrame]) -> DataFrame:
-    """Results of the seven rules on published tables."""
+def rules() -> dict[str, list[quality.Rule]]:
+    """The seven rules by published table."""
     slack, rule = measures.TOLERANCE, quality.Rule
     window = F.col("effective_to").isNull() | (F.col("effective_to") > F.col("effective_from"))
-    rules = {
-        "stock_position": rule("non_negative_stock", (F.col("on_hand") >= 0) & (F.col("reserved") >= 0)),
-        "work_order_material": rule("issued_not_above_required", F.col("qty_issued") <= F.col("qty_required") + slack),
-        "purchase_order_item": rule("received_not_above_ordered", F.col("received_qty") <= F.col("ordered_qty") + slack),
-        "accounts_payable": rule("paid_has_timestamp", (F.col("status") != "PAID") | F.col("paid_at").isNotNull()),
-        **{f"dim_{n}": rule("valid_scd2_window", window) for n in ("supplier", "material", "asset")},
+    return {
+        "stock_position": [rule("non_negative_stock", (F.col("on_hand") >= 0) & (F.col("reserved") >= 0))],
+        "work_order_material": [rule("issued_not_above_required", F.col("qty_issued") <= F.col("qty_required") + slack)],
+        "purchase_order_item": [rule("received_not_above_ordered", F.col("received_qty") <= F.col("ordered_qty") + slack)],
+        "accounts_payable": [rule("paid_has_timestamp", (F.col("status") != "PAID") | F.col("paid_at").isNotNull())],
+        **{f"dim_{n}": [rule("valid_scd2_window", window)] for n in ("supplier", "material", "asset")},
     }
-    frames = [quality.expectations(m[name], name, [r]) for name, r in rules.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+
+
+def expectations(m: dict[str, DataFrame]) -> DataFrame:
+    """Results of the seven rules on published tables."""
+    frames = [quality.expectations(m[name], name, r) for name, r in rules().items()]
+    return tables.union_all(*frames)
+
+
+def publish(m: dict[str, DataFrame], root: str, now: Column, run_id: str, hard: bool = True) -> dict[str, DataFrame]:
+    """Writes the tables under root, each with its rules counted by the write itself, and gives them as written.
+
+    What was counted is added to ``expectation_result`` and ``asset_observation``. If a rule of action fail is broken and
+    ``hard``, the results are kept, the table isn't replaced, and ``quality.QualityError`` is raised; later tables aren't written.
+    """
+    out, wanted = {}, rules()
+    for name, df in m.items():
+        spark = df.sparkSession
+        watch = quality.Watch(name, wanted.get(name, []), "source_commit_at" if "source_commit_at" in df.columns else None)
+
+        def accept(watch: quality.Watch = watch) -> None:
+            stamp = (F.lit(run_id).alias("run_id"), now.cast("timestamp").alias("observed_at"))
+            if watch.rules:
+                tables.append(watch.results(spark).select(*stamp, "*"), root, "expectation_result")
+            tables.append(watch.observed(spark, now, "published").select(*stamp, "*"), root, "asset_observation")
+            if hard:
+                watch.require()
+
+        out[name] = tables.replace(watch(df), root, name, accept=accept)
     return out

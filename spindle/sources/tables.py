@@ -198,11 +198,14 @@ def parts(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(_newest(_Folder(spark, root, name)).parts)
 
 
-def replace(df: DataFrame, root: str, name: str, part: Column | None = None, keep: float = KEEP) -> DataFrame:
-    """Writes df as the whole table."""
+def replace(df: DataFrame, root: str, name: str, part: Column | None = None, keep: float = KEEP, accept: Callable[[], None] | None = None) -> DataFrame:
+    """Writes df as the whole table. ``accept`` is called once the rows are written and before they count; if it raises, the table stays as it is."""
     folder = _Folder(df.sparkSession, root, name)
     before, schema = _newest(folder), _widened(None, df)
-    return _frame(folder, _commit(folder, before, {p: [f] for p, f in _write(folder, df, F.lit(0) if part is None else part).items()}, schema, keep))
+    new = {p: [f] for p, f in _write(folder, df, F.lit(0) if part is None else part).items()}
+    if accept:
+        accept()
+    return _frame(folder, _commit(folder, before, new, schema, keep))
 
 
 def append(df: DataFrame, root: str, name: str, part: Column | None = None, keep: float = KEEP) -> DataFrame:
@@ -215,6 +218,7 @@ def append(df: DataFrame, root: str, name: str, part: Column | None = None, keep
 
 def merge_into(
     source: DataFrame, root: str, name: str, merge: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str] | None = None, part: Column | None = None, part_of_keys: bool = False, keep: float = KEEP,
+    accept: Callable[[], None] | None = None,
 ) -> DataFrame:
     """The table after merge(table, source), which ``changes`` has functions for; a table that isn't there yet counts as empty.
 
@@ -222,12 +226,12 @@ def merge_into(
     a row goes to the part that ``part`` gives for it (null: -1), and rows for other parts become one more folder there.
     Which parts hold keys is looked up in the key columns alone, or not at all if ``part_of_keys`` says that equal keys have
     equal parts. Without keys the whole table is written anew. Only the numbers of parts reach the driver.
+    ``accept``: as for ``replace``.
     """
     folder = _Folder(source.sparkSession, root, name)
     before, part = _newest(folder), F.lit(0) if part is None else part
     if not before.number:
-        rows = merge(source.limit(0), source)
-        return _frame(folder, _commit(folder, before, {p: [f] for p, f in _write(folder, rows, part).items()}, _widened(None, rows), keep))
+        return replace(merge(source.limit(0), source), root, name, part, keep, accept)
     touched = set(before.parts)
     if keys is not None:
         theirs = {r[0] for r in source.select(F.coalesce(part.cast("long"), F.lit(-1))).distinct().collect()}
@@ -245,6 +249,8 @@ def merge_into(
         touched |= {p for p in theirs if len(before.parts.get(p, ())) >= FOLDERS}
     rows = merge(_frame(folder, before, sorted(touched)), source)
     schema, new = _widened(before.schema, rows), _write(folder, rows, part)
+    if accept:
+        accept()
     after = {p: fs for p, fs in before.parts.items() if p not in touched}
     return _frame(folder, _commit(folder, before, after | {p: [*after.get(p, []), f] for p, f in new.items()}, schema, keep))
 
