@@ -28,14 +28,15 @@ def events(spark):
 
 @pytest.mark.parametrize("most", [7, 60])
 def test_walk_is_a_window(events, most):
-    ask = {"lag": {"kind": "kind_before", "at": "at_before"}, "lead": {"id": "id_after"}, "index": "n"}
+    ask = {"lag": {"kind": "kind_before", "at": "at_before"}, "lead": {"id": "id_after"}, "index": "n", "sums": {"id": "id_sum", "half": "half_sum"}}
+    events = events.withColumn("half", F.when(F.col("kind") == "a", F.col("id")))
     assert plain(slices.walk(events, "key", ["at", "id"], most=most, **ask)) == plain(slices.walk(events, "key", ["at", "id"], most=None, **ask))
 
 
 def test_a_hot_key_is_many_groups(spark):
     rows = spark.range(200_000).select(F.lit("one").alias("key"), F.col("id"), (F.col("id") * 7919 % 200_003).alias("at"))
     cut = slices.cuts(rows, "key", "at", 10_000).first()
-    assert len(cut._cuts) == 19 and max(b - a for a, b in zip([0, *cut._cuts], [*cut._cuts, 200_003])) < 11_000
+    assert len(cut._walk_cuts) == 19 and max(b - a for a, b in zip([0, *cut._walk_cuts], [*cut._walk_cuts, 200_003])) < 11_000
     walked = slices.walk(rows, "key", ["at"], lag={"at": "before"}, index="n", most=10_000)
     assert walked.filter("before >= at OR (before IS NULL AND n > 1)").isEmpty() and walked.agg(F.sum("n"), F.count_distinct("n")).first()[:] == (200_000 * 200_001 // 2, 200_000)
     assert slices.cuts(rows, "key", "at", 200_000) is None
