@@ -8,12 +8,58 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators.measures import count_if, ratio, sum_if
+from spindle.operators.measures import count_if, ratio
 
 #: A column of the fact (``source``) or of a joined dimension by its alias.
 S = lambda name: F.col(f"source.{name}")
 
 
+class Aggregates:
+    """The aggregates that measures are made of: over rows, or, while states are collected, over states of rows.
+
+    A state is itself an aggregate of rows, and states of parts of the rows give what all rows would: ``states`` has the
+    name and aggregate of each, by kind and expression, so that measures share them.
+    """
+
+    def __init__(self):
+        self.states: dict[str, tuple[str, Column]] | None = None
+
+    def _of(self, kind: str, value: Column, make: Callable[[Column], Column], again: Callable[[Column], Column]) -> Column:
+        if self.states is None:
+            return make(value)
+        name, _ = self.states.setdefault(f"{kind} {value}", (f"state_{len(self.states)}_{kind}", make(value)))
+        return again(F.col(name))
+
+    def count(self) -> Column:
+        return self._of("count", F.lit(1), F.count, F.sum)
+
+    def sum(self, value: Column) -> Column:
+        return self._of("sum", value, F.sum, F.sum)
+
+    def max(self, value: Column) -> Column:
+        return self._of("max", value, F.max, F.max)
+
+    def avg(self, value: Column) -> Column:
+        return F.avg(value) if self.states is None else ratio(self.sum(value), self._of("known", value, F.count, F.sum))
+
+    def count_if(self, condition: Column) -> Column:
+        return self._of("met", condition, count_if, F.sum)
+
+    def sum_if(self, condition: Column, value: Column) -> Column:
+        return self.sum(F.when(condition, value).otherwise(0))
+
+    def collected(self, measure: Callable[[], Column], states: dict[str, tuple[str, Column]]) -> Column:
+        """The measure over states; those that it needs are added to states."""
+        self.states = states
+        try:
+            return measure()
+        finally:
+            self.states = None
+
+
+A = Aggregates()
+
+
 @dataclass(frozen=True)
 class Join:
     """A dimension table and the pair of columns that join it. The dimension's column is unique."""
@@ -46,6 +92,15 @@ class MetricView:
     fields: dict[str, tuple[str, str] | Callable[[], Column]]
     measures: dict[str, Callable[[], Column]] = field(repr=False)
 
+    def rows(self, tables: Callable[[str], DataFrame], used: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+        """The fact (``source``) with the dimensions that the fields need, and the column of each field."""
+        rows = tables(self.fact).alias("source")
+        for alias in dict.fromkeys(self.fields[f][0] for f in used if not callable(self.fields[f])):
+            if alias != "source":
+                join = self.joins[alias]
+                rows = rows.join(tables(join.table).alias(alias), F.col(f"source.{join.fact_column}") == F.col(f"{alias}.{join.key}"), "left")
+        return rows, {f: self.fields[f]() if callable(self.fields[f]) else F.col(".".join(self.fields[f])) for f in used}
+
     def query(self, tables: Callable[[str], DataFrame], fields: list[str] = (), measures: list[str] = (), where: str | None = None) -> DataFrame:
         """The measures for each combination of the fields; without fields one row, without measures the distinct fields.
 
@@ -57,12 +112,7 @@ class MetricView:
         if not fields and not measures:
             raise ValueError("a field or a measure is needed")
         used = [f for f in self.fields if f in fields or where and f in where]
-        rows = tables(self.fact).alias("source")
-        for alias in dict.fromkeys(self.fields[f][0] for f in used if not callable(self.fields[f])):
-            if alias != "source":
-                join = self.joins[alias]
-                rows = rows.join(tables(join.table).alias(alias), F.col(f"source.{join.fact_column}") == F.col(f"{alias}.{join.key}"), "left")
-        columns = {f: self.fields[f]() if callable(self.fields[f]) else F.col(".".join(self.fields[f])) for f in used}
+        rows, columns = self.rows(tables, used)
         if where:
             # named beside the fact's own columns, which a field may share its name with
             rows = rows.withColumns({f"_field_{f}": c for f, c in columns.items()})
@@ -109,12 +159,12 @@ def _current(name: str) -> Join:
 _MATERIAL = {"material": ("material", "description"), "material_category": ("material", "category")}
 _SUPPLIER = {"supplier": ("supplier", "supplier_name")}
 _WAREHOUSE = {"warehouse": ("warehouse", "warehouse_name")}
-_rows = lambda: F.count(F.lit(1))
-_sum = lambda c: lambda: F.sum(S(c))
-_avg = lambda c: lambda: F.avg(S(c))
+_rows = lambda: A.count()
+_sum = lambda c: lambda: A.sum(S(c))
+_avg = lambda c: lambda: A.avg(S(c))
 _distinct = Distinct
-_is = lambda c, *values: lambda: count_if(S(c).isin(*values))
-_sum_when = lambda c, value, amount: lambda: sum_if(S(c) == value, S(amount))
+_is = lambda c, *values: lambda: A.count_if(S(c).isin(*values))
+_sum_when = lambda c, value, amount: lambda: A.sum_if(S(c) == value, S(amount))
 _taxes = lambda: S("icms_amount") + S("ipi_amount") + S("pis_amount") + S("cofins_amount")
 _orders_when = lambda condition: Distinct("purchase_order_id", condition)
 
@@ -129,7 +179,7 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "corrective_work_order_count": _is("maintenance_type", "CORRECTIVE"), "cancelled_work_order_count": _is("status", "CANCELLED"),
          "waiting_material_work_order_count": _is("waited_for_material", 1), "estimated_material_cost": _sum("estimated_material_cost"),
          "avg_planning_hours": _avg("planning_hours"), "avg_material_wait_hours": _avg("material_wait_hours"), "avg_execution_hours": _avg("execution_hours"),
-         "avg_cycle_hours": _avg("elapsed_cycle_hours"), "material_wait_ratio": lambda: ratio(F.sum(S("material_wait_hours")), F.sum(S("elapsed_cycle_hours")))}),
+         "avg_cycle_hours": _avg("elapsed_cycle_hours"), "material_wait_ratio": lambda: ratio(A.sum(S("material_wait_hours")), A.sum(S("elapsed_cycle_hours")))}),
     MetricView(
         "maintenance_material_metrics", "maintenance", "one row per work-order material requirement", "fact_work_order_material",
         {"material": _current("material"), "asset": _current("asset"), "cost_center": _current("cost_center"), "warehouse": _current("warehouse"), "planned_date": _date("planned_date_key")},
@@ -137,7 +187,7 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
          "cost_center": ("cost_center", "cost_center_name"), **_WAREHOUSE, "maintenance_type": ("source", "maintenance_type"), "priority": ("source", "priority"),
          "work_order_status": ("source", "work_order_status"), "material_status": ("source", "status")},
         {"material_requirement_line_count": _rows, "work_order_count": _distinct("work_order_id"), "required_quantity": _sum("qty_required"), "issued_quantity": _sum("qty_issued"),
-         "open_quantity": _sum("open_qty"), "quantity_fulfillment_rate": lambda: ratio(F.sum(S("qty_issued")), F.sum(S("qty_required"))),
+         "open_quantity": _sum("open_qty"), "quantity_fulfillment_rate": lambda: ratio(A.sum(S("qty_issued")), A.sum(S("qty_required"))),
          "fully_fulfilled_line_count": _is("status", "FULFILLED"), "partially_issued_line_count": _is("status", "PARTIALLY_ISSUED"),
          "cancelled_material_line_count": _is("status", "CANCELLED"), "estimated_issued_material_cost": _sum("estimated_issued_cost")}),
     MetricView(
@@ -145,25 +195,25 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
         {"material": _current("material"), "warehouse": _current("warehouse"), "movement_date": _date("movement_date_key")},
         {"movement_date": ("movement_date", "full_date"), "movement_type": ("source", "movement_type"), "movement_direction": ("source", "movement_direction"),
          "reference_type": ("source", "reference_type"), **_MATERIAL, "material_criticality": ("material", "criticality"), **_WAREHOUSE},
-        {"movement_count": _rows, "issued_quantity": lambda: sum_if(S("movement_type") == "ISSUE", -S("quantity")), "received_quantity": _sum_when("movement_type", "RECEIPT", "quantity"),
-         "net_quantity": _sum("quantity"), "absolute_movement_quantity": lambda: F.sum(F.abs(S("quantity"))), "net_movement_value": _sum("movement_value"),
-         "absolute_movement_value": lambda: F.sum(F.abs(S("movement_value"))), "adjustment_quantity": _sum_when("movement_type", "CYCLE_COUNT_ADJUSTMENT", "quantity")}),
+        {"movement_count": _rows, "issued_quantity": lambda: A.sum_if(S("movement_type") == "ISSUE", -S("quantity")), "received_quantity": _sum_when("movement_type", "RECEIPT", "quantity"),
+         "net_quantity": _sum("quantity"), "absolute_movement_quantity": lambda: A.sum(F.abs(S("quantity"))), "net_movement_value": _sum("movement_value"),
+         "absolute_movement_value": lambda: A.sum(F.abs(S("movement_value"))), "adjustment_quantity": _sum_when("movement_type", "CYCLE_COUNT_ADJUSTMENT", "quantity")}),
     MetricView(
         "inventory_position_metrics", "inventory", "one row per material x warehouse snapshot", "fact_stock_position",
         {"material": _current("material"), "warehouse": _current("warehouse"), "snapshot_date": _date("snapshot_date_key")},
         {"snapshot_date": ("snapshot_date", "full_date"), **_MATERIAL, "material_criticality": ("material", "criticality"), **_WAREHOUSE},
         {"stock_position_count": _rows, "on_hand_quantity": _sum("on_hand"), "reserved_quantity": _sum("reserved"), "available_quantity": _sum("available"),
-         "inventory_value": _sum("inventory_value"), "below_reorder_position_count": lambda: count_if(S("available") <= S("reorder_point")),
-         "out_of_stock_position_count": lambda: count_if(S("available") <= 0), "average_available_quantity": _avg("available")}),
+         "inventory_value": _sum("inventory_value"), "below_reorder_position_count": lambda: A.count_if(S("available") <= S("reorder_point")),
+         "out_of_stock_position_count": lambda: A.count_if(S("available") <= 0), "average_available_quantity": _avg("available")}),
     MetricView(
         "procurement_metrics", "procurement", "one row per purchase-order item", "fact_purchase_order_item",
         {"supplier": _current("supplier"), "material": _current("material"), "warehouse": _current("warehouse"), "order_date": _date("order_date_key")},
         {"order_date": ("order_date", "full_date"), **_SUPPLIER, **_MATERIAL, **_WAREHOUSE, "po_status": ("source", "status"), "promised_date": lambda: S("promised_at").cast("date")},
         {"purchase_order_count": _distinct("purchase_order_id"), "purchase_order_item_count": _rows, "ordered_value": _sum("ordered_value"), "received_value": _sum("received_value"),
-         "open_value": lambda: F.sum(S("ordered_value") - S("received_value")), "ordered_quantity": _sum("ordered_qty"), "received_quantity": _sum("received_qty"), "open_quantity": _sum("open_qty"),
-         "fill_rate": lambda: ratio(F.sum(S("received_qty")), F.sum(S("ordered_qty"))), "avg_delivery_variance_hours": _avg("delivery_variance_hours"),
+         "open_value": lambda: A.sum(S("ordered_value") - S("received_value")), "ordered_quantity": _sum("ordered_qty"), "received_quantity": _sum("received_qty"), "open_quantity": _sum("open_qty"),
+         "fill_rate": lambda: ratio(A.sum(S("received_qty")), A.sum(S("ordered_qty"))), "avg_delivery_variance_hours": _avg("delivery_variance_hours"),
          "late_purchase_order_count": _orders_when(lambda: ~S("received_on_time")), "cancelled_purchase_order_count": _orders_when(lambda: S("status") == "CANCELLED"),
-         "otif_purchase_order_count": _orders_when(lambda: S("is_on_time_in_full")), "partial_line_count": lambda: count_if(S("is_partial"))}),
+         "otif_purchase_order_count": _orders_when(lambda: S("is_on_time_in_full")), "partial_line_count": lambda: A.count_if(S("is_partial"))}),
     MetricView(
         "receiving_metrics", "procurement", "one row per goods-receipt item", "fact_goods_receipt_item",
         {"supplier": _current("supplier"), "material": _current("material"), "warehouse": _current("warehouse"), "receipt_date": _date("receipt_date_key")},
@@ -175,28 +225,28 @@ VIEWS: dict[str, MetricView] = {v.name: v for v in (
         {"supplier": _current("supplier"), "received_date": _date("received_date_key")},
         {"received_date": ("received_date", "full_date"), **_SUPPLIER, "invoice_status": ("source", "status"), "tax_issue": ("source", "tax_issue"), "was_blocked": ("source", "was_blocked")},
         {"invoice_count": _rows, "invoice_value": _sum("total_amount"), "subtotal_value": _sum("subtotal"), "tax_value": _sum("tax_total"), "posted_invoice_count": _is("status", "POSTED"),
-         "released_invoice_count": _is("status", "RELEASED"), "blocked_invoice_count": lambda: count_if(S("was_blocked")), "blocked_invoice_rate": lambda: ratio(count_if(S("was_blocked")), F.count(F.lit(1))),
-         "avg_abs_price_variance_pct": lambda: F.avg(F.abs(S("price_variance_pct"))), "tax_issue_count": lambda: count_if(S("tax_issue"))}),
+         "released_invoice_count": _is("status", "RELEASED"), "blocked_invoice_count": lambda: A.count_if(S("was_blocked")), "blocked_invoice_rate": lambda: ratio(A.count_if(S("was_blocked")), A.count()),
+         "avg_abs_price_variance_pct": lambda: A.avg(F.abs(S("price_variance_pct"))), "tax_issue_count": lambda: A.count_if(S("tax_issue"))}),
     MetricView(
         "fiscal_item_metrics", "fiscal", "one row per fiscal invoice item", "fact_fiscal_invoice_item",
         {"supplier": _current("supplier"), "material": _current("material"), "received_date": _date("received_date_key")},
         {"received_date": ("received_date", "full_date"), **_SUPPLIER, **_MATERIAL, "material_ncm": ("material", "ncm")},
         {"fiscal_item_count": _rows, "invoice_count": _distinct("fiscal_invoice_id"), "invoiced_quantity": _sum("quantity"), "merchandise_value": _sum("merchandise_value"),
          "icms_amount": _sum("icms_amount"), "ipi_amount": _sum("ipi_amount"), "pis_amount": _sum("pis_amount"), "cofins_amount": _sum("cofins_amount"),
-         "total_tax_amount": lambda: F.sum(_taxes()), "effective_tax_rate": lambda: ratio(F.sum(_taxes()), F.sum(S("merchandise_value")))}),
+         "total_tax_amount": lambda: A.sum(_taxes()), "effective_tax_rate": lambda: ratio(A.sum(_taxes()), A.sum(S("merchandise_value")))}),
     MetricView(
         "payables_metrics", "finance", "one row per accounts-payable title", "fact_accounts_payable",
         {"supplier": _current("supplier"), "posted_date": _date("posted_date_key"), "due_date": _date("due_date_key")},
         {"posted_date": ("posted_date", "full_date"), "due_date": ("due_date", "full_date"), **_SUPPLIER, "ap_status": ("source", "status"), "is_overdue": ("source", "is_overdue")},
-        {"payable_count": _rows, "payable_amount": _sum("amount"), "open_amount": lambda: sum_if(~S("status").isin("PAID", "VOIDED"), S("amount")),
+        {"payable_count": _rows, "payable_amount": _sum("amount"), "open_amount": lambda: A.sum_if(~S("status").isin("PAID", "VOIDED"), S("amount")),
          "scheduled_amount": _sum_when("status", "SCHEDULED", "amount"), "paid_amount": _sum_when("status", "PAID", "amount"), "voided_amount": _sum_when("status", "VOIDED", "amount"),
-         "voided_count": _is("status", "VOIDED"), "overdue_amount": lambda: sum_if(S("is_overdue"), S("amount")), "overdue_count": lambda: count_if(S("is_overdue")),
+         "voided_count": _is("status", "VOIDED"), "overdue_amount": lambda: A.sum_if(S("is_overdue"), S("amount")), "overdue_count": lambda: A.count_if(S("is_overdue")),
          "avg_days_to_pay": _avg("days_to_pay"), "avg_days_past_due": _avg("days_past_due")}),
     MetricView(
         "payment_metrics", "finance", "one row per executed payment", "fact_payment",
         {"supplier": _current("supplier"), "payment_date": _date("payment_date_key")},
         {"payment_date": ("payment_date", "full_date"), "payment_year": ("payment_date", "year"), "payment_month": ("payment_date", "month"), **_SUPPLIER},
-        {"payment_count": _rows, "paid_payable_count": _distinct("accounts_payable_id"), "payment_amount": _sum("amount"), "avg_payment_amount": _avg("amount"), "max_payment_amount": lambda: F.max(S("amount"))}),
+        {"payment_count": _rows, "paid_payable_count": _distinct("accounts_payable_id"), "payment_amount": _sum("amount"), "avg_payment_amount": _avg("amount"), "max_payment_amount": lambda: A.max(S("amount"))}),
 )}
 
 

@@ -7,6 +7,7 @@ warehouses, region for cost centers, and events for transition logs and change l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from spindle.operators import changes, dimensions, measures, process, quality
+from spindle.operators import changes, dimensions, lineage, measures, process, quality, slices, snapshots
 from spindle.operators.measures import amount, date_key, hours, percent
+from spindle.sources import tables
+from spindle.streaming import mining
 
-from . import cubes
+from . import cubes, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -612,9 +615,173 @@ SELECT * FROM (VALUES
   ('payables_metrics', 'fact_accounts_payable', 'finance', 'one row per accounts-payable title'),
   ('payment_metrics', 'fact_payment', 'finance', 'one row per executed payment')
 ) AS t(cube_name, fact_table, domain, grain)"""
-QUERIES["semantic_registry"] = QUERIES["semantic_coverage"] = lambda spark, sf_dir: cubes.registry(spark)
-ORACLE_SQL["semantic_registry"] = ORACLE_SQL["semantic_coverage"] = _REGISTRY
+#: Rows of each fact's stand-in.
+_FACT_ROWS = PRELUDE + """, facts AS (
+  SELECT 'fact_work_order' AS fact_table, count(*) AS row_count FROM wo UNION ALL SELECT 'fact_work_order_material', count(*) FROM wol UNION ALL SELECT 'fact_inventory_movement', count(*) FROM moves
+  UNION ALL SELECT 'fact_stock_position', count(*) FROM stock UNION ALL SELECT 'fact_purchase_order_item', count(*) FROM items UNION ALL SELECT 'fact_goods_receipt_item', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'
+  UNION ALL SELECT 'fact_fiscal_invoice', count(*) FROM orders UNION ALL SELECT 'fact_fiscal_invoice_item', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT 'fact_accounts_payable', count(*) FROM payables UNION ALL SELECT 'fact_payment', count(*) FROM payables WHERE status = 'PAID')
+"""
+
+
+def _catalog(spark: SparkSession, sf_dir: str, facts: dict[str, str]) -> SparkSession:
+    """A session whose catalog has views of these names on stand-ins."""
+    session = spark.newSession()
+    for name, stand_in in facts.items():
+        _table(session, sf_dir, stand_in).createOrReplaceTempView(name)
+    return session
+
+
+def _coverage(spark: SparkSession, sf_dir: str, facts: dict[str, str]) -> DataFrame:
+    session = _catalog(spark, sf_dir, facts)
+    return quality.catalog_coverage(session, cubes.registry(session))
+
+
+_ALL_FACTS = {v.fact: v.fact for v in cubes.VIEWS.values()}
+QUERIES["semantic_registry"] = lambda spark, sf_dir: _plain((lambda found: cubes.registry(found.sparkSession).join(found.select("fact_table", "row_count"), "fact_table"))(_coverage(spark, sf_dir, _ALL_FACTS)))
+ORACLE_SQL["semantic_registry"] = _FACT_ROWS + f"SELECT r.*, row_count FROM ({_REGISTRY}) AS r JOIN facts USING (fact_table)"
+QUERIES["semantic_coverage"] = lambda spark, sf_dir: _plain(_coverage(spark, sf_dir, _ALL_FACTS))
+ORACLE_SQL["semantic_coverage"] = _FACT_ROWS + "SELECT fact_table, 1 AS cube_count, row_count FROM facts"
+_FACTS = {"fact_payment": "fact_payment", "fact_work_order": "fact_work_order", "fact_unknown": "events"}
+QUERIES["semantic_fact_gaps"] = lambda spark, sf_dir: _plain(_coverage(spark, sf_dir, _FACTS).filter("cube_count <> 1 OR row_count IS NULL"))
+ORACLE_SQL["semantic_fact_gaps"] = _FACT_ROWS + "SELECT fact_table, 1 AS cube_count, CAST(NULL AS BIGINT) AS row_count FROM facts WHERE fact_table NOT IN ('fact_payment', 'fact_work_order') UNION ALL SELECT 'fact_unknown', 0, count(*) FROM events"
+
+# ------------------------------------------------------------------ tables that grow
+
+
+@query("sink_incremental_merge", PRELUDE + f"SELECT version AS event_id, id, kind, points + CASE WHEN version > {_MIDDLE} // 2 THEN 1000 ELSE 0 END AS points FROM log")
+def _(t):
+    end = _newest(t)
+    rows = t("changes").select(F.col("_commit_version").alias("event_id"), "id", "kind", "points")
+    root, part = tables.scratch(rows.sparkSession), F.floor(F.col("event_id") / (end // 16 + 1))
+    later = rows.filter(F.col("event_id") > end // 2 // 2).withColumn("points", F.col("points") + 1000)
+    # the second step holds rows of the first again, with other values, and is run twice
+    for step in (rows.filter(F.col("event_id") <= end // 2), later, later):
+        tables.merge_into(step, root, "raw", lambda old, new: changes.upsert(old, new, ["event_id"]), ["event_id"], part)
+    return tables.current(rows.sparkSession, root, "raw")
+
+
+@query("snapshot_from_bases", "WITH l AS (SELECT user_id AS id, event_type AS kind, CAST(floor(value) AS BIGINT) AS points, event_id // ((SELECT max(event_id) FROM events) // 16 + 1) + 1 AS v, event_id, event_id % 13 = 0 AS gone FROM events), s AS (SELECT id, arg_max(kind, event_id) AS kind, arg_max(points, event_id) AS points, arg_max(gone, event_id) AS gone FROM l WHERE v <= 12 GROUP BY id) SELECT id, kind, points FROM s WHERE NOT gone")
+def _(t):
+    events, end = t("events"), _newest(t)
+    rows = events.select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("kind"), F.floor("value").cast("long").alias("points"), F.when(F.col("event_id") % 13 == 0, "delete").otherwise("insert").alias("_change_type"),
+        (F.floor(F.col("event_id") / (end // 16 + 1)) + 1).cast("long").alias("_commit_version"), F.timestamp_seconds("event_id").alias("_commit_timestamp"))
+    spark, root = events.sparkSession, tables.scratch(events.sparkSession)
+    snapshots.write_log(rows, f"{root}/log")
+    log = spark.read.parquet(f"{root}/log")
+    snapshots.add_bases(spark, log, ["id"], root, "changes", 5, 16)
+    return snapshots.snapshot(spark, log, ["id"], root, "changes", 12)
+
+
+@query("scd2_advance", _RUNS + f" SELECT id, kind, version, {_T('effective_from')}, {_T('effective_to')}, is_current FROM runs")
+def _(t):
+    every = t("changes").select("id", "kind", F.col("_commit_version").alias("version"), F.col("_commit_timestamp").alias("ts"))
+    first = (F.col("version") <= _newest(t) // 2) & (F.col("version") % 97 != 5)
+    root, part = tables.scratch(every.sparkSession), F.pmod(F.xxhash64("id"), F.lit(16))
+    known = tables.replace(dimensions.scd2(every.filter(first), "id", ["kind"], "version", "ts", seen=True), root, "dim", part)
+    # some versions of the first half come late
+    grown = dimensions.advance_scd2(known, every.filter(~first), every, "id", ["kind"], "version", "ts")
+    return tables.merge_into(grown, root, "dim", lambda old, new: changes.upsert(old, new, ["id"]), ["id"], part, True).select("id", "kind", "version", "effective_from", "effective_to", "is_current")
+
+
+@query("expectations_of_write", ORACLE_SQL["expectation_results"])
+def _(t):
+    rules = [quality.Rule("discount_below_five_percent", F.col("l_discount") < 0.05), quality.Rule("shipped_after_1996", F.col("l_shipdate") > F.lit("1996-01-01").cast("timestamp_ntz"))]
+    watch, lines = quality.Watch("lineitem", rules), t("lineitem")
+    tables.replace(watch(lines), tables.scratch(lines.sparkSession), "lineitem")
+    return watch.results(lines.sparkSession)
+
+
+@query("process_event_log_in_slices", "SELECT event_id AS transition_id, 'type:' || event_type AS case_id, lag(ts) OVER c IS NULL AS first, row_number() OVER c AS event_index, date_sub('second', lag(ts) OVER c, ts) AS seconds_since_previous FROM events WINDOW c AS (PARTITION BY event_type ORDER BY ts, event_id)")
+def _(t):
+    none = F.lit(None).cast("string")
+    rows = t("events").select(
+        F.col("event_id").alias("transition_id"), F.lit("type").alias("entity_type"), F.col("event_type").alias("entity_id"), none.alias("from_state"), none.alias("to_state"), none.alias("reason"), F.col("ts").alias("occurred_at"), F.col("ts").alias("source_commit_at"))
+    # a case of a fifth of all events, in slices of about 500
+    return process.event_log(rows, 500).select("transition_id", "case_id", F.col("previous_event_at").isNull().alias("first"), "event_index", "seconds_since_previous")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = spark.newSession()
+    session.conf.set(*mining.STORE)
+    # as a pattern, the path may be a file or a folder
+    stream = session.readStream.schema(session.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
+    rows = stream.select(
+        F.col("event_id").cast("string").alias("transition_id"), F.lit("user").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.lit(None).cast("string").alias("from_state"), F.col("event_type").alias("to_state"),
+        F.lit(None).cast("string").alias("reason"), F.col("ts").cast("timestamp").alias("occurred_at"), F.timestamp_seconds("event_id").alias("source_commit_at"))
+    root = tables.scratch(session)
+    mining.mine_stream(rows, root, "process_event", f"{root}/checkpoint").awaitTermination()
+    seen = tables.current(spark, root, "process_event")
+    return _plain(seen.select(F.col("transition_id").cast("long").alias("transition_id"), "case_id", "activity", "event_index", "seconds_since_previous"))
 
-_FACTS = ("fact_payment", "fact_work_order", "fact_unknown")
-QUERIES["semantic_fact_gaps"] = lambda spark, sf_dir: _plain(quality.coverage(spark, list(_FACTS), {v.name: v.fact for v in cubes.VIEWS.values()}))
-ORACLE_SQL["semantic_fact_gaps"] = f"WITH r AS ({_REGISTRY}), f AS (SELECT unnest(['{"', '".join(_FACTS)}']) AS fact_table) SELECT COALESCE(f.fact_table, r.fact_table) AS fact_table, count(r.cube_name) AS cube_count FROM f FULL JOIN r ON f.fact_table = r.fact_table GROUP BY 1 HAVING count(r.cube_name) <> 1 OR count(f.fact_table) = 0"
+
+QUERIES["process_event_log_streamed"] = _streamed
+ORACLE_SQL["process_event_log_streamed"] = PRELUDE + "SELECT transition_id, case_id, activity, event_index, seconds_since_previous FROM ev"
+
+
+@query("joined_bucketed_facts", "SELECT o_orderkey, count(*) AS lines, round(CAST(sum(l_quantity) AS DOUBLE), 4) AS quantity, any_value(o_orderstatus) AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def _(t):
+    name = f"spindle_{uuid.uuid4().hex}"
+    orders = tables.save_bucketed(t("orders").select("o_orderkey", "o_orderstatus"), f"{name}_orders", ["o_orderkey"], 16)
+    lines = tables.save_bucketed(t("lineitem").select("l_orderkey", "l_quantity"), f"{name}_lines", ["l_orderkey"], 16)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.min("o_orderstatus").alias("status"))
+
+
+_STATED = {
+    "purchase_order_count": "count(DISTINCT purchase_order_id)", "late_purchase_order_count": "count(DISTINCT CASE WHEN NOT received_on_time THEN purchase_order_id END)", "purchase_order_item_count": "count(*)",
+    "ordered_value": "sum(ordered_value)", "fill_rate": "sum(received_qty) / nullif(sum(ordered_qty), 0)", "avg_delivery_variance_hours": "avg(delivery_variance_hours)"}
+_m, _sql = _measures(_STATED)
+
+
+def _cube_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, root = states.ViewStates(cubes.VIEWS["procurement_metrics"], "order_date", ("supplier", "po_status"), tuple(_STATED), 256), tables.scratch(spark)
+    kept.update(lambda t: _table(spark, sf_dir, t), root)
+    return _plain(kept.query(spark, root, ["supplier"], where="po_status <> 'SENT'"))
+
+
+QUERIES["cube_from_states"] = _cube_from_states
+ORACLE_SQL["cube_from_states"] = PRELUDE + f"SELECT s_name AS supplier, {_sql} FROM items LEFT JOIN supplier ON s_suppkey = supplier_key WHERE status <> 'SENT' GROUP BY s_name"
+
+# ------------------------------------------------------------------ across domains
+
+
+def _waits(t) -> DataFrame:
+    """Lines wait for their material from an order's release to its start, a day longer for every line."""
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_partkey").alias("material_key"), F.expr("o_orderdate + INTERVAL 26 HOURS").alias("started_at"), F.expr("o_orderdate + make_dt_interval(l_linenumber, 53)").alias("ended_at"))
+
+
+def _stockouts(t) -> DataFrame:
+    """Times in which what was received of a material, less what was issued, was nothing."""
+    quantity = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).when(F.col("l_returnflag") == "A", -F.col("l_quantity")).otherwise(0.0)
+    moves = t("lineitem").groupBy(F.col("l_partkey").alias("material_key"), F.col("l_shipdate").alias("at")).agg(F.sum(quantity).alias("moved"))
+    balance = slices.walk(moves, "material_key", ["at"], sums={"moved": "balance"})
+    return lineage.condition_spans(balance, ["material_key"], "at", F.col("balance") <= 0, _horizon())
+
+
+_WAITS = """
+WITH w AS (SELECT row_number() OVER () AS n, l_partkey AS material_key, o_orderdate + INTERVAL 26 HOUR AS s, o_orderdate + INTERVAL 53 HOUR + l_linenumber * INTERVAL 1 DAY AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_OUTS = """, m AS (SELECT l_partkey, l_shipdate AS moved_at, sum(CASE l_returnflag WHEN 'R' THEN l_quantity WHEN 'A' THEN -l_quantity ELSE 0 END) AS q FROM lineitem GROUP BY ALL),
+b AS (SELECT *, sum(q) OVER (PARTITION BY l_partkey ORDER BY moved_at) AS balance, lead(moved_at) OVER (PARTITION BY l_partkey ORDER BY moved_at) AS nxt FROM m),
+o AS (SELECT l_partkey, moved_at AS s, COALESCE(nxt, TIMESTAMP '2001-08-01') AS e FROM b WHERE balance <= 0),
+met AS (SELECT n, sum(epoch(least(w.e, o.e)) - epoch(greatest(w.s, o.s))) AS seconds FROM w JOIN o ON material_key = l_partkey AND o.s < w.e AND w.s < o.e AND o.s < o.e GROUP BY n)"""
+
+
+@query("lineage_stockout_waits", _WAITS + _OUTS + " SELECT material_key, count(*) AS wait_count, " + ", ".join([_R("sum(epoch(e) - epoch(s)) / 3600", "wait_hours"), _R("sum(COALESCE(seconds, 0)) / 3600", "stockout_hours"), _R("sum(COALESCE(seconds, 0)) / sum(epoch(e) - epoch(s))", "stockout_share")]) + " FROM w LEFT JOIN met USING (n) GROUP BY material_key")
+def _(t):
+    return lineage.stockout_waits(_waits(t), _stockouts(t), ["material_key"], ["material_key"])
+
+
+@query("lineage_supplier_waits", _WAITS + ", p AS (SELECT row_number() OVER () AS k, l_suppkey AS supplier_key, l_partkey, o_orderdate AS s, l_shipdate AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey), met AS (SELECT k, sum(epoch(least(w.e, p.e)) - epoch(greatest(w.s, p.s))) AS seconds FROM p JOIN w ON material_key = l_partkey AND p.s < w.e AND w.s < p.e AND p.s < p.e GROUP BY k) SELECT supplier_key, count(*) AS line_count, count(*) FILTER (seconds > 0) AS waited_line_count, " + _R("sum(COALESCE(seconds, 0)) / 3600", "waited_hours") + " FROM p LEFT JOIN met USING (k) GROUP BY supplier_key")
+def _(t):
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("supplier_key"), F.col("l_partkey").alias("material_key"), F.col("o_orderdate").alias("started_at"), F.col("l_shipdate").alias("ended_at"))
+    return lineage.supplier_waits(lines, _waits(t), ["supplier_key"], ["material_key"])
+
+
+@query("lineage_delivery_and_completion", PRELUDE + ", b AS (SELECT purchase_order_id, count(*) FILTER (NOT received_on_time) AS late, count(*) FILTER (received_on_time IS NULL) AS open, max(delivery_variance_hours) AS worst FROM po WHERE purchase_order_id % 2 = 0 GROUP BY 1) SELECT CASE WHEN late > 0 THEN 'late' WHEN open > 0 THEN 'open' WHEN late = 0 THEN 'on_time' ELSE 'not_bought' END AS delivery, count(*) AS work_order_count, " + ", ".join([_R("avg(elapsed_cycle_hours)", "avg_cycle_hours"), _R("avg(material_wait_hours)", "avg_material_wait_hours"), _R("avg(worst)", "avg_worst_variance_hours")]) + " FROM wo LEFT JOIN b ON purchase_order_id = work_order_id GROUP BY 1")
+def _(t):
+    orders = t("fact_purchase_order_item").withColumnRenamed("purchase_order_id", "requisition_id")
+    asked = t("orders").select(F.col("o_orderkey").alias("requisition_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("work_order_id"))
+    return lineage.delivery_and_completion(t("fact_work_order"), asked, orders)
