@@ -30,8 +30,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Hash functions of the sharp signatures, for documents that share a bucket with others they aren't connected to.
 SHARP = 1280
-#: A bucket with more components than this is crowded: its members meet by their rarest shingles instead.
-CROWD = 64
+#: A bucket in which more pairs than this would be compared is crowded: its members meet by their rarest shingles instead.
+CROWD = 4096
 _FACTORS = np.random.default_rng(75).integers(1, 2**63, (SHARP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -156,13 +156,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mixed(cells: DataFrame, key: str, also: str = "true") -> DataFrame:
-    """The rows of cells (key, component, ...) whose key several components have, with their number k and the largest of them, main.
+    """The rows of cells (key, component, ...) whose key several components have, with the largest of them, main, and pairs: rows outside main times all rows.
 
     Of those only the keys for some row of which ``also`` holds.
     """
     sizes = cells.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(also)).alias("also"))
-    several = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("main"), F.max("also").alias("also")).filter("k > 1 AND also")
-    return cells.join(several.select(key, "k", F.col("main.component").alias("main")), key)
+    several = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.max("also").alias("also")).filter("k > 1 AND also")
+    pairs = (F.col("all") - F.col("main.n")) * F.col("all").cast("double")
+    return cells.join(several.select(key, pairs.alias("pairs"), F.col("main.component").alias("main")), key)
 
 
 def rarest(docs: DataFrame, crowd: DataFrame, size: int, percent: int, table: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -241,7 +242,7 @@ def _near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margi
     if inside.isEmpty():
         return links
     sharp = table(features(docs.join(inside.select("ord").distinct(), "ord", "left_semi"), size, SHARP).dropDuplicates(["ord"]).select("ord", "sig", "bands"))
-    small = inside.filter(F.col("k") <= CROWD).join(sharp, "ord")
+    small = inside.filter(F.col("pairs") <= CROWD).join(sharp, "ord")
     x = small.filter("component <> main").select("bucket", F.col("ord").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"), "band")
     y = small.select("bucket", F.col("ord").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("bands").alias("bands_b"), (F.col("component") == F.col("main")).alias("in_main"))
     # a pair that meets in several buckets comes from the first of them only; if that is crowded, from its rarest shingles
@@ -249,7 +250,7 @@ def _near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, margi
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) == F.col("band") + 1
     meet = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (est >= sharp_floor) & first)
     pairs = meet.select("a", "b", "ca", "cb", est.alias("est"))
-    crowd = table(inside.filter(F.col("k") > CROWD).select("ord", "component").distinct())
+    crowd = table(inside.filter(F.col("pairs") > CROWD).select("ord", "component").distinct())
     if not crowd.isEmpty():
         slim = sharp.select("ord", "sig")
         rated = shared_rarest(rarest(docs, crowd, size, percent, table), percent)

@@ -132,3 +132,29 @@ def test_rare_shingles_of_a_template_grow_with_its_documents(spark):
         pairs = M.shared_rarest(M.rarest(docs, crowd, 5, 75, lambda df: df), 75)
         met.append(pairs.count())
     assert met == [50, 200]
+
+
+def two_families(n, seed=2):
+    """n texts in two families that share 400 of 500 words, so their texts are similar to each other by about 0.65; each text has a word of its own."""
+    rng = random.Random(seed)
+    base = [f"s{k}" for k in range(400)]
+    own = [[f"f{f}-{k}" for k in range(100)] for f in range(2)]
+    rows = []
+    for i in range(n):
+        w = base + own[i % 2]
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_two_families_are_not_compared_member_by_member(spark, monkeypatch):
+    rows = two_families(60)
+    assert {c for _, _, c, _ in brute(rows)} == {0, 1}
+    compared = []
+    plain = M.shared_rarest
+    monkeypatch.setattr(M, "shared_rarest", lambda *a: compared.append(plain(*a).count()) or plain(*a))
+    docs = spark.createDataFrame(two_families(1200), "doc_id long, text string")
+    got = M.near_dedup(docs).collect()
+    assert {(r.doc_id % 2, r.component_id) for r in got} == {(0, 0), (1, 1)} and sum(r.kept for r in got) == 2
+    # two families of 600 have 360,000 pairs between them
+    assert compared == [0] or compared == []
