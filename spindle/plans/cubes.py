@@ -101,6 +101,16 @@ class MetricView:
                 rows = rows.join(tables(join.table).alias(alias), F.col(f"source.{join.fact_column}") == F.col(f"{alias}.{join.key}"), "left")
         return rows, {f: self.fields[f]() if callable(self.fields[f]) else F.col(".".join(self.fields[f])) for f in used}
 
+    def _through_values(self, rows: DataFrame, keys: list[Column], fields: list[str], measures: list[str], distinct: list[str]) -> DataFrame:
+        """Measures whose distinct counts are of one column: a row for each of its values first, with states of all else and whether any row meets each condition."""
+        states: dict[str, tuple[str, Column]] = {}
+        over = {m: A.collected(self.measures[m], states) for m in measures if m not in distinct}
+        own = {m: self.measures[m].condition for m in distinct}
+        met = (F.max(F.coalesce(c(), F.lit(False)) if c else F.lit(True)).alias(f"met_{m}") for m, c in own.items())
+        values = rows.groupBy(*keys, S(self.measures[distinct[0]].column).alias("_value")).agg(*met, *(state.alias(name) for name, state in states.values()))
+        counts = {m: F.count(F.when(F.col(f"met_{m}"), F.col("_value"))) for m in own}
+        return values.groupBy(*fields).agg(*((over | counts)[m].alias(m) for m in measures))
+
     def query(self, tables: Callable[[str], DataFrame], fields: list[str] = (), measures: list[str] = (), where: str | None = None) -> DataFrame:
         """The measures for each combination of the fields; without fields one row, without measures the distinct fields.
 
@@ -127,6 +137,8 @@ class MetricView:
         distinct = [m for m in measures if isinstance(self.measures[m], Distinct)]
         if len(distinct) < 2:
             return rows.groupBy(*keys).agg(*(self.measures[m]().alias(m) for m in measures))
+        if len({self.measures[m].column for m in distinct}) == 1:
+            return self._through_values(rows, keys, fields, measures, distinct)
         parts = [rows.groupBy(*keys).agg(F.lit(1).alias("_one"), *(self.measures[m]().alias(m) for m in measures if m not in distinct))]
         for column in dict.fromkeys(self.measures[m].column for m in distinct):
             own = {m: self.measures[m].condition for m in distinct if self.measures[m].column == column}

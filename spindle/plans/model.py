@@ -168,6 +168,69 @@ def facts(t: dict[str, DataFrame], d: dict[str, DataFrame], snapshot_at: Column)
     }
 
 
+#: How each fact is written: its key, what becomes of a row that is there already (keep: nothing; freeze: measures are renewed, dimension keys
+#: stay; rebind: all is renewed), and the date key that its parts follow.
+WRITES: dict[str, tuple[list[str], str, str]] = {
+    "fact_work_order": (["work_order_id"], "freeze", "planned_date_key"),
+    "fact_work_order_material": (["work_order_material_id"], "freeze", "planned_date_key"),
+    "fact_inventory_movement": (["movement_id"], "keep", "movement_date_key"),
+    "fact_stock_position": (["material_id", "warehouse_id"], "rebind", ""),
+    "fact_purchase_order_item": (["purchase_order_item_id"], "freeze", "order_date_key"),
+    "fact_goods_receipt_item": (["goods_receipt_item_id"], "freeze", "receipt_date_key"),
+    "fact_fiscal_invoice": (["fiscal_invoice_id"], "freeze", "received_date_key"),
+    "fact_fiscal_invoice_item": (["fiscal_invoice_item_id"], "freeze", "received_date_key"),
+    "fact_accounts_payable": (["accounts_payable_id"], "freeze", "posted_date_key"),
+    "fact_payment": (["payment_id"], "freeze", "payment_date_key"),
+}
+
+
+def merge_facts(found: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """Merges rows of facts, new and renewed ones, into the tables under root, each as ``WRITES`` has it; gives the tables.
+
+    A part holds a month, so a step writes the months that its rows are in. Rows that are there with the same values aren't
+    written again; what has no date is one part.
+    """
+    out = {}
+    for name, rows in found.items():
+        keys, mode, date = WRITES[name]
+        dimension_keys = [c for c in rows.columns if c.endswith("_key") and not c.endswith("_date_key")]
+
+        def merge(old: DataFrame, new: DataFrame, keys=keys, mode=mode, dimension_keys=dimension_keys) -> DataFrame:  # noqa: ANN001
+            if mode == "keep":
+                return changes.insert_only(old, new, keys)
+            return changes.upsert(old, new, keys) if mode == "rebind" else changes.upsert_preserving(old, new, keys, dimension_keys)
+
+        spark = rows.sparkSession
+        if tables.exists(spark, root, name):
+            known = tables.current(spark, root, name)
+            # frozen keys don't count as changes, nor do rows that are kept as they are
+            compared = rows.columns if mode == "rebind" else keys if mode == "keep" else [c for c in rows.columns if c not in dimension_keys]
+            changed = changes.changed_rows(known, rows.select(*compared), keys).select(*keys)
+            rows = rows.alias("t").join(changed.alias("s"), changes.match(keys), "left_semi")
+        part = F.floor(F.col(date) / 100) if date else F.lit(0)
+        out[name] = tables.merge_into(rows, root, name, merge, keys, part)
+    return out
+
+
+def merge_dims(bronze: Tables, new: Tables, root: str, buckets: int = 16) -> dict[str, DataFrame]:
+    """Advances the dimensions with history under root by the versions that ``new`` gives of their sources; gives the tables.
+
+    bronze has all versions, new ones included; of it only keys are read to which versions come late. The first time it is
+    all built from bronze.
+    """
+    out = {}
+    for name, attributes in _ATTRIBUTES.items():
+        natural, table = f"{name}_id", f"dim_{name}"
+        named = lambda df, natural=natural: df.withColumnsRenamed({"id": natural, "_source_commit_version": "source_commit_version", "_source_commit_timestamp": "source_commit_at"})
+        every, part = named(bronze(name)), F.pmod(F.xxhash64(natural), F.lit(buckets))
+        if not tables.exists(every.sparkSession, root, table):
+            out[table] = tables.replace(dimensions.scd2(every, natural, attributes, surrogate=f"{name}_key", seen=True), root, table, part)
+            continue
+        grown = dimensions.advance_scd2(tables.current(every.sparkSession, root, table), named(new(name)), every, natural, attributes, surrogate=f"{name}_key")
+        out[table] = tables.merge_into(grown, root, table, lambda old, rows, natural=natural: changes.upsert(old, rows, [natural]), [natural], part, True)
+    return out
+
+
 def mining(bronze: Tables) -> dict[str, DataFrame]:
     """process_event, process_case_summary and process_transition_summary."""
     rows = bronze("entity_state_transition_store").withColumnsRenamed({"id": "transition_id", "_source_commit_timestamp": "source_commit_at"})

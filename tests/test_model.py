@@ -146,3 +146,37 @@ def test_checks(spark, built):
     assert len(results) == 7 and all(r.failed_rows == 0 for r in results)
     assert quality.coverage(spark, [v.fact for v in cubes.VIEWS.values()], {v.name: v.fact for v in cubes.VIEWS.values()}).isEmpty()
     assert [r.cube_count for r in quality.coverage(spark, ["f", "g"], {"a": "f", "b": "f"}).orderBy("fact_table").collect()] == [2, 0]
+
+
+def test_facts_are_merged_by_their_write_modes(spark, built, tmp_path):
+    root = str(tmp_path)
+    facts = {name: built[name] for name in ("fact_work_order", "fact_inventory_movement", "fact_stock_position")}
+    model.merge_facts(facts, root)
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    again = model.merge_facts(facts, root)
+    assert files() == before and again["fact_work_order"].count() == 2  # nothing has changed, so nothing is written
+    moved = {
+        "fact_work_order": built["fact_work_order"].filter("work_order_id = 'o1'").withColumns({"asset_key": F.lit(1).cast("long"), "status": F.lit("COMPLETED")}),
+        "fact_inventory_movement": built["fact_inventory_movement"].withColumn("quantity", F.lit(99.0)),
+        "fact_stock_position": built["fact_stock_position"].withColumns({"material_key": F.lit(2).cast("long"), "on_hand": F.lit(5.0)})}
+    after = model.merge_facts(moved, root)
+    order = one(after["fact_work_order"], "work_order_id", "o1")
+    assert (order.status, order.asset_key) == ("COMPLETED", one(built["fact_work_order"], "work_order_id", "o1").asset_key)
+    assert after["fact_inventory_movement"].filter("quantity = 99").isEmpty() and after["fact_inventory_movement"].count() == 3
+    assert {(r.material_key, r.on_hand) for r in after["fact_stock_position"].collect()} == {(2, 5.0)}
+    assert set(model.WRITES) == {v.fact for v in cubes.VIEWS.values()}
+    for name, (keys, _, date) in model.WRITES.items():
+        assert {*keys, *([date] if date else [])} <= set(built[name].columns), name
+
+
+def test_dimensions_are_advanced(spark, bronze, tmp_path):
+    root, last = str(tmp_path), 3
+    old = lambda name: bronze(name).filter(F.col("_source_commit_version") <= last)
+    model.merge_dims(old, old, root)
+    out = model.merge_dims(bronze, lambda name: bronze(name).filter(F.col("_source_commit_version") > last), root)
+    for name, table in out.items():
+        natural = name.removeprefix("dim_")
+        rows = bronze(natural).withColumnsRenamed({"id": f"{natural}_id", "_source_commit_version": "source_commit_version", "_source_commit_timestamp": "source_commit_at"})
+        want = model.dimensions.scd2(rows, f"{natural}_id", model._ATTRIBUTES[natural], surrogate=f"{natural}_key", seen=True)
+        assert sorted(map(str, table.select(*want.columns).collect())) == sorted(map(str, want.collect()))
