@@ -46,7 +46,7 @@ def test_ingest_is_idempotent_and_keeps_versions_apart(spark):
     assert changes.latest_per_key(twice, ["id"]).first().v == 1
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), max_size=12), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), max_size=12))
 def test_merges(spark, target, source):
     target, source = dict(target), dict(source)
@@ -59,7 +59,7 @@ def test_merges(spark, target, source):
     assert rows(changes.changed_rows(a, b, ["k"])) == {k: v for k, v in source.items() if target.get(k) != v or k not in target}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["x", "y", None])), min_size=1, max_size=14))
 def test_scd2_intervals_follow_one_another(spark, versions):
     rows = [(k, v, n, AT + dt.timedelta(days=n)) for n, (k, v) in enumerate(versions)]
@@ -171,7 +171,7 @@ def test_observation_skips_broken_tables(spark):
     assert [(r.run_id, r.asset_name, r.row_count) for r in seen.collect()] == [("run-1", "good", 3)] and errors == {"bad": "gone"}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 200), max_size=10), st.lists(st.integers(-20, 260), min_size=1, max_size=20))
 def test_as_of_takes_the_version_of_the_time(spark, starts, times):
     starts = sorted(starts)

@@ -38,7 +38,7 @@ def test_snapshots_from_bases(spark, tmp_path):
     assert len([f for f in late.inputFiles() if ".bases.table" in f and "_part=25" in f]) == len([f for f in late.inputFiles() if ".bases.table" in f]) > 0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_scd2_grows_to_the_full_build(spark, seed):
     rng = random.Random(seed)
     numbers = rng.sample(range(1, 200), 60)
@@ -46,7 +46,7 @@ def test_scd2_grows_to_the_full_build(spark, seed):
     late = set(rng.sample(range(60), rng.choice([0, 4, 12])))
     cut = rng.randrange(5, 50)
     first = [r for k, r in enumerate(every[:cut]) if k not in late]
-    steps = [every[cut:50], [r for k, r in enumerate(every) if k in late and k < cut] + every[50:], every[55:]]  # the last comes again
+    steps = [every[cut:50], [r for k, r in enumerate(every) if k in late and k < cut] + every[50:] + every[45:48]]  # some come again
     frame = lambda rows: spark.createDataFrame(rows, VERSIONS)
     build = lambda rows: dimensions.scd2(frame(rows), "k", ["a", "b"], "v", "at", seen=True)
     known, seen = build(first), list(first)

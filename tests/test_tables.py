@@ -82,7 +82,7 @@ def test_a_job_cut_off_at_any_step_leaves_the_old_or_the_new_table(spark, tmp_pa
         "merge": lambda: tables.merge_into(frame(spark, (1, 5, 1), (99, 5, 5)), root, "t", upsert, ["k"], F.col("day"), keep=0),
         "append": lambda: tables.append(frame(spark, (1000, 5, 5)), root, "t", keep=0)}[work]
     seen = set()
-    for stop in [0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 14, 40]:
+    for stop in [0, 2, 3, 4, 5, 6, 7, 8, 10, 40]:
         before, calls = held(spark, root), 0
 
         def step(method):
