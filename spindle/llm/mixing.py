@@ -111,19 +111,15 @@ def _placed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str, source
 def placed_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, positions; the last two from the copies that the curriculum placed.
 
-    ``taken`` counts the words of the placed texts, ``positions`` are where they stand, null for none. Nulls, repeats and
-    empty tables: as ``mixture`` and ``curriculum`` have them.
+    The placed copies (row, words, position) are written in training order to the shared folder; whole texts aren't moved.
+    ``taken`` counts the words of the placed texts, ``positions`` are where they stand, null for none. Texts of any length
+    are counted whole. Nulls, repeats and empty tables: as ``mixture`` and ``curriculum`` have them.
     """
     plan = C.materialize(mixture(docs, id_col, text_col, source_col, **options).withColumn("_mix_row", F.monotonically_increasing_id()))
-    placed = _placed(docs, plan, id_col, text_col, source_col)
-
-    def whole(batches):
-        yield from batches
-
-    # whole rows pass through Python, so that no column and not the sort is left out
-    copies = placed.mapInArrow(whole, placed.schema)
-    size = F.coalesce(F.regexp_count(text_col, F.lit(C.WORD)), F.lit(0)).cast("long")
-    found = copies.select("_mix_row", size.alias("words"), "position").groupBy("_mix_row").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list("position")).alias("places"))
+    words = F.coalesce(F.regexp_count(text_col, F.lit(C.WORD)), F.lit(0)).cast("long")
+    slim = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), words.alias("_mix_words"))
+    order = C.materialize(_placed(slim, plan, id_col, text_col, source_col).select("_mix_row", "_mix_words", "position"))
+    found = order.groupBy("_mix_row").agg(F.sum("_mix_words").alias("words"), F.array_sort(F.collect_list("position")).alias("places"))
     return plan.join(found, "_mix_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), F.col("places").alias("positions"))
 
 
@@ -135,7 +131,8 @@ WITH d AS (
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
-  SELECT *, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+  SELECT *, ([3, 1, 2])[turn % 3 + 1] AS weight, ([-0.5e0, 0.5e0, 0e0])[turn % 3 + 1] AS slope
+  FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s)
 ), r AS (
   SELECT *, (sum(source_size) OVER ()) * 1.5e0 - 2 * coalesce(sum(source_size) OVER so_far, 0) AS rest,
          sum(weight) OVER () - coalesce(sum(weight) OVER so_far, 0) AS weights_left,
@@ -144,14 +141,16 @@ WITH d AS (
 ), l AS (
   SELECT rest, weights_left FROM r WHERE rest * weight <= source_size * 2 * weights_left ORDER BY place LIMIT 1
 ), t AS (
-  SELECT source, source_size, least(source_size * 2.0e0, l.rest * weight / l.weights_left) AS target FROM w, l
+  SELECT source, source_size, slope, least(source_size * 2.0e0, l.rest * weight / l.weights_left) AS target FROM w, l
 ), p AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, slope,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (CASE WHEN target > 0 AND start + size / 2e0 <= target THEN 1 ELSE 0 END
-                  + CASE WHEN target > 0 AND start + source_size + size / 2e0 <= target THEN 1 ELSE 0 END) AS BIGINT) AS taken
+                  + CASE WHEN target > 0 AND start + source_size + size / 2e0 <= target THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CASE WHEN target > 0 AND start + size / 2e0 <= target THEN round(CASE WHEN abs(slope) < 1e-9 THEN (start + size / 2e0) / target
+         ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * ((start + size / 2e0) / target)) - (1 - slope)) / (2 * slope) END, 6) END AS first_position
 FROM p
 """

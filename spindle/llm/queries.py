@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import audio, bpe, exact_dedup, lm, minhash, mixing, runs, secrets, sentence_dedup, suffix_dedup, toxicity, webpages, whitening
 
@@ -34,7 +35,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.placed_digest(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.placed_digest(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

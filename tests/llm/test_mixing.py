@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_pipeline import WORD, targets
 
 from spindle.llm import mixing as M
@@ -52,14 +53,23 @@ def test_reruns_agree_and_empty(spark):
     assert all(r.taken == 0 and r.target == 0 for r in M.mixture(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).collect())
 
 
-def test_query_places_every_copy(spark, tmp_path):
+def test_query_places_every_copy(spark, tmp_path, monkeypatch):
     from spindle.llm import queries
 
+    # many small files, as a large table has
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    written, real = [], M.C.materialize
+    monkeypatch.setattr(M.C, "materialize", lambda df: written.append(real(df)) or written[-1])
+
     rows = make(3, 200) + [(8, "again", "b", 1, "x"), (8, "again", "b", 1, "x"), (None, "one two", "a", 1, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     found = queries.op5_mixing(spark, str(tmp_path))
-    assert "rangepartitioning(position" in found._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # the copies are written in training order: every file is sorted, and files don't overlap
+    order = written[-1].select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"), "position").collect()
+    files = [[r.position for r in sorted(order, key=lambda r: r.row) if r.file == f] for f in sorted({r.file for r in order})]
+    assert len(files) > 1 and all(f == sorted(f) for f in files) and all(a[-1] <= b[0] for a, b in zip(files, files[1:]))
     want = M.mixture(df).collect()
     plain = lambda rs: sorted((str(r.doc_id), r.size, r.source_size, r.target, r.taken) for r in rs)
     assert plain(found.collect()) == plain(want)
