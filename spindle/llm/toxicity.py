@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Words of a window, and words from one window to the next.
-WIDTH, STEP = 4, 2
+#: Words of a window, and words from one window to the next. ``compare`` chose them, and the sizes in ``fit``, by folds
+#: of rows that may be learnt from.
+WIDTH, STEP = 2, 1
 #: Longer words count as several, of so many bytes.
 WORD = 48
 #: Follows every window and every dictionary, so that short windows can be compressed at all.
@@ -39,6 +40,8 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    width: int = WIDTH
+    step: int = STEP
 
 
 def windows(texts: list[str], width: int = WIDTH, step: int = STEP) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +111,7 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
     """Scores from 0 to 1."""
     out = [np.zeros(0)]
     for lo, hi in C.chunks(texts, 1 << 20):
-        data, start, length, count = windows(texts[lo:hi])
+        data, start, length, count = windows(texts[lo:hi], model.width, model.step)
         z = features(gains(data, start, length, model.ordinary, model.toxic), count) @ np.array(model.weights)
         out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return np.concatenate(out)
@@ -118,12 +121,15 @@ def score_texts(texts: list[str], model: Model) -> np.ndarray:
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    """The content of a dictionary of at most size bytes trained on the samples; the samples themselves where zstandard finds too little to train on."""
-    try:
-        raw = zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8], k=segment, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b" ".join(samples)[-size:]
-    return raw[-min(len(raw), int(size * 0.97)) :]  # entropy tables come first
+    """The content of a dictionary of at most size bytes trained on the samples, repeated until zstandard has enough to train on; nothing without samples."""
+    samples = [s for s in samples if len(s) >= 8]
+    for times in (1, 4, 16, 64, 256, 1024) if samples else ():
+        try:
+            raw = zstandard.train_dictionary(size, samples * times, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            continue
+        return raw[-min(len(raw), int(size * 0.97)) :]  # entropy tables come first
+    return b""
 
 
 def _pieces(texts: list[str], size: int = 512) -> list[bytes]:
@@ -161,10 +167,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 60
     return w
 
 
-def fit(rows: list[tuple[str, int]], ground: int = 96 << 10, first: int = 16 << 10, size: int = 4 << 10, prior: float | None = None) -> Model:
+def fit(rows: list[tuple[str, int]], ground: int = 32 << 10, first: int = 16 << 10, size: int = 4 << 10, prior: float | None = None, width: int = WIDTH, step: int = STEP) -> Model:
     """A model from (text, toxic) rows. Two thirds train the dictionaries, the rest the calibration.
 
-    ground, first and size are the bytes of the common ground, of the first pair and of the pair that counts. ``prior`` is the share
+    ground, first and size are the bytes of the common ground, of the first pair and of the pair that counts, width and
+    step shape the windows. ``prior`` is the share
     of toxic texts where the model will be used; None takes the share in rows. A text with both labels counts as
     toxic. With no toxic or no ordinary rows every score is the label they have.
     """
@@ -191,10 +198,30 @@ def fit(rows: list[tuple[str, int]], ground: int = 96 << 10, first: int = 16 <<
     prior = sum(y for _, y in rows) / len(rows) if prior is None else min(max(prior, 1e-4), 1 - 1e-4)
     # short ordinary pieces as well, and nothing at all, so that little text is little evidence
     rest = rest + [(" ".join(t.split()[: fold(t, 24)]), 0) for t, y in rest if not y] + [("", 0)]
-    data, start, length, count = windows([t for t, _ in rest])
+    data, start, length, count = windows([t for t, _ in rest], width, step)
     w = _logistic(features(gains(data, start, length, ordinary, toxic), count), np.array([y for _, y in rest], float))
     w[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return Model(ordinary, toxic, tuple(w.tolist()))
+    return Model(ordinary, toxic, tuple(w.tolist()), width, step)
+
+
+def compare(rows: list[tuple[str, int]], settings: list[dict], prior: float, folds: int = 3) -> list[float]:
+    """For each of the settings, which are arguments of ``fit``, the log loss on folds of rows that it wasn't fitted on, both classes weighed by prior.
+
+    rows are those that may be learnt from, as ``fit`` takes them; held-out rows have no part in a choice.
+    """
+    fold = lambda t: zlib.crc32(b"fold" + t.encode()) % folds
+    y = np.array([y for _, y in rows])
+    weigh = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    losses = []
+    for own in settings:
+        score = np.zeros(len(rows))
+        for k in range(folds):
+            model = fit([(t, y) for t, y in rows if fold(t) != k], prior=prior, **own)
+            at = [i for i, (t, _) in enumerate(rows) if fold(t) == k]
+            score[at] = score_texts([rows[i][0] for i in at], model)
+        p = np.clip(np.where(y == 1, score, 1 - score), 1e-6, 1)
+        losses.append(float((weigh * -np.log(p)).mean()))
+    return losses
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, folds: int = 4, most: int = 2000, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> Model:

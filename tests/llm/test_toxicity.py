@@ -72,7 +72,7 @@ def test_both_dictionaries_are_trained(monkeypatch):
 def test_gains_are_compressed_lengths():
     model = X.fit([(t, y) for _, t, y in make(4, 600)])
     texts = ["", "one", "Gruffle and SNORBATER on\tthe way\nhome again", "x" * 5000, " \n ", "a b c d"]
-    data, start, length, count = X.windows(texts)
+    data, start, length, count = X.windows(texts, 4, 2)
     assert count.tolist() == [0, 1, 3, 52, 0, 1]
     shown = [data[a : a + n] for a, n in zip(start, length)]
     assert shown[:4] == [b"one", b"gruffle and snorbater on", b"snorbater on the way", b"the way home again"]
@@ -87,3 +87,21 @@ def test_slices_change_nothing(monkeypatch):
     whole = X.score_texts(texts, model)
     monkeypatch.setattr(X, "SLICE", 37)
     assert (X.score_texts(texts, model) == whole).all() and (X.score_texts(texts[::-1], model)[::-1] == whole).all()
+
+
+def test_few_samples_are_trained_on_by_zstandard(monkeypatch):
+    seen, real = [], zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **o: seen.append(len(samples)) or real(size, samples, **o))
+    few = [b"gruffle snorbat plixer", b"vomtag and gruffle again"]
+    assert b"gruffle" in X._trained(few, 4096, 24) and len(seen) > 1 and X._trained([], 4096, 24) == b""
+    model = X.fit([("gruffle plixer snorbat", 1), ("the other one in thoure", 0), ("gruffle vomtag", 1), ("an inter on tion", 0)])
+    assert all(0 <= s <= 1 for s in X.score_texts(["", "gruffle"], model))
+
+
+def test_settings_are_compared_on_folds():
+    rows = [(t, y) for _, t, y in make(7, 500)]
+    narrow, wide = X.compare(rows, [{"width": 2, "step": 1}, {"width": 40, "step": 20}], prior=1 / 6)
+    assert 0 < narrow < wide
+    # labels that say nothing can't be learnt
+    rng = random.Random(1)
+    assert X.compare([(t, rng.randrange(2)) for t, _ in rows], [{}], prior=0.5)[0] > 0.6
