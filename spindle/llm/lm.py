@@ -1,19 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Training counts of words and word pairs are quantised to powers of two; an n-gram of level q is in the filter
+``fit`` counts words and word pairs. Counts are quantised to powers of two; an n-gram of level q is in the filter
 once for each of 1..q, and probing levels until one is missing gives its count back, a little too high now
 and then but never lost. The filter is in segments, one for each bucket of keys, and each has ``BITS`` bits for
-every entry it holds, so its error doesn't grow with the corpus. No task holds more than one segment: the words
-and pairs of every batch of texts go to their segments, and the levels come back to the batch's texts, which are
-scored there. Pair probabilities are smoothed with word probabilities.
+every entry it holds, so its error doesn't grow with the corpus.
 
-Exact word counts for the unigram base travel the same way: a bucket adds up the counts of its words and answers
-each batch. Very frequent words, picked from a bounded sample, are counted in a table of fixed size instead, so
-none of them fills a bucket.
+``score`` scores any table with a model. A filter of at most ``BROADCAST`` bytes goes to all workers, which probe it
+text by text; a larger one stays in its table and probes travel to its segments, with the same results. Exact word
+counts, for the unigram base alone, come by a join. Pair probabilities are smoothed with word probabilities.
+
+Very frequent words, picked from a bounded sample, are counted in a table of fixed size, so none of them fills a bucket.
+A batch of texts deals its counts to at most ``FAN`` groups of buckets and what meets there is added up before it goes
+on to its buckets, so rows grow with the corpus and not with its square.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -28,9 +32,14 @@ END = np.uint64(0x5BD1E995C0FFEE11)
 PROBES = 3
 #: Bits of a segment for each entry, a key at a level.
 BITS = 8
-WORDS, PAIRS, HOT, TEXTS, SUMS = range(5)
-ROW = "bucket int, kind int, batch long, a binary, b binary, c binary, d binary"
-KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+#: A larger filter is not broadcast.
+BROADCAST = 64 << 20
+#: Buckets that a batch deals its counts to at once; more buckets are reached in a second step.
+FAN = 256
+WORDS, PAIRS, HOT, SEGMENT, SUMS, TEXTS = range(6)
+COUNTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+ASKED = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+ROW, ASK = "bucket int, kind int, a binary, b binary", "kind int, batch long, a binary, b binary, c binary, d binary"
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,34 +67,40 @@ def unpack(packed: bytes, kind: type) -> np.ndarray:
 
 
 class Filter:
-    """Segments of bits, one for each bucket of keys; ``top`` is the largest level stored."""
+    """Segments of bits, one for each bucket of keys: (bits, their number, largest level stored) of each."""
 
-    def __init__(self, bits: np.ndarray, n_segments: int, top: int = 63):
-        self.bits, self.n, self.size, self.top = bits, n_segments, len(bits) * 8 // n_segments, top
+    def __init__(self, segments: list[tuple[bytes, int, int]]):
+        self.n = len(segments)
+        self.bits = np.frombuffer(b"".join(s[0] for s in segments), np.uint8)
+        self.start = (np.cumsum([0, *(len(s[0]) for s in segments)])[:-1] * 8).astype(np.uint64)
+        self.size, self.top = np.array([s[1] for s in segments], np.uint64), np.array([s[2] for s in segments], np.int64)
 
     @staticmethod
-    def places(fingerprint: np.ndarray, level: int, size: int) -> np.ndarray:
+    def places(fingerprint: np.ndarray, level: int, size: np.ndarray) -> np.ndarray:
         """The bits of a segment that stand for a fingerprint at a level, one column a probe."""
         h = C.mix64(fingerprint * C._STEP + np.full(1, level, np.uint64))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return ((h & np.uint64(0xFFFFFFFF))[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(size)
+        return ((h & np.uint64(0xFFFFFFFF))[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % size[:, None]
 
     @classmethod
-    def segment(cls, fingerprints: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-        bits, top, level = np.zeros(size, np.uint8), np.frexp(counts.astype(np.float64))[1], 1
+    def segment(cls, fingerprints: np.ndarray, counts: np.ndarray) -> tuple[bytes, int, int]:
+        top, level = np.frexp(counts.astype(np.float64))[1], 1
+        size = max(64, -(-BITS * int(top.sum()) // 8) * 8)
+        bits = np.zeros(size, np.uint8)
         while (own := fingerprints[top >= level]).size:
-            bits[cls.places(own, level, size)] = 1
+            bits[cls.places(own, level, np.full(1, size, np.uint64))] = 1
             level += 1
-        return np.packbits(bits)
+        return np.packbits(bits).tobytes(), size, int(top.max(initial=0))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level q for which all of 1..q are there; 0 for none."""
         out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        base, own = (keys % np.uint64(self.n)) * np.uint64(self.size), keys >> np.uint64(32)
-        while len(left) and level <= self.top:
-            places = self.places(own[left], level, self.size)
+        of = (keys % np.uint64(self.n)).astype(np.int64)
+        own, start, size, top = keys >> np.uint64(32), self.start[of], self.size[of], self.top[of]
+        while (left := left[top[left] >= level]).size:
+            places = self.places(own[left], level, size[left])
             for k in range(PROBES):
-                at = base[left] + places[:, k]
+                at = start[left] + places[:, k]
                 hit = (self.bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 left, places = left[hit], places[hit]
             out[left] = level
@@ -98,11 +113,47 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.floor(1.5 * 2.0 ** (levels - 1)), 0.0)
 
 
+@dataclass(frozen=True)
+class Model:
+    """What fit learnt, in a table of the shared folder, and numbers of bounded size.
+
+    ``table`` has the filter's segments and packed exact word counts by bucket; ``hot`` and ``hot_counts`` are the
+    frequent words. ``false_positives`` is the share of absent n-grams that the filter takes for known, by probing
+    each segment with as many as it has entries.
+    """
+
+    table: DataFrame
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    n_buckets: int
+    tokens: int
+    vocab: int
+    n_bytes: int
+    false_positives: float
+
+    def filter(self) -> Filter:
+        """The whole filter; for the driver only if ``n_bytes`` is bounded."""
+        segments = [(bytes(8), 64, 0)] * self.n_buckets
+        for r in self.table.filter(F.col("kind") == SEGMENT).toLocalIterator():
+            segments[r.bucket] = (bytes(r.a), *(int(x) for x in np.frombuffer(r.b, np.int64)))
+        return Filter(segments)
+
+    def words(self) -> DataFrame:
+        """Exact counts of all words that aren't frequent: key, n."""
+
+        def run(batches):
+            for batch in batches:
+                for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpack(a, np.uint64), dtype=np.uint64).view(np.int64)), pa.array(unpack(b, np.int64))], names=["key", "n"])
+
+        return self.table.filter(F.col("kind") == WORDS).select("a", "b").mapInArrow(run, "key long, n long")
+
+
 def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
-    """Sorted hashes of END and the n most frequent words of about ``sample`` rows, picked by hash (``common.by_share``).
+    """Sorted hashes of END and the n most frequent words of about ``sample`` rows of docs (text), picked by hash (``common.by_share``).
 
-    The choice only says which counts travel in the fixed table; every result is the same for any choice. Each task
-    counts its own part of the sample, so no text is moved.
+    The choice only says which counts travel in the fixed table; every result is the same for any choice but for
+    levels that the filter has too high. Each task counts its own part of the sample, so no text is moved.
     """
     schema = "key long, n long"
 
@@ -113,160 +164,221 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
                 keys, counts = np.unique(tokens(texts[lo:hi])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-    rows = C.by_share(docs, F.col("ord"), sample).select("text")
+    rows = C.by_share(docs, F.col("text"), sample).select("text")
     top = rows.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).collect()
     return np.unique(np.append(np.array([r.key for r in top], np.int64).view(np.uint64), END))
 
 
-def gathered(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
-    """Of every bucket: counts and levels of batches' words, levels of their pairs, counts of frequent words, texts and sums. docs: ord, doc_id, train, text.
+def _added(keys: list[np.ndarray], counts: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts."""
+    distinct, at = np.unique(np.concatenate([*keys, np.zeros(0, kind)]), return_inverse=True)
+    return distinct, np.bincount(at.reshape(-1), np.concatenate([*counts, np.zeros(0)]), len(distinct)).astype(np.int64)
+
+
+def _packed(bucket: np.ndarray, n: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """A row for each bucket with its keys, which are sorted, as steps, and their counts."""
+    return [(b, kind, pack(np.diff(keys[i], prepend=keys.dtype.type(0))), pack(counts[i].astype(np.int64))) for b, i in C.deal(bucket, n)]
 
-    Sums are the numbers of known words, of their tokens, of pairs that no learnt text has, and of those that the
-    filter takes for known.
-    """
 
-    def part(place: int, ords: np.ndarray, ids: pa.Array, trains: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        # the place tells batches of identical rows apart
-        own = C.mix64(ords.astype(np.uint64) + np.arange(len(ords), dtype=np.uint64) * C._STEP).sum(dtype=np.uint64) ^ C.mix64(np.array([place], np.uint64))
-        name = int(own.view(np.int64)[0])
-        found, first = tokens(texts)
-        pair, which = np.unique(pair_hashes(found, first)[1], return_inverse=True)
-        count = np.bincount(which.reshape(-1), np.repeat(trains, np.diff(first)), len(pair))
-        del which
-        rows = []
-        for b, i in C.deal((pair % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-            # in order of the fingerprints, as the pairs are, so the steps between them are small
-            rows.append((b, PAIRS, name, pack(np.diff((pair[i] >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))), pack(count[i].astype(np.uint32)), b"", b""))
-        del pair, count
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
-        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
-        is_hot = hot[at] == found
-        hot_counts = np.bincount(at[is_hot & trains[text]], minlength=len(hot)).astype(np.int64)
-        word, which = np.unique(found[~is_hot], return_inverse=True)
-        count = np.bincount(which.reshape(-1), trains[text[~is_hot]], len(word)).astype(np.uint32)
-        for b, i in C.deal((word % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-            rows.append((b, WORDS, name, pack(np.diff(word[i], prepend=np.uint64(0))), pack(count[i]), b"", b""))
-        rows.append((name % n_buckets, HOT, name, hot_counts.tobytes(), b"", b"", b""))
-        raw = [t.encode("utf-8") for t in texts]
-        ids_null = np.array(ids.is_null()).astype(np.uint8)
-        rows.append((name % n_buckets, TEXTS, name, ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), ids_null.tobytes(), zstandard.compress(b"".join(raw), 3), np.array([len(x) for x in raw], np.int64).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], names=ROW.replace(",", "").split()[::2])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def counted(docs: DataFrame, hot: np.ndarray, n_buckets: int, fan: int = FAN) -> DataFrame:
+    """Of every bucket its segment of the filter, packed word counts and sums; of every task the counts of frequent words. docs: text.
+
+    Sums are the numbers of words, of their tokens, of absent keys that were probed, and of those that the filter takes for known.
+    """
+    groups = min(n_buckets, fan)
 
     def spread(batches):
-        place = TaskContext.get().partitionId() << 32
+        frequent = np.zeros(len(hot), np.int64)
         for batch in batches:
-            ords, ids, trains, texts = batch.column(0).to_numpy(), batch.column(1), np.array(batch.column(2).to_pylist(), bool), batch.column(3).to_pylist()
+            texts = batch.column(0).to_pylist()
             for lo, hi in C.chunks(texts, 6 << 20):
-                yield part(place, ords[lo:hi], ids[lo:hi], trains[lo:hi], texts[lo:hi])
-                place += 1
+                found, first = tokens(texts[lo:hi])
+                rows = []
+                at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+                is_hot = hot[at] == found
+                frequent += np.bincount(at[is_hot], minlength=len(hot))
+                for kind, own in ((PAIRS, pair_hashes(found, first)[1]), (WORDS, found[~is_hot])):
+                    keys, counts = np.unique(own, return_counts=True)
+                    rows += _packed((keys % np.uint64(n_buckets)).astype(np.int64) % groups, groups, kind, keys, counts)
+                if rows:
+                    yield _batch(rows, COUNTED)
+        yield _batch([(TaskContext.get().partitionId() % groups, HOT, frequent.tobytes(), b"")], COUNTED)
+
+    def regroup(batches):
+        held, size, now = [], 0, None
+
+        def flush():
+            keys, counts = _added([np.cumsum(unpack(a, np.uint64), dtype=np.uint64) for a, _ in held], [unpack(b, np.int64) for _, b in held], np.uint64)
+            return _batch(_packed((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets, now[1], keys, counts), COUNTED)
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[1] == HOT:
+                    yield _batch([r], COUNTED)
+                    continue
+                if held and (now != r[:2] or size > 32 << 20):
+                    yield flush()
+                    held, size = [], 0
+                now, size = r[:2], size + len(r[2])
+                held.append(r[2:])
+        if held:
+            yield flush()
 
     def settle(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        of = lambda kind: [r for r in rows if r["kind"] == kind]
-        bucket = rows[0]["bucket"]
-        out = [r for r in rows if r["kind"] in (HOT, TEXTS)]
-
-        def added(rows: list[dict], kind: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            """Distinct keys, their counts, and where each row's keys are among them."""
-            keys = [np.cumsum(unpack(r["a"], kind), dtype=kind) for r in rows]
-            distinct, at = np.unique(np.concatenate([*keys, np.zeros(0, kind)]), return_inverse=True)
-            at = at.reshape(-1)
-            count = np.bincount(at, np.concatenate([*(unpack(r["b"], np.uint32) for r in rows), np.zeros(0)]), len(distinct)).astype(np.int64)
-            return distinct, count, np.split(at, np.cumsum([len(k) for k in keys])[:-1]) if keys else []
-
-        words, pairs = of(WORDS), of(PAIRS)
-        distinct, count, of_words = added(words, np.uint64)
-        print_, seen, of_pairs = added(pairs, np.uint32)
-        kept, learnt = count > 0, seen > 0
-        mark, print_ = distinct >> np.uint64(32), print_.astype(np.uint64)
-        stored = np.concatenate([count[kept], seen[learnt]])
-        tops = np.frexp(stored.astype(np.float64))[1]
-        size = max(64, -(-BITS * int(tops.sum()) // 8) * 8)
-        segment = Filter(Filter.segment(np.concatenate([mark[kept], print_[learnt]]), stored, size), 1, int(tops.max(initial=0)))
-        of_word, of_pair = (segment.levels(x << np.uint64(32)).astype(np.uint8) for x in (mark, print_))
-        for r, k in zip(words, of_words):
-            out.append({"bucket": bucket, "kind": WORDS, "batch": r["batch"], "a": pack(of_word[k]), "b": pack(count[k]), "c": b"", "d": b""})
-        for r, k in zip(pairs, of_pairs):
-            out.append({"bucket": bucket, "kind": PAIRS, "batch": r["batch"], "a": pack(of_pair[k]), "b": b"", "c": b"", "d": b""})
-        sums = np.array([kept.sum(), count.sum(), (~learnt).sum(), (of_pair[~learnt] > 0).sum()], np.int64)
-        out.append({"bucket": bucket, "kind": SUMS, "batch": 0, "a": sums.tobytes(), "b": b"", "c": b"", "d": b""})
-        return pa.Table.from_pylist(out, schema=table.schema)
-
-    return C.by_bucket(docs.mapInArrow(spread, ROW), n_buckets, settle, ROW)
-
-
-def _in_order(keys: np.ndarray, answers: list[np.ndarray], n_buckets: int) -> np.ndarray:
-    """The answers for sorted keys, from what the buckets sent in order of their numbers."""
-    out = np.zeros(len(keys), np.int64)
-    out[np.argsort((keys % np.uint64(n_buckets)).astype(np.int64), kind="stable")] = np.concatenate([*answers, np.zeros(0, np.int64)])
+        rows = [tuple(r.values()) for r in table.to_pylist()]
+        bucket = rows[0][0]
+        of = lambda kind: _added([np.cumsum(unpack(r[2], np.uint64), dtype=np.uint64) for r in rows if r[1] == kind], [unpack(r[3], np.int64) for r in rows if r[1] == kind], np.uint64)
+        (word, count), (pair, seen) = of(WORDS), of(PAIRS)
+        prints = np.concatenate([word, pair]) >> np.uint64(32)
+        bits, size, top = Filter.segment(prints, np.concatenate([count, seen]))
+        absent = C.mix64(prints * C._LONG_STEP) >> np.uint64(32)
+        absent = absent[~np.isin(absent, prints)]
+        false = Filter([(bits, size, top)]).levels(absent << np.uint64(32)) > 0
+        out = [r for r in rows if r[1] == HOT]
+        out.append((bucket, SEGMENT, bits, np.array([size, top], np.int64).tobytes()))
+        out.append((bucket, WORDS, pack(np.diff(word, prepend=np.uint64(0))), pack(count)))
+        out.append((bucket, SUMS, np.array([len(word), count.sum(), len(absent), false.sum()], np.int64).tobytes(), b""))
+        return pa.Table.from_batches([_batch(out, COUNTED)])
+
+    rows = docs.select("text").mapInArrow(spread, ROW)
+    if groups < n_buckets:
+        n = min(groups, C.partitions(docs.sparkSession))
+        rows = rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket", "kind").mapInArrow(regroup, ROW)
+    return C.by_bucket(rows, n_buckets, settle, ROW)
+
+
+def _sums(table: DataFrame, kind: int, n: int) -> np.ndarray:
+    """The sum of all rows of a kind, each n numbers; n rows come to the driver."""
+
+    def run(batches):
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                total += np.frombuffer(a, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], names=["k", "n"])
+
+    out = np.zeros(n, np.int64)
+    for r in table.filter(F.col("kind") == kind).select("a").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
     return out
 
 
-def totals(found: DataFrame) -> np.ndarray:
-    """The sums of all buckets; a row of four numbers a bucket comes to the driver."""
-    return np.sum([np.frombuffer(r.a, np.int64) for r in found.filter(F.col("kind") == SUMS).select("a").toLocalIterator()] or [np.zeros(4, np.int64)], axis=0)
+def fit(docs: DataFrame, text_col: str = "text", frequent: int = 1 << 16, sample: int = 4000, n_buckets: int | None = None, fan: int = FAN) -> Model:
+    """A model of all texts of docs, of any length; null counts as empty, and a text without words has its end token only.
 
+    Identical rows are learnt from each for itself. An empty table gives a model that knows nothing.
+    """
+    texts = docs.select(C.text_or_empty(text_col).alias("text"))
+    if n_buckets is None:
+        n_buckets = max(C.partitions(docs.sparkSession), -(-int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (64 << 20)))
+    hot = frequent_words(texts, frequent, sample)
+    table = C.materialize(counted(texts, hot, n_buckets, fan))
+    hot_counts, sums = _sums(table, HOT, len(hot)), _sums(table, SUMS, 4)
+    n_bytes = int(table.filter(F.col("kind") == SEGMENT).agg(F.sum(F.octet_length("a"))).first()[0] or 0)
+    return Model(table, hot, hot_counts, n_buckets, int(sums[1] + hot_counts.sum()), int(sums[0] + (hot_counts > 0).sum()), n_bytes, float(sums[3] / max(1, sums[2])))
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, frequent: int = 1 << 16, sample: int = 4000, weight: float = 4.0) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Texts are learnt from unless crc32 of the id as text leaves 2 on division by ``folds`` (a null id is learnt
-    from). A pair's probability is (count(h, w) + weight * p(w)) / (count(h) + weight), with
+def _found(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of keys among known ones, 0 for others."""
+    order = np.argsort(known)
+    known, values = np.append(known[order], np.uint64(0)), np.append(values[order], 0)
+    at = np.minimum(np.searchsorted(known[:-1], keys), len(known) - 1)
+    return np.where((known[at] == keys) & (at < len(known) - 1), values[at], 0)
+
+
+def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, broadcast: int = BROADCAST) -> DataFrame:
+    """One row a document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    A pair's probability is (count(h, w) + weight * p(w)) / (count(h) + weight), with
     p(w) = (count(w) + 1) / (N + V + 1), from the filter; the levels of the frequent words come from their own
-    table. Null and empty texts have the end token only. Identical rows are learnt from each for itself; an empty
-    table gives an empty result.
+    table. Null and empty texts have the end token only; a very long text is a batch of its own. Repeated rows stay; an empty table gives an empty result.
+    A filter of more than ``broadcast`` bytes is probed where its segments are.
     """
-    spark = docs.sparkSession
-    size = C.profile(docs, id_col, text_col)
-    n_buckets = max(C.partitions(spark), -(-size.n_bytes // (64 << 20)))
-    rows = C.ordered(docs, id_col, text_col, size.unique)
-    hot = frequent_words(rows, frequent, sample)
-    found = C.materialize(gathered(rows.select("ord", "doc_id", ~C.held_out("doc_id", folds), "text"), hot, n_buckets))
-    hot_counts, sums = _hot_counts(found, len(hot)), totals(found)
-    train_vocab, train_tokens = int(sums[0] + (hot_counts > 0).sum()), int(sums[1] + hot_counts.sum())
-
-    def score(table: pa.Table) -> pa.Table:
-        answers = sorted((r for r in table.to_pylist() if r["kind"] in (WORDS, PAIRS, TEXTS)), key=lambda r: r["bucket"])
-        of = lambda kind: [r for r in answers if r["kind"] == kind]
-        (own,) = of(TEXTS)
+    spark, hot, hot_counts, n_buckets = docs.sparkSession, model.hot, model.hot_counts, model.n_buckets
+    n_tokens, vocab = model.tokens, model.vocab
+    whole = spark.sparkContext.broadcast(model.filter()) if model.n_bytes <= broadcast else None
+    probed = whole is None
+
+    def spread(batches):
+        name = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for lo, hi in C.chunks(texts, 6 << 20):
+                found, first = tokens(texts[lo:hi])
+                raw, own = [t.encode("utf-8") for t in texts[lo:hi]], ids[lo:hi]
+                rows = [(TEXTS, name, own.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), np.array(own.is_null()).astype(np.uint8).tobytes(), zstandard.compress(b"".join(raw), 3), np.array([len(x) for x in raw], np.int64).tobytes())]
+                at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+                for kind, keys in ((WORDS, found[hot[at] != found]), (PAIRS, pair_hashes(found, first)[1] if probed else None)):
+                    if keys is not None:
+                        rows.append((kind, name, pack(np.diff(np.unique(keys), prepend=np.uint64(0))), b"", b"", b""))
+                yield _batch(rows, ASKED)
+                name += 1
+
+    def unpacked(batches):
+        for batch in batches:
+            for kind, name, a in zip(*(c.to_pylist() for c in batch.columns)):
+                keys = np.cumsum(unpack(a, np.uint64), dtype=np.uint64)
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, name)), pa.array((keys % np.uint64(n_buckets)).astype(np.int32)), pa.array(keys.view(np.int64))], names=["kind", "batch", "bucket", "key"])
+
+    def probe(asks: pa.Table, segment: pa.Table) -> pa.Table:
+        (r,) = segment.to_pylist() or [{"a": bytes(8), "b": np.array([64, 0], np.int64).tobytes()}]
+        own = Filter([(r["a"], *(int(x) for x in np.frombuffer(r["b"], np.int64)))])
+        return pa.table({"kind": asks["kind"], "batch": asks["batch"], "key": asks["key"], "n": own.levels(asks["key"].to_numpy().view(np.uint64)), "level": np.ones(len(asks), bool)})
+
+    def scored(text: pa.Table, answers: pa.Table) -> pa.Table:
+        (own,) = text.to_pylist()
+        of = {c: answers[c].to_numpy() for c in answers.column_names}
+        key = of["key"].view(np.uint64)
+
+        def answer(keys: np.ndarray, kind: int, level: bool) -> np.ndarray:
+            if level and not probed:
+                return whole.value.levels(keys)
+            some = (of["kind"] == kind) & (of["level"] == level)
+            return _found(keys, key[some], of["n"][some])
+
         ends, raw = np.cumsum(np.frombuffer(own["d"], np.int64)), zstandard.decompress(own["c"])
         token, first = tokens([raw[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)])
         at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
         is_hot = hot[at] == token
         level, exact = np.frexp(hot_counts.astype(np.float64))[1].astype(np.int64)[at], hot_counts[at]
         word, which = np.unique(token[~is_hot], return_inverse=True)
-        which = which.reshape(-1)
-        level[~is_hot] = _in_order(word, [unpack(r["a"], np.uint8) for r in of(WORDS)], n_buckets)[which]
-        exact[~is_hot] = _in_order(word, [unpack(r["b"], np.int64) for r in of(WORDS)], n_buckets)[which]
+        level[~is_hot], exact[~is_hot] = answer(word, WORDS, True)[which.reshape(-1)], answer(word, WORDS, False)[which.reshape(-1)]
         count = counts_of(level)
-        before, pair = pair_hashes(token, first)
         of_before = np.concatenate([[0.0], count[:-1]])
         of_before[first[:-1]] = counts_of(np.frexp(hot_counts[hot == END].astype(np.float64))[1])[0]
-        pair, which = np.unique(pair, return_inverse=True)
-        both = counts_of(_in_order(pair, [unpack(r["a"], np.uint8) for r in of(PAIRS)], n_buckets))[which.reshape(-1)]
-        single = (count + 1) / (train_tokens + train_vocab + 1)
+        pair, which = np.unique(pair_hashes(token, first)[1], return_inverse=True)
+        both = counts_of(answer(pair, PAIRS, True))[which.reshape(-1)]
+        single = (count + 1) / (n_tokens + vocab + 1)
         p = np.minimum(1.0, (both + weight * single) / (np.maximum(of_before, both) + weight))
         total_of = lambda x: np.add.reduceat(x, first[:-1])
-        base = total_of(np.log10(exact + 1.0)) - np.diff(first) * np.log10(train_tokens + train_vocab + 1.0)
+        base = total_of(np.log10(exact + 1.0)) - np.diff(first) * np.log10(n_tokens + vocab + 1.0)
         ids = pa.array(np.frombuffer(own["a"], np.int64), mask=np.frombuffer(own["b"], np.uint8).astype(bool))
         return pa.table({"doc_id": ids, "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((exact > 0).astype(np.int64)), "base_score": base, "score": total_of(np.log10(p))})
 
-    out = found.filter(F.col("kind").isin(WORDS, PAIRS, TEXTS)).groupBy("batch").applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", C.held_out("doc_id", folds).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"))
+    found = C.materialize(rows.mapInArrow(spread, ASK))
+    asks = found.filter(F.col("kind") != TEXTS).select("kind", "batch", "a").mapInArrow(unpacked, "kind int, batch long, bucket int, key long")
+    # packed counts look small to the planner
+    answers = asks.filter(F.col("kind") == WORDS).join(model.words().hint("merge"), "key").select("kind", "batch", "key", "n", F.lit(False).alias("level"))
+    if probed:
+        segments = model.table.filter(F.col("kind") == SEGMENT).select("bucket", "a", "b")
+        levels = asks.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(lambda a, b: probe(a, b) if len(a) else probe(a, b).slice(0, 0), "kind int, batch long, key long, n long, level boolean")
+        answers = answers.union(levels)
+    out = found.filter(F.col("kind") == TEXTS).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
-def _hot_counts(found: DataFrame, n: int) -> np.ndarray:
-    """Totals of the frequent words; as many rows come to the driver as there are such words."""
 
-    def run(batches):
-        total = np.zeros(n, np.int64)
-        for batch in batches:
-            for a in batch.column(0).to_pylist():
-                total += np.frombuffer(a, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], names=["k", "n"])
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, weight: float = 4.0, broadcast: int = BROADCAST, **options) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    totals = found.filter(F.col("kind") == HOT).select("a").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(n, np.int64)
-    for r in totals:
-        out[r.k] = r.n
-    return out
+    A model is fitted (``options``, see ``fit``) on texts of which crc32 of the id as text doesn't leave 2 on division by ``folds``
+    (a null id is learnt from), and scores all. Nulls, repeats, long texts and empty tables: as ``fit`` and ``score`` have them.
+    """
+    model = fit(docs.filter(~C.held_out(id_col, folds)), text_col, **options)
+    out = score(model, docs, id_col, text_col, weight, broadcast)
+    return out.select("doc_id", C.held_out("doc_id", folds).alias("held_out"), *out.columns[1:])
