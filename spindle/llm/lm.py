@@ -367,7 +367,7 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     answers = asks.filter(F.col("kind") == WORDS).join(model.words().hint("merge"), "key").select("kind", "batch", "key", "n", F.lit(False).alias("level"))
     if probed:
         segments = model.table.filter(F.col("kind") == SEGMENT).select("bucket", "a", "b")
-        levels = asks.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(lambda a, b: probe(a, b) if len(a) else probe(a, b).slice(0, 0), "kind int, batch long, key long, n long, level boolean")
+        levels = asks.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(probe, "kind int, batch long, key long, n long, level boolean")
         answers = answers.union(levels)
     out = found.filter(F.col("kind") == TEXTS).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
