@@ -6,8 +6,9 @@ and then but never lost. The filter is in segments, one for each bucket of keys,
 every entry it holds, so its error doesn't grow with the corpus.
 
 ``score`` scores any table with a model. A filter of at most ``BROADCAST`` bytes goes to all workers, which probe it
-text by text; a larger one stays in its table and probes travel to its segments, with the same results. Exact word
-counts, for the unigram base alone, come by a join. Pair probabilities are smoothed with word probabilities.
+text by text; a larger one stays in its table and probes travel to its segments, with the same results. Exact counts
+of rare words, for the unigram base alone, are asked for in the same way. Probes and answers are packed, a row for each
+batch of texts and group of buckets, and of a pair only what the filter looks at goes along: its bucket and 32 bits. Pair probabilities are smoothed with word probabilities.
 
 Very frequent words, picked from a bounded sample, are counted in a table of fixed size, so none of them fills a bucket.
 A batch of texts deals its counts to at most ``FAN`` groups of buckets and what meets there is added up before it goes
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,17 +38,35 @@ BITS = 8
 BROADCAST = 64 << 20
 #: Buckets that a batch deals its counts to at once; more buckets are reached in a second step.
 FAN = 256
-WORDS, PAIRS, HOT, SEGMENT, SUMS, TEXTS = range(6)
+WORDS, PAIRS, HOT, SEGMENT, SUMS = range(5)
 COUNTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-ASKED = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-ROW, ASK = "bucket int, kind int, a binary, b binary", "kind int, batch long, a binary, b binary, c binary, d binary"
+TEXTS = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("ids", "nulls", "tokens", "lengths", "words"))])
+ASKED = pa.schema([("group", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+ANSWERED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("group", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+ROW, TEXT = "bucket int, kind int, a binary, b binary", "batch long, ids binary, nulls binary, tokens binary, lengths binary, words binary"
+ASK, ANSWER = "group int, batch long, kind int, bucket int, a binary, b binary", "batch long, kind int, group int, a binary, b binary"
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts end to end, and the n + 1 places where texts begin."""
-    words = C.Words(texts, lower=True)
-    ends = words.first[1:]
-    return np.insert(words.hashes(), ends, END), words.first + np.arange(len(words.first))
+    """Hashes of the tokens of all texts end to end, and the n + 1 places where texts begin; about a megabyte is worked on at a time."""
+    found, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo, hi in C.chunks(texts, 1 << 20):
+        words = C.Words(texts[lo:hi], lower=True)
+        ends = words.first[1:]
+        found.append(np.insert(words.hashes(), ends, END))
+        first.append(ends + np.arange(1, hi - lo + 1) + first[-1][-1])
+    return np.concatenate(found), np.concatenate(first)
+
+
+def pieces(texts: pa.Array, limit: int = 6 << 20):
+    """Where each run of texts of about limit bytes begins and ends, and its texts; a longer text is a run of its own."""
+    lo, total = 0, 0
+    for i, n in enumerate([*pc.binary_length(texts).to_pylist(), limit]):
+        if i == len(texts) or total and total + n > limit:
+            if i > lo:
+                yield lo, i, texts.slice(lo, i - lo).to_pylist()
+            lo, total = i, 0
+        total += n
 
 
 def pair_hashes(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +114,12 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level q for which all of 1..q are there; 0 for none."""
-        out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        of = (keys % np.uint64(self.n)).astype(np.int64)
-        own, start, size, top = keys >> np.uint64(32), self.start[of], self.size[of], self.top[of]
+        return self.levels_in((keys % np.uint64(self.n)).astype(np.int64), keys >> np.uint64(32))
+
+    def levels_in(self, of: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """``levels`` of fingerprints, each in the segment that of numbers."""
+        out, left, level = np.zeros(len(own), np.int64), np.arange(len(own)), 1
+        start, size, top = self.start[of], self.size[of], self.top[of]
         while (left := left[top[left] >= level]).size:
             places = self.places(own[left], level, size[left])
             for k in range(PROBES):
@@ -138,16 +161,6 @@ class Model:
             segments[r.bucket] = (bytes(r.a), *(int(x) for x in np.frombuffer(r.b, np.int64)))
         return Filter(segments)
 
-    def words(self) -> DataFrame:
-        """Exact counts of all words that aren't frequent: key, n."""
-
-        def run(batches):
-            for batch in batches:
-                for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpack(a, np.uint64), dtype=np.uint64).view(np.int64)), pa.array(unpack(b, np.int64))], names=["key", "n"])
-
-        return self.table.filter(F.col("kind") == WORDS).select("a", "b").mapInArrow(run, "key long, n long")
-
 
 def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
     """Sorted hashes of END and the n most frequent words of about ``sample`` rows of docs (text), picked by hash (``common.by_share``).
@@ -159,9 +172,8 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in C.chunks(texts):
-                keys, counts = np.unique(tokens(texts[lo:hi])[0], return_counts=True)
+            for _, _, texts in pieces(batch.column(0)):
+                keys, counts = np.unique(tokens(texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
     rows = C.by_share(docs, F.col("text"), sample).select("text")
@@ -169,15 +181,47 @@ def frequent_words(docs: DataFrame, n: int, sample: int) -> np.ndarray:
     return np.unique(np.append(np.array([r.key for r in top], np.int64).view(np.uint64), END))
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their counts."""
-    distinct, at = np.unique(np.concatenate([*keys, np.zeros(0, kind)]), return_inverse=True)
-    return distinct, np.bincount(at.reshape(-1), np.concatenate([*counts, np.zeros(0)]), len(distinct)).astype(np.int64)
+    own, n = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+    order = np.argsort(own)
+    own, n = own[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat(n, first) if len(own) else n
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, packed."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _packed(bucket: np.ndarray, n: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+def keys_of(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def placed(pairs: np.ndarray, n_buckets: int, groups: int) -> np.ndarray:
+    """All that the filter asks of pairs: group of buckets (16 bits), place of the bucket in the group (16) and fingerprint (32).
+
+    A bucket's keys then differ in 32 bits of 64, so they take half the room on their way.
+    """
+    bucket = pairs % np.uint64(n_buckets)
+    return bucket % np.uint64(groups) << np.uint64(48) | bucket // np.uint64(groups) << np.uint64(32) | pairs >> np.uint64(32)
+
+
+def by_group(place: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each group of sorted places, where it begins and where it ends."""
+    group = (place >> np.uint64(48)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    return [(int(group[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(group)])]
+
+
+IN_GROUP = np.uint64((1 << 48) - 1)
+PRINT = np.uint64((1 << 32) - 1)
+
+
+def _packed(bucket: np.ndarray, kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
     """A row for each bucket with its keys, which are sorted, as steps, and their counts."""
-    return [(b, kind, pack(np.diff(keys[i], prepend=keys.dtype.type(0))), pack(counts[i].astype(np.int64))) for b, i in C.deal(bucket, n)]
+    return [(b, kind, steps(keys[i]), pack(counts[i].astype(np.int64))) for b, i in C.deal(bucket, 0)]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -194,16 +238,15 @@ def counted(docs: DataFrame, hot: np.ndarray, n_buckets: int, fan: int = FAN) ->
     def spread(batches):
         frequent = np.zeros(len(hot), np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in C.chunks(texts, 6 << 20):
-                found, first = tokens(texts[lo:hi])
-                rows = []
+            for _, _, texts in pieces(batch.column(0)):
+                found, first = tokens(texts)
                 at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
                 is_hot = hot[at] == found
                 frequent += np.bincount(at[is_hot], minlength=len(hot))
-                for kind, own in ((PAIRS, pair_hashes(found, first)[1]), (WORDS, found[~is_hot])):
-                    keys, counts = np.unique(own, return_counts=True)
-                    rows += _packed((keys % np.uint64(n_buckets)).astype(np.int64) % groups, groups, kind, keys, counts)
+                place, counts = np.unique(placed(pair_hashes(found, first)[1], n_buckets, groups), return_counts=True)
+                rows = [(g, PAIRS, steps(place[a:b] & IN_GROUP), pack(counts[a:b].astype(np.int64))) for g, a, b in by_group(place)]
+                keys, counts = np.unique(found[~is_hot], return_counts=True)
+                rows += _packed((keys % np.uint64(n_buckets)).astype(np.int64) % groups, WORDS, keys, counts)
                 if rows:
                     yield _batch(rows, COUNTED)
         yield _batch([(TaskContext.get().partitionId() % groups, HOT, frequent.tobytes(), b"")], COUNTED)
@@ -212,8 +255,10 @@ def counted(docs: DataFrame, hot: np.ndarray, n_buckets: int, fan: int = FAN) ->
         held, size, now = [], 0, None
 
         def flush():
-            keys, counts = _added([np.cumsum(unpack(a, np.uint64), dtype=np.uint64) for a, _ in held], [unpack(b, np.int64) for _, b in held], np.uint64)
-            return _batch(_packed((keys % np.uint64(n_buckets)).astype(np.int64), n_buckets, now[1], keys, counts), COUNTED)
+            keys, counts = _added([keys_of(a) for a, _ in held], [unpack(b, np.int64) for _, b in held])
+            if now[1] == PAIRS:
+                return _batch(_packed((keys >> np.uint64(32)).astype(np.int64) * groups + now[0], PAIRS, keys & PRINT, counts), COUNTED)
+            return _batch(_packed((keys % np.uint64(n_buckets)).astype(np.int64), WORDS, keys, counts), COUNTED)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
@@ -231,16 +276,16 @@ def counted(docs: DataFrame, hot: np.ndarray, n_buckets: int, fan: int = FAN) ->
     def settle(table: pa.Table) -> pa.Table:
         rows = [tuple(r.values()) for r in table.to_pylist()]
         bucket = rows[0][0]
-        of = lambda kind: _added([np.cumsum(unpack(r[2], np.uint64), dtype=np.uint64) for r in rows if r[1] == kind], [unpack(r[3], np.int64) for r in rows if r[1] == kind], np.uint64)
+        of = lambda kind: _added([keys_of(r[2]) for r in rows if r[1] == kind], [unpack(r[3], np.int64) for r in rows if r[1] == kind])
         (word, count), (pair, seen) = of(WORDS), of(PAIRS)
-        prints = np.concatenate([word, pair]) >> np.uint64(32)
+        prints = np.concatenate([word >> np.uint64(32), pair])
         bits, size, top = Filter.segment(prints, np.concatenate([count, seen]))
         absent = C.mix64(prints * C._LONG_STEP) >> np.uint64(32)
         absent = absent[~np.isin(absent, prints)]
         false = Filter([(bits, size, top)]).levels(absent << np.uint64(32)) > 0
         out = [r for r in rows if r[1] == HOT]
         out.append((bucket, SEGMENT, bits, np.array([size, top], np.int64).tobytes()))
-        out.append((bucket, WORDS, pack(np.diff(word, prepend=np.uint64(0))), pack(count)))
+        out.append((bucket, WORDS, steps(word), pack(count)))
         out.append((bucket, SUMS, np.array([len(word), count.sum(), len(absent), false.sum()], np.int64).tobytes(), b""))
         return pa.Table.from_batches([_batch(out, COUNTED)])
 
@@ -283,11 +328,11 @@ def fit(docs: DataFrame, text_col: str = "text", frequent: int = 1 << 16, sample
 
 
 def _found(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values of keys among known ones, 0 for others."""
-    order = np.argsort(known)
-    known, values = np.append(known[order], np.uint64(0)), np.append(values[order], 0)
-    at = np.minimum(np.searchsorted(known[:-1], keys), len(known) - 1)
-    return np.where((known[at] == keys) & (at < len(known) - 1), values[at], 0)
+    """The values of keys among known ones, which are sorted; 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], 0)
 
 
 def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 4.0, broadcast: int = BROADCAST) -> DataFrame:
@@ -303,73 +348,94 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = spark.sparkContext.broadcast(model.filter()) if model.n_bytes <= broadcast else None
     probed = whole is None
 
+    groups = min(n_buckets, FAN)
+
     def spread(batches):
         name = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in C.chunks(texts, 6 << 20):
-                found, first = tokens(texts[lo:hi])
-                raw, own = [t.encode("utf-8") for t in texts[lo:hi]], ids[lo:hi]
-                rows = [(TEXTS, name, own.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), np.array(own.is_null()).astype(np.uint8).tobytes(), zstandard.compress(b"".join(raw), 3), np.array([len(x) for x in raw], np.int64).tobytes())]
+            for lo, hi, texts in pieces(batch.column(1)):
+                found, first = tokens(texts)
+                own = batch.column(0).slice(lo, hi - lo)
                 at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
-                for kind, keys in ((WORDS, found[hot[at] != found]), (PAIRS, pair_hashes(found, first)[1] if probed else None)):
-                    if keys is not None:
-                        rows.append((kind, name, pack(np.diff(np.unique(keys), prepend=np.uint64(0))), b"", b"", b""))
-                yield _batch(rows, ASKED)
+                other = hot[at] != found
+                words, which = np.unique(found[other], return_inverse=True)
+                at[other] = len(hot) + which.reshape(-1)
+                yield _batch([(name, own.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), np.array(own.is_null()).astype(np.uint8).tobytes(), pack(at.astype(np.uint32)), pack(np.diff(first)), steps(words))], TEXTS)
                 name += 1
 
-    def unpacked(batches):
-        for batch in batches:
-            for kind, name, a in zip(*(c.to_pylist() for c in batch.columns)):
-                keys = np.cumsum(unpack(a, np.uint64), dtype=np.uint64)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, name)), pa.array((keys % np.uint64(n_buckets)).astype(np.int32)), pa.array(keys.view(np.int64))], names=["kind", "batch", "bucket", "key"])
+    def read(tokens: bytes, lengths: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of a batch's tokens, where texts begin, its words that aren't frequent, in which order they are asked for, and hashes of its pairs."""
+        at, first, own = unpack(tokens, np.uint32), np.cumsum([0, *unpack(lengths, np.int64)]), keys_of(words)
+        order = np.argsort((own % np.uint64(n_buckets)).astype(np.int64) % groups, kind="stable")
+        return at, first, own, order, pair_hashes(np.concatenate([hot, own])[at], first)[1]
 
-    def probe(asks: pa.Table, segment: pa.Table) -> pa.Table:
-        (r,) = segment.to_pylist() or [{"a": bytes(8), "b": np.array([64, 0], np.int64).tobytes()}]
-        own = Filter([(r["a"], *(int(x) for x in np.frombuffer(r["b"], np.int64)))])
-        return pa.table({"kind": asks["kind"], "batch": asks["batch"], "key": asks["key"], "n": own.levels(asks["key"].to_numpy().view(np.uint64)), "level": np.ones(len(asks), bool)})
+    def ask(batches):
+        for batch in batches:
+            for name, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                _, _, words, _, pairs = read(*packed)
+                rows = [(g, name, WORDS, None, steps(words[i]), None) for g, i in C.deal((words % np.uint64(n_buckets)).astype(np.int64) % groups, 0)]
+                if probed:
+                    place = np.unique(placed(pairs, n_buckets, groups))
+                    rows += [(g, name, PAIRS, None, steps(place[a:b] & IN_GROUP), None) for g, a, b in by_group(place)]
+                if rows:
+                    yield _batch(rows, ASKED)
+
+    def answer(batches):
+        """Rows of a group: first what the model has of its buckets, then what batches ask, which is answered row by row."""
+        now, segments, known, own = None, {}, [], None
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, len(b), 64)):
+            out = []
+            for group, name, kind, bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != now:
+                    now, segments, known, own = group, {}, [], None
+                if name < 0:
+                    if kind == SEGMENT:
+                        segments[bucket // groups] = (a, *(int(x) for x in np.frombuffer(b, np.int64)))
+                    else:
+                        known.append((keys_of(a), unpack(b, np.int64)))
+                    continue
+                if own is None:
+                    own = Filter([segments.get(k, (bytes(8), 64, 0)) for k in range(-(-(n_buckets - group) // groups))])
+                    key, n = _added([k for k, _ in known], [n for _, n in known])
+                    segments, known = {}, []
+                keys = keys_of(a)
+                if kind == WORDS:
+                    levels = own.levels_in(((keys % np.uint64(n_buckets)) // np.uint64(groups)).astype(np.int64), keys >> np.uint64(32))
+                    out.append((name, kind, group, pack(levels.astype(np.uint8)), pack(_found(keys, key, n))))
+                else:
+                    levels = own.levels_in((keys >> np.uint64(32)).astype(np.int64), keys & PRINT)
+                    out.append((name, kind, group, pack(levels.astype(np.uint8)), b""))
+            if out:
+                yield _batch(out, ANSWERED)
 
     def scored(text: pa.Table, answers: pa.Table) -> pa.Table:
         (own,) = text.to_pylist()
-        of = {c: answers[c].to_numpy() for c in answers.column_names}
-        key = of["key"].view(np.uint64)
-
-        def answer(keys: np.ndarray, kind: int, level: bool) -> np.ndarray:
-            if level and not probed:
-                return whole.value.levels(keys)
-            some = (of["kind"] == kind) & (of["level"] == level)
-            return _found(keys, key[some], of["n"][some])
-
-        ends, raw = np.cumsum(np.frombuffer(own["d"], np.int64)), zstandard.decompress(own["c"])
-        token, first = tokens([raw[a:b].decode("utf-8") for a, b in zip([0, *ends], ends)])
-        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-        is_hot = hot[at] == token
-        level, exact = np.frexp(hot_counts.astype(np.float64))[1].astype(np.int64)[at], hot_counts[at]
-        word, which = np.unique(token[~is_hot], return_inverse=True)
-        level[~is_hot], exact[~is_hot] = answer(word, WORDS, True)[which.reshape(-1)], answer(word, WORDS, False)[which.reshape(-1)]
+        rows = sorted(answers.select(["kind", "group", "a", "b"]).to_pylist(), key=lambda r: r["group"])
+        of = lambda kind, c, t: np.concatenate([np.zeros(0, t), *(unpack(r[c], t) for r in rows if r["kind"] == kind)]).astype(np.int64)
+        at, first, words, order, pairs = read(own["tokens"], own["lengths"], own["words"])
+        asked = np.argsort(order)
+        level = np.concatenate([np.frexp(hot_counts.astype(np.float64))[1].astype(np.int64), of(WORDS, "a", np.uint8)[asked]])[at]
+        exact = np.concatenate([hot_counts, of(WORDS, "b", np.int64)[asked]])[at]
         count = counts_of(level)
         of_before = np.concatenate([[0.0], count[:-1]])
         of_before[first[:-1]] = counts_of(np.frexp(hot_counts[hot == END].astype(np.float64))[1])[0]
-        pair, which = np.unique(pair_hashes(token, first)[1], return_inverse=True)
-        both = counts_of(answer(pair, PAIRS, True))[which.reshape(-1)]
+        pair, which = np.unique(placed(pairs, n_buckets, groups) if probed else pairs, return_inverse=True)
+        both = counts_of(of(PAIRS, "a", np.uint8) if probed else whole.value.levels(pair))[which.reshape(-1)]
         single = (count + 1) / (n_tokens + vocab + 1)
         p = np.minimum(1.0, (both + weight * single) / (np.maximum(of_before, both) + weight))
         total_of = lambda x: np.add.reduceat(x, first[:-1])
         base = total_of(np.log10(exact + 1.0)) - np.diff(first) * np.log10(n_tokens + vocab + 1.0)
-        ids = pa.array(np.frombuffer(own["a"], np.int64), mask=np.frombuffer(own["b"], np.uint8).astype(bool))
+        ids = pa.array(np.frombuffer(own["ids"], np.int64), mask=np.frombuffer(own["nulls"], np.uint8).astype(bool))
         return pa.table({"doc_id": ids, "n_tokens": np.diff(first).astype(np.int64), "n_known": total_of((exact > 0).astype(np.int64)), "base_score": base, "score": total_of(np.log10(p))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), C.text_or_empty(text_col).alias("text"))
-    found = C.materialize(rows.mapInArrow(spread, ASK))
-    asks = found.filter(F.col("kind") != TEXTS).select("kind", "batch", "a").mapInArrow(unpacked, "kind int, batch long, bucket int, key long")
-    # packed counts look small to the planner
-    answers = asks.filter(F.col("kind") == WORDS).join(model.words().hint("merge"), "key").select("kind", "batch", "key", "n", F.lit(False).alias("level"))
-    if probed:
-        segments = model.table.filter(F.col("kind") == SEGMENT).select("bucket", "a", "b")
-        levels = asks.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(probe, "kind int, batch long, key long, n long, level boolean")
-        answers = answers.union(levels)
-    out = found.filter(F.col("kind") == TEXTS).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = C.materialize(rows.mapInArrow(spread, TEXT))
+    asks = found.select("batch", "tokens", "lengths", "words").mapInArrow(ask, ASK)
+    held = model.table.filter(F.col("kind").isin(SEGMENT, WORDS)).select((F.col("bucket") % groups).alias("group"), F.lit(-1).cast("long").alias("batch"), "kind", "bucket", "a", "b")
+    n = min(groups, C.partitions(spark))
+    dealt = held.unionByName(asks).repartitionById(n, (F.col("group") % n).cast("int")).sortWithinPartitions("group", "batch")
+    answers = dealt.mapInArrow(answer, ANSWER)
+    out = found.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -126,3 +126,16 @@ def test_batches_of_identical_rows(spark):
     assert len(found) == 40
     for r, w in zip(found, base(rows), strict=True):
         assert tuple(r)[:5] == w[:5] and math.isclose(r.base_score, w[5], rel_tol=1e-9)
+
+
+def test_what_travels_to_segments_is_packed(spark):
+    """Pairs that are probed in segments go there and back in less room than twice their texts take."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(400))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = L.fit(df, frequent=20, n_buckets=4)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = stages()
+    assert len(scores(L.score(model, df, broadcast=0))) == 500
+    moved = sum(n for k, n in stages().items() if k not in before)
+    assert 0 < moved < 2 * sum(len(t) for _, t in rows)
