@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import dimensions, slices
 from .measures import ratio
@@ -43,6 +44,32 @@ def overlap_seconds(spans: DataFrame, others: DataFrame, keys: list[str], name:
     ends before it starts, here or in others, is empty. Two spans that overlap for an hour with three others each count
     three hours each.
     """
+    none = F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False))
+    # a span without key is a key of its own, so that such spans are many groups
+    key = F.struct(*keys, F.when(none, F.xxhash64(*spans.columns)).alias("_alone"))
+    mine = spans.select(key.alias("_key"), F.lit(False).alias("_other"), F.col(start).cast("timestamp").alias("_from"), F.col(end).cast("timestamp").alias("_to"), F.struct(*spans.columns).alias("_span"))
+    key = F.struct(*keys, F.lit(None).cast("long").alias("_alone"))
+    theirs = others.filter((F.col(start) < F.col(end)) & ~none).select(key.alias("_key"), F.lit(True).alias("_other"), F.col(start).cast("timestamp").alias("_from"), F.col(end).cast("timestamp").alias("_to"))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    mark = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign"))
+    marks = lambda rows: rows.withColumn("_mark", F.explode(F.array(mark("_from", 1), mark("_to", -1)))).select("_key", "_other", "_span", F.col("_mark.at").alias("_at"), F.col("_mark.sign").alias("_sign"))
+    if slices.cuts(marks(both).select("_key", "_at"), "_key", "_at", slices.MOST) is not None:
+        return _overlap_in_slices(spans, others, keys, name, start, end)
+    # one exchange by key, before rows become two; all that follows stays in its tasks
+    over = W.partitionBy("_key").orderBy("_at")
+    step = F.when(F.col("_other"), F.col("_sign")).otherwise(0)
+    opened = marks(both.repartition("_key")).withColumns({"_open": F.sum(step).over(over.rowsBetween(W.unboundedPreceding, 0)) - step, "_before": F.lag("_at").over(over)})
+    total = F.sum(F.col("_open") * (_seconds("_at") - _seconds("_before"))).over(over.rowsBetween(W.unboundedPreceding, 0))
+    found = opened.withColumn("_total", F.coalesce(total, F.lit(0.0))).filter("NOT _other").groupBy("_key", "_span").agg(
+        (F.max(F.when(F.col("_sign") == -1, F.col("_total"))) - F.max(F.when(F.col("_sign") == 1, F.col("_total")))).alias("_met"), F.count(F.when(F.col("_sign") == 1, 1)).cast("int").alias("_n"))
+    # equal spans have been one
+    out = found.select("_span.*", "_met", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_again")).drop("_again")
+    overlap = F.when(F.col(start) < F.col(end), F.col("_met")).when(F.col(start).isNotNull() & F.col(end).isNotNull(), 0.0)
+    return out.withColumn(name, overlap).select(*spans.columns, name)
+
+
+def _overlap_in_slices(spans: DataFrame, others: DataFrame, keys: list[str], name: str, start: str, end: str) -> DataFrame:
+    """``overlap_seconds`` where a key has more rows than one group may have: marks in slices, and spans bound to them by day."""
     key = F.when(~F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False)), F.struct(*keys))
     steps = others.filter(F.col(start) < F.col(end)).select(key.alias("_key"), F.explode(F.array(F.struct(F.col(start).cast("timestamp").alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).cast("timestamp").alias("at"), F.lit(-1).alias("step")))).alias("s"))
     steps = steps.filter("_key IS NOT NULL").groupBy("_key", F.col("s.at").alias("_at")).agg(F.sum("s.step").alias("_step"))

@@ -59,3 +59,10 @@ def test_delivery_and_completion(spark):
     orders = spark.createDataFrame([(10, -2.0, True), (11, 5.0, False), (12, -1.0, True), (13, None, None), (14, 9.0, False)], "requisition_id int, delivery_variance_hours double, received_on_time boolean")
     rows = {r.delivery: (r.work_order_count, r.avg_cycle_hours, r.avg_worst_variance_hours) for r in lineage.delivery_and_completion(work, asked, orders).collect()}
     assert rows == {"late": (1, 10.0, 5.0), "on_time": (1, 20.0, -1.0), "open": (1, 30.0, None), "not_bought": (2, 45.0, None)}
+
+
+def test_spans_and_others_are_moved_once(spark):
+    one = spark.createDataFrame([("a", AT, AT + dt.timedelta(hours=1)), ("a", AT, AT + dt.timedelta(hours=1)), (None, AT, AT), ("b", None, AT)], "key string, started_at timestamp, ended_at timestamp")
+    out = lineage.overlap_seconds(one, one, ["key"], "x")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(((r.key, r.x) for r in out.collect()), key=str) == [("a", 7200.0), ("a", 7200.0), ("b", None), (None, 0.0)]
