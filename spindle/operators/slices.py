@@ -19,6 +19,12 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
+def _place(at: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts, SLICES - 1 at most, are less than at, by halving; 0 where either is null."""
+    steps = [SLICES >> k for k in range(1, SLICES.bit_length())]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when(F.get(cuts, found + step - 1) < at, found + step).otherwise(found))
+
+
 def cuts(rows: DataFrame, key: str, by: str, most: int) -> DataFrame | None:
     """key and _walk_cuts, values of ``by`` (numbers or times) that cut each key of more than ``most`` rows into slices of about that many; None if there is no such key.
 
@@ -50,8 +56,7 @@ def walk(
         new = {n: F.lag(c).over(over) for c, n in lag.items()} | {n: F.lead(c).over(over) for c, n in lead.items()}
         new |= {n: F.sum(c).over(over.rowsBetween(W.unboundedPreceding, 0)) for c, n in sums.items()}
         return rows.withColumns(new | ({index: F.row_number().over(over)} if index else {}))
-    slice_of = F.coalesce(F.size(F.filter("w._walk_cuts", lambda c: c < F.col(f"r.{order[0]}"))), F.lit(0))
-    cut = rows.alias("r").join(where.alias("w"), _same("r", "w", [key]), "left").select("r.*", F.greatest(slice_of, F.lit(0)).alias("_walk_slice"))
+    cut = rows.alias("r").join(where.alias("w"), _same("r", "w", [key]), "left").select("r.*", _place(F.col(f"r.{order[0]}"), F.col("w._walk_cuts")).alias("_walk_slice"))
     over = W.partitionBy(key, "_walk_slice").orderBy(*order)
     local = cut.withColumns({f"_walk_lag_{n}": F.lag(c).over(over) for c, n in lag.items()} | {f"_walk_lead_{n}": F.lead(c).over(over) for c, n in lead.items()} | {f"_walk_sum_{n}": F.sum(c).over(over.rowsBetween(W.unboundedPreceding, 0)) for c, n in sums.items()} | {"_walk_at": F.row_number().over(over), "_walk_left": F.lead(F.lit(1)).over(over)})
     place = F.struct(*order)

@@ -50,3 +50,13 @@ def test_event_log_and_scd2_in_slices(spark, events):
     versions = events.select("key", "kind", F.col("id").alias("v"), F.col("at"))
     assert plain(dimensions.scd2(versions, "key", ["kind"], "v", "at", most=20)) == plain(dimensions.scd2(versions, "key", ["kind"], "v", "at", most=None))
     assert plain(dimensions.scd2(versions, "key", ["kind"], "v", "at", most=20, seen=True).drop("seen_version")) == plain(dimensions.scd2(versions, "key", ["kind"], "v", "at"))
+
+
+def test_a_slice_is_found_by_halving(spark):
+    """Of thousands of cuts few are looked at for a row, as the plan shows: no function goes over all of them."""
+    marks = sorted(random.Random(5).choices(range(20_000), k=slices.SLICES - 1))
+    for cuts in (marks, marks[:1000], marks[:1], []):
+        rows = spark.range(-1, 20_001, 7).select("id", F.array(*map(F.lit, cuts)).cast("array<bigint>").alias("cuts")).withColumn("n", slices._place(F.col("id"), F.col("cuts")))
+        assert all(r.n == sum(c < r.id for c in cuts) for r in rows.select("id", "n").collect()[:: 1 + len(cuts) // 100])
+    rows = spark.range(100).select(F.lit("one").alias("key"), "id")
+    assert "filter(" not in slices.walk(rows, "key", ["id"], index="n", most=10)._jdf.queryExecution().optimizedPlan().toString()
