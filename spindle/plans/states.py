@@ -1,7 +1,7 @@
 """Metric views from mergeable states: a row for each day and combination of fields, which any coarser question adds up.
 
-Sums, counts, maxima and averages have exact states. Distinct counts of whole numbers are kept as bitmaps, 32,768 numbers
-to a row, and stay exact; of other values as sketches with a standard error of 1.6 % (1.04 / sqrt(4096)). A new day
+Sums, counts, maxima and averages have exact states. Distinct counts of whole numbers keep a row
+for each value and what it meets, never more than the fact has rows, and stay exact; of other values they are sketches with a standard error of 1.6 % (1.04 / sqrt(4096)). A new day
 writes its own states only, and a day that is worked out again replaces them.
 """
 
@@ -59,9 +59,9 @@ class ViewStates:
         for column in dict.fromkeys(d.column for d in self._distinct().values()):
             own = {m: F.when(d.condition(), S(column)) if d.condition else S(column) for m, d in self._distinct().items() if d.column == column}
             whole = isinstance(rows.select(S(column)).schema[0].dataType, _WHOLE)
-            bucket = F.bitmap_bucket_number(S(column).cast("long")) if whole else F.lit(None).cast("long")
-            kept = lambda v, whole=whole: F.bitmap_construct_agg(F.bitmap_bit_position(v.cast("long"))) if whole else F.hll_sketch_agg(v.cast("string"), F.lit(REGISTERS))
-            parts.append(rows.filter(S(column).isNotNull()).groupBy(*keys, F.lit(column).alias("state_column"), bucket.alias("state_bucket")).agg(*(kept(v).alias(f"{'bits' if whole else 'sketch'}_{m}") for m, v in own.items())))
+            value = (S(column).cast("long") if whole else F.lit(None).cast("long")).alias("state_value")
+            kept = lambda v, whole=whole: F.max(v.isNotNull()) if whole else F.hll_sketch_agg(v.cast("string"), F.lit(REGISTERS))
+            parts.append(rows.filter(S(column).isNotNull()).groupBy(*keys, F.lit(column).alias("state_column"), value).agg(*(kept(v).alias(f"{'met' if whole else 'sketch'}_{m}") for m, v in own.items())))
         return sums, stored.union_all(*parts) if parts else None
 
     def answer(self, sums: DataFrame, distinct: DataFrame | None, fields: list[str] = (), measures: list[str] | None = None, where: str | None = None) -> DataFrame:
@@ -75,10 +75,9 @@ class ViewStates:
         for column in dict.fromkeys(sources.values()):
             own = [m for m, c in sources.items() if c == column]
             rows = pick(distinct).filter(F.col("state_column") == column)
-            if f"bits_{own[0]}" in rows.columns:
-                # the bitmaps of a bucket become one, then its bits are counted
-                buckets = rows.groupBy(*fields, "state_bucket").agg(*(F.bitmap_or_agg(f"bits_{m}").alias(m) for m in own))
-                found = buckets.groupBy(*fields).agg(*(F.sum(F.bitmap_count(m)).alias(m) for m in own))
+            if f"met_{own[0]}" in rows.columns:
+                values = rows.groupBy(*fields, "state_value").agg(*(F.max(f"met_{m}").alias(m) for m in own))
+                found = values.groupBy(*fields).agg(*(F.count(F.when(F.col(m), 1)).alias(m) for m in own))
             else:
                 found = rows.groupBy(*fields).agg(*(F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{m}")).alias(m) for m in own))
             same = F.lit(True)

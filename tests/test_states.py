@@ -73,3 +73,12 @@ def test_bucketed_facts_meet_without_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for n in ("orders", "lines", "receipts"):
             spark.sql(f"DROP TABLE IF EXISTS t_bucketed_{n}")
+
+
+def test_states_of_few_values_are_small(spark):
+    """Numbers far apart, each in a combination of fields of its own, as most are: a state has room for its value, not for all near it."""
+    rows = spark.range(2_000).select(F.lit("PAID").alias("po_status"), F.col("id").alias("supplier_key"), (F.col("id") * 100_003).alias("purchase_order_id"), F.lit(20240101).alias("order_date_key"), F.lit(False).alias("received_on_time"))
+    read = {"fact_purchase_order_item": rows.withColumnRenamed("po_status", "status"), "dim_date": spark.createDataFrame([(20240101, None)], "date_key int, full_date date"), "dim_supplier": spark.range(2_000).select(F.col("id").alias("supplier_key"), F.col("id").cast("string").alias("supplier_name"))}
+    view = cubes.VIEWS["procurement_metrics"]
+    kept = ViewStates(view, "order_date", ("supplier",), ("purchase_order_count", "late_purchase_order_count")).build(read.__getitem__)[1]
+    assert kept.count() == 2_000 and not [c for c, kind in kept.dtypes if kind == "binary"]
