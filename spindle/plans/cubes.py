@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.operators.measures import count_if, ratio
+from spindle.sources import tables as stored
 
 #: A column of the fact (``source``) or of a joined dimension by its alias.
 S = lambda name: F.col(f"source.{name}")
@@ -107,7 +108,8 @@ class MetricView:
         over = {m: A.collected(self.measures[m], states) for m in measures if m not in distinct}
         own = {m: self.measures[m].condition for m in distinct}
         met = (F.max(F.coalesce(c(), F.lit(False)) if c else F.lit(True)).alias(f"met_{m}") for m, c in own.items())
-        values = rows.groupBy(*keys, S(self.measures[distinct[0]].column).alias("_value")).agg(*met, *(state.alias(name) for name, state in states.values()))
+        value = S(self.measures[distinct[0]].column).alias("_value")
+        values = stored.dealt(rows, *keys, value).groupBy(*keys, value).agg(*met, *(state.alias(name) for name, state in states.values()))
         counts = {m: F.count(F.when(F.col(f"met_{m}"), F.col("_value"))) for m in own}
         return values.groupBy(*fields).agg(*((over | counts)[m].alias(m) for m in measures))
 

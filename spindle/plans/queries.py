@@ -73,7 +73,9 @@ def _horizon() -> Column:
 
 
 def _items(read) -> DataFrame:
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("part"), F.col("l_partkey") == F.col("p_partkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = tables.dealt(read("lineitem"), "l_partkey").join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = tables.dealt(lines, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(
         F.col("l_orderkey").alias("purchase_order_id"), F.col("l_suppkey").alias("supplier_key"), F.col("l_partkey").alias("material_key"), F.col("c_nationkey").alias("warehouse_key"),
         F.when(F.col("o_orderstatus") == "F", "RECEIVED").when(F.col("o_orderstatus") == "O", "SENT").otherwise("PARTIALLY_RECEIVED").alias("status"),

@@ -82,3 +82,9 @@ def test_states_of_few_values_are_small(spark):
     view = cubes.VIEWS["procurement_metrics"]
     kept = ViewStates(view, "order_date", ("supplier",), ("purchase_order_count", "late_purchase_order_count")).build(read.__getitem__)[1]
     assert kept.count() == 2_000 and not [c for c, kind in kept.dtypes if kind == "binary"]
+
+
+def test_tasks_follow_the_bytes_read(spark, files):  # noqa: F811
+    lines = spark.read.parquet(f"{files[0]}/lineitem.parquet")
+    assert tables.dealt(lines, "l_partkey") is lines
+    assert tables.dealt(lines, "l_partkey", most=1000).rdd.getNumPartitions() > 10
