@@ -34,7 +34,7 @@ class CaseEvents(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", "n long, last_us long")
-        self.open = handle.getMapState("open", "transition_id string", "from_state string, activity string, reason string, occurred_us long, commit_us long")
+        self.open = handle.getListState("open", "transition_id string, from_state string, activity string, reason string, occurred_us long, commit_us long")
 
     def _settled(self) -> tuple[int, int | None]:
         held = self.settled.get() if self.settled.exists() else None
@@ -42,11 +42,22 @@ class CaseEvents(StatefulProcessor):
 
     def _waiting(self) -> list[tuple]:
         """Open events in order: (occurred, commit, id), from, activity, reason."""
-        rows = [((v[3], v[4], k[0]), v[0], v[1], v[2]) for k, v in self.open.iterator()] if self.open.exists() else []
+        return self._sorted([((v[4], v[5], v[0]), v[1], v[2], v[3]) for v in self.open.get()] if self.open.exists() else [])
+
+    @staticmethod
+    def _sorted(rows: list[tuple]) -> list[tuple]:
         return sorted(rows, key=lambda r: (r[0][0], r[0][1] is not None, r[0][1] or 0, r[0][2]))
 
+    def _keep(self, waiting: list[tuple]) -> None:
+        """Open events are read and written as one list, since each call on a state is a message between processes."""
+        if waiting:
+            self.open.put([(i, source, activity, reason, at, commit) for (at, commit, i), source, activity, reason in waiting])
+        else:
+            self.open.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {r[0][2] for r in self._waiting()}
+        waiting = self._waiting()
+        known = {r[0][2] for r in waiting}
         kind = ident = None
         first = None
         for frame in rows:
@@ -57,18 +68,19 @@ class CaseEvents(StatefulProcessor):
                 known.add(r.transition_id)
                 at = _micros(r.occurred_at)
                 text = [None if v is None or v != v else v for v in (r.from_state, r.to_state, r.reason)]
-                self.open.updateValue((r.transition_id,), (*text, at, _micros(r.source_commit_at)))
+                waiting.append(((at, _micros(r.source_commit_at), r.transition_id), *text))
                 first = at if first is None else min(first, at)
         if first is None:
             return
         n, last = self._settled()
-        out = []
-        for (at, commit, transition), source, activity, reason in self._waiting():
+        out, waiting = [], self._sorted(waiting)
+        self._keep(waiting)
+        for (at, commit, transition), source, activity, reason in waiting:
             n += 1
             if at >= first:  # events before the first new one keep their numbers and neighbours
                 out.append((transition, key[0], kind, ident, source, activity, reason, pd.Timestamp(at, unit="us"), pd.NaT if commit is None else pd.Timestamp(commit, unit="us"), pd.NaT if last is None else pd.Timestamp(last, unit="us"), n, None if last is None else _seconds(last, at)))
             last = at
-        self.handle.registerTimer(self._waiting()[0][0][0] // 1000 + 1)
+        self.handle.registerTimer(waiting[0][0][0] // 1000 + 1)
         frame = pd.DataFrame(out, columns=_COLUMNS)
         frame["seconds_since_previous"] = frame["seconds_since_previous"].astype("Int64")
         yield frame
@@ -76,13 +88,15 @@ class CaseEvents(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         n, last = self._settled()
-        for (at, _, transition), *_ in self._waiting():
-            if at > passed * 1000:
-                self.handle.registerTimer(at // 1000 + 1)
-                break
-            n, last = n + 1, at
-            self.open.removeKey((transition,))
-        self.settled.update((n, last))
+        waiting = self._waiting()
+        gone = sum(at <= passed * 1000 for (at, *_), *_ in waiting)
+        if gone:
+            self.settled.update((n + gone, waiting[gone - 1][0][0]))
+            self._keep(waiting[gone:])
+        else:
+            self.settled.update((n, last))
+        if waiting[gone:]:
+            self.handle.registerTimer(waiting[gone][0][0] // 1000 + 1)
         return iter(())
 
     def close(self) -> None:
