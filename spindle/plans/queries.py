@@ -755,12 +755,19 @@ def _waits(t) -> DataFrame:
     return rows.select(F.col("l_partkey").alias("material_key"), F.expr("o_orderdate + INTERVAL 26 HOURS").alias("started_at"), F.expr("o_orderdate + make_dt_interval(l_linenumber, 53)").alias("ended_at"))
 
 
-def _stockouts(t) -> DataFrame:
+def _most(t) -> int | None:
+    """Limit of windows over materials: a line is a wait and a stock-out, or an open order and a wait, with two ends each."""
+    return slices.limit(t("lineitem"), "l_partkey", 4)
+
+
+def _stockouts(t, most: int | None) -> DataFrame:
     """Times in which what was received of a material, less what was issued, was nothing."""
     quantity = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).when(F.col("l_returnflag") == "A", -F.col("l_quantity")).otherwise(0.0)
-    moves = t("lineitem").groupBy(F.col("l_partkey").alias("material_key"), F.col("l_shipdate").alias("at")).agg(F.sum(quantity).alias("moved"))
-    balance = slices.walk(moves, "material_key", ["at"], sums={"moved": "balance"})
-    return lineage.condition_spans(balance, ["material_key"], "at", F.col("balance") <= 0, _horizon())
+    lines = t("lineitem").select(F.col("l_partkey").alias("material_key"), F.col("l_shipdate").alias("at"), quantity.alias("quantity"))
+    # where no material has many lines, they move once: sums and windows stay in the tasks of their materials
+    moves = (lines.repartition(tables.tasks(lines), "material_key") if most is None else lines).groupBy("material_key", "at").agg(F.sum("quantity").alias("moved"))
+    balance = slices.walk(moves, "material_key", ["at"], sums={"moved": "balance"}, most=most)
+    return lineage.condition_spans(balance, ["material_key"], "at", F.col("balance") <= 0, _horizon(), most=most)
 
 
 _WAITS = """
@@ -773,13 +780,14 @@ met AS (SELECT n, sum(epoch(least(w.e, o.e)) - epoch(greatest(w.s, o.s))) AS sec
 
 @query("lineage_stockout_waits", _WAITS + _OUTS + " SELECT material_key, count(*) AS wait_count, " + ", ".join([_R("sum(epoch(e) - epoch(s)) / 3600", "wait_hours"), _R("sum(COALESCE(seconds, 0)) / 3600", "stockout_hours"), _R("sum(COALESCE(seconds, 0)) / sum(epoch(e) - epoch(s))", "stockout_share")]) + " FROM w LEFT JOIN met USING (n) GROUP BY material_key")
 def _(t):
-    return lineage.stockout_waits(_waits(t), _stockouts(t), ["material_key"], ["material_key"])
+    most = _most(t)
+    return lineage.stockout_waits(_waits(t), _stockouts(t, most), ["material_key"], ["material_key"], most)
 
 
 @query("lineage_supplier_waits", _WAITS + ", p AS (SELECT row_number() OVER () AS k, l_suppkey AS supplier_key, l_partkey, o_orderdate AS s, l_shipdate AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey), met AS (SELECT k, sum(epoch(least(w.e, p.e)) - epoch(greatest(w.s, p.s))) AS seconds FROM p JOIN w ON material_key = l_partkey AND p.s < w.e AND w.s < p.e AND p.s < p.e GROUP BY k) SELECT supplier_key, count(*) AS line_count, count(*) FILTER (seconds > 0) AS waited_line_count, " + _R("sum(COALESCE(seconds, 0)) / 3600", "waited_hours") + " FROM p LEFT JOIN met USING (k) GROUP BY supplier_key")
 def _(t):
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("supplier_key"), F.col("l_partkey").alias("material_key"), F.col("o_orderdate").alias("started_at"), F.col("l_shipdate").alias("ended_at"))
-    return lineage.supplier_waits(lines, _waits(t), ["supplier_key"], ["material_key"])
+    return lineage.supplier_waits(lines, _waits(t), ["supplier_key"], ["material_key"], _most(t))
 
 
 @query("lineage_delivery_and_completion", PRELUDE + ", b AS (SELECT purchase_order_id, count(*) FILTER (NOT received_on_time) AS late, count(*) FILTER (received_on_time IS NULL) AS open, max(delivery_variance_hours) AS worst FROM po WHERE purchase_order_id % 2 = 0 GROUP BY 1) SELECT CASE WHEN late > 0 THEN 'late' WHEN open > 0 THEN 'open' WHEN late = 0 THEN 'on_time' ELSE 'not_bought' END AS delivery, count(*) AS work_order_count, " + ", ".join([_R("avg(elapsed_cycle_hours)", "avg_cycle_hours"), _R("avg(material_wait_hours)", "avg_material_wait_hours"), _R("avg(worst)", "avg_worst_variance_hours")]) + " FROM wo LEFT JOIN b ON purchase_order_id = work_order_id GROUP BY 1")

@@ -265,12 +265,18 @@ def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> Da
     return df.sparkSession.table(name)
 
 
-def dealt(df: DataFrame, *keys: Column | str, most: int = 16 << 20) -> DataFrame:
-    """df dealt by keys into a task for every ``most`` bytes of the files it reads, so that what a task holds doesn't grow with them; df itself where the session's number of partitions is enough."""
+def tasks(df: DataFrame, most: int = 16 << 20) -> int:
+    """A task for every ``most`` bytes of the files that df reads, or the session's number of partitions if that is more."""
     spark = df.sparkSession
     paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
     n = -(-sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths) // most)
-    return df.repartition(n, *keys) if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, *keys: Column | str, most: int = 16 << 20) -> DataFrame:
+    """df dealt by keys into a task for every ``most`` bytes of the files it reads, so that what a task holds doesn't grow with them; df itself where the session's number of partitions is enough."""
+    n = tasks(df, most)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def columns_of(spark: SparkSession, database: str = "default") -> DataFrame:

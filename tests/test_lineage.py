@@ -66,3 +66,28 @@ def test_spans_and_others_are_moved_once(spark):
     out = lineage.overlap_seconds(one, one, ["key"], "x")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert sorted(((r.key, r.x) for r in out.collect()), key=str) == [("a", 7200.0), ("a", 7200.0), ("b", None), (None, 0.0)]
+
+
+def test_waits_are_added_up_at_their_ends(spark):
+    """The same as the waits one by one, in one group a key and in slices, with null keys, open, empty and equal waits and fractions of seconds."""
+    rng = random.Random(8)
+    at = lambda: None if rng.random() < 0.05 else AT + dt.timedelta(hours=rng.randrange(300), microseconds=rng.choice([0, 250_001]))
+    spans = lambda n: [(rng.choice(["a", "a", "b", "c", None]), rng.choice(["x", "y", None]), at(), at()) for _ in range(n)]
+    schema = "key string, kind string, started_at timestamp, ended_at timestamp"
+    rows, others = spans(150), [r for r in spans(120) if r[0] != "c"]
+    waits, out = spark.createDataFrame(rows + rows[:20], schema), spark.createDataFrame(others, schema)
+    for by in (["kind"], ["key", "started_at"], ["key"]):
+        want = {}
+        for row in rows + rows[:20]:
+            key, _, a, b = row
+            n, length, met = want.get(group := tuple(row[schema.replace(",", "").split()[::2].index(c)] for c in by), (0, 0.0, None))
+            if a and b:
+                met = (met or 0.0) + sum(max(0.0, (min(b, d) - max(a, c)).total_seconds()) for k, _, c, d in others if k is not None and k == key and c and d and a < b and c < d)
+                length += max(0.0, (b - a).total_seconds())
+            want[group] = (n + 1, length, met)
+        for most in (None, slices.MOST, 20):
+            got = {tuple(r[c] for c in by): r for r in lineage.stockout_waits(waits, out, by, ["key"], most).collect()}
+            assert got.keys() == want.keys()
+            for group, (n, length, met) in want.items():
+                r = got[group]
+                assert r.wait_count == n and abs(r.wait_hours - length / 3600) < 1e-9 and (r.stockout_hours is None if met is None else abs(r.stockout_hours - met / 3600) < 1e-9)

@@ -60,3 +60,13 @@ def test_query_gives_the_rows_of_its_sql(spark, tables, name):
     assert sorted(got) == sorted(want)
     assert _rows(got) == _rows(want)
     assert len(got)
+
+
+def test_stockout_waits_makes_nothing_for_a_count(spark, tables):
+    """Lines are counted by material once; then stock moves, spans of both kinds and groups of the answer are moved once each."""
+    spark.sparkContext.setJobGroup("stockout_waits", "stockout_waits")
+    plan = Q.QUERIES["lineage_stockout_waits"](spark, tables[0])._jdf.queryExecution().executedPlan().toString()
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stockout_waits"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # before, 5 exchanges and 18 jobs
+    assert plan.count("Exchange hashpartitioning(") == 3 and ran <= 9

@@ -60,3 +60,15 @@ def test_a_slice_is_found_by_halving(spark):
         assert all(r.n == sum(c < r.id for c in cuts) for r in rows.select("id", "n").collect()[:: 1 + len(cuts) // 100])
     rows = spark.range(100).select(F.lit("one").alias("key"), "id")
     assert "filter(" not in slices.walk(rows, "key", ["id"], index="n", most=10)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_several_columns(events):
+    ask = {"lead": {"id": "id_after"}, "index": "n", "sums": {"id": "id_sum"}}
+    one = events.withColumn("both", F.struct("key", "kind"))
+    for most in (None, 9):
+        assert plain(slices.walk(events, ["key", "kind"], ["at", "id"], most=most, **ask)) == plain(slices.walk(one, "both", ["at", "id"], most=None, **ask).drop("both"))
+
+
+def test_limit_by_a_count(spark):
+    rows = spark.range(100).select((F.col("id") % 9).alias("key"))
+    assert slices.limit(rows, "key", 4, 48) is None and slices.limit(rows, "key", 4, 47) == 47 and slices.limit(rows.limit(0), "key", 4) is None
